@@ -154,3 +154,21 @@ def scored(docs: DataFrame, features: Features, model: LinearModel, held_out: Co
     slim = docs.select("doc_id", held_out.alias("held_out"), docs["text"].cast("string").alias("text"))
     out = slim.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def selected(docs: DataFrame, features: Features, model: LinearModel, threshold: float) -> DataFrame:
+    """The rows of ``docs`` whose text scores ``threshold`` or more, columns unchanged."""
+    size, at = len(model.weights), docs.columns.index("text")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for first, last, data, offsets in B.slices(batch.column(at)):
+                ids, rows = present(*features(data, offsets), last - first, size)
+                margin = np.bincount(rows, weights=own.weights[ids], minlength=last - first) + own.bias
+                keep[first:last] = own.probability(margin) >= threshold
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
+#: A table is broadcast up to this many counted rows, and joined by shuffle beyond.
+BROADCAST_ROWS = 1_000_000
+
 #: The word pattern of the contracts, for Java and RE2 alike.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -57,3 +61,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def crc(column: Column) -> Column:
     """CRC-32 of a value's text form."""
     return F.crc32(column.cast("string").cast("binary"))
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """Bind a value once for an expression that uses it more than once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it is counted to be small; else Spark joins it by shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df

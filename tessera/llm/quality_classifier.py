@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._linear import LinearModel, fit_nbsvm, sample_features, scored, training_sample
+from ._linear import LinearModel, fit_nbsvm, sample_features, scored, selected, training_sample
 from ._spark import crc, table
 
 #: Number of hashed features.
@@ -66,6 +66,11 @@ def classify(docs: DataFrame, model: LinearModel, threshold: float = THRESHOLD)
     return scored(docs, features, model, held_out, threshold)
 
 
+def keep_good(docs: DataFrame, model: LinearModel, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that the model does not reject, columns unchanged."""
+    return selected(docs, features, model, threshold)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return classify(docs, fit(docs, table(spark, sf_dir, "labels")))

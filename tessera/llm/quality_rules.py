@@ -14,13 +14,12 @@ other columns are never read.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import WORD, table, text_column, written
+from ._spark import WORD, let, table, text_column, written
 
 #: Frequent function words by language.
 COMMON_WORDS = {
@@ -39,11 +38,6 @@ LEAST_CHARS, LEAST_WORDS = 200, 50
 MOST_CHAR_DISTANCE, MOST_WORD_DISTANCE = 0.25, 0.33
 
 
-def let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """Bind a value once for an expression that uses it more than once."""
-    return F.transform(F.array(value), then)[0]
-
-
 def repeated_words(words: Column) -> Column:
     """Words that lie in three-word windows found twice or more in the list."""
 

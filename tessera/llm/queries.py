@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, quality_classifier, quality_rules, token_counts, toxicity, warc
+from . import decontamination, jaccard_join, line_dedup, mixing, quality_classifier, quality_rules, token_counts, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,8 @@ def queries() -> dict[str, Query]:
         "op1_toxicity": toxicity.query,
         "op2_quality_rules": quality_rules.query,
         "op3_token_counts": token_counts.query,
+        "op4_line_dedup": line_dedup.query,
+        "op5_jaccard_join": jaccard_join.query,
         "op7_decontamination": decontamination.query,
         "op8_warc": warc.query,
         "op9_quality_classifier": quality_classifier.query,
