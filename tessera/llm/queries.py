@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, line_dedup, mixing, quality_classifier, quality_rules, token_counts, toxicity, warc
+from . import decontamination, jaccard_join, line_dedup, mixing, quality_classifier, quality_rules, suffix_dedup, token_counts, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op3_token_counts": token_counts.query,
         "op4_line_dedup": line_dedup.query,
         "op5_jaccard_join": jaccard_join.query,
+        "op6_suffix_dedup": suffix_dedup.query,
         "op7_decontamination": decontamination.query,
         "op8_warc": warc.query,
         "op9_quality_classifier": quality_classifier.query,
