@@ -376,7 +376,7 @@ def body_chunks(bodies: pd.Series, most: pd.Series) -> pd.Series:
     return pd.Series([of(t, int(n)) for t, n in zip(bodies, most, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def spliced(bodies: pd.Series, images: pd.Series) -> pd.Series:
     """images spread evenly over the gaps between paragraphs."""
 
@@ -401,7 +401,7 @@ def image_parity(translated: Column, source: Column) -> Column:
     return F.when(have < F.size(want), spliced(translated, F.slice(want, have + 1, F.greatest(F.size(want), F.lit(1))))).otherwise(translated)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def one_reference_section(texts: pd.Series) -> pd.Series:
     """of several reference sections that with the most links stays, the first on ties."""
     head = re.compile(r"^\s*(?:#+\s*|\*\*)\s*(?:references|参考(?:资料|文献)|来源)", re.I)
