@@ -135,7 +135,7 @@ def prefiltered(slots: DataFrame, answers: DataFrame, least: float = 0.5) -> Dat
 def fallback_entities(answer: Column, slug: Callable[[Column], Column], most: int = 3) -> Column:
     """Distinct slugs of a list of at most three names; null otherwise."""
     names = F.from_json(without_fence(answer), "array<string>")
-    slugs = F.array_distinct(F.filter(F.transform(names, slug), lambda s: s != ""))
+    slugs = F.array_distinct(F.filter(F.transform(names, lambda n: slug(n)), lambda s: s != ""))
     return F.when(F.size(names) <= most, slugs)
 
 
