@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import listing_queries, report_queries, text_queries
+from tessera.plans import listing_queries, report_queries, text_queries, wiki_queries
 
-MODULES = (listing_queries, text_queries, report_queries)
+MODULES = (listing_queries, text_queries, report_queries, wiki_queries)
 Query = Callable[[SparkSession, str], DataFrame]
 
 
