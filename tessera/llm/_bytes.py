@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes handled at once; a single longer document is handled alone.
-MAX_BYTES = 1 << 20
+MAX_BYTES = 1 << 18
 
 #: Fixed odd base of the polynomial hash and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15

@@ -18,6 +18,8 @@ from . import _bytes as B
 
 #: log2 of the number of buckets: 2**19 one-byte levels are shared.
 BITS = 19
+#: Tokens that a task holds before it adds them to its counts.
+HELD_TOKENS = 1_000_000
 
 
 def levels(docs: DataFrame, tokens: Callable[[np.ndarray, np.ndarray], np.ndarray], bits: int = BITS) -> np.ndarray:
@@ -29,10 +31,15 @@ def levels(docs: DataFrame, tokens: Callable[[np.ndarray, np.ndarray], np.ndarra
     shift = np.uint64(64 - bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.int64)
+        total, held, waiting = np.zeros(1 << bits, np.int64), [], 0
         for batch in batches:
             for _, _, data, offsets in B.slices(batch["text"]):
-                total += np.bincount((tokens(data, offsets) >> shift).astype(np.int64), minlength=1 << bits)
+                held.append((tokens(data, offsets) >> shift).astype(np.uint32))
+                waiting += len(held[-1])
+                if waiting > HELD_TOKENS:
+                    total += np.bincount(np.concatenate(held), minlength=1 << bits)
+                    held, waiting = [], 0
+        total += np.bincount(np.concatenate([np.empty(0, np.uint32), *held]), minlength=1 << bits)
         some = np.flatnonzero(total)
         for part in np.array_split(some, len(some) // 50_000 + 1):
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["bucket", "n"])
