@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -50,6 +51,16 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of jobs whose results are written.
+
+    Its cleaner removes them once the driver has collected the plans, which a
+    driver with a large heap may not do for hours.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def text_column(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column].cast("string"), F.lit(""))
 
@@ -71,3 +82,11 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it is counted to be small; else Spark joins it by shuffle."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -12,12 +12,12 @@ filters drop most meetings before any set is moved:
 
 * length: the smaller set has at least ``threshold`` times the larger one's size;
 * position: the tokens after the shared ones must still suffice for the overlap;
-* parity: tokens flip bits of a 64-bit word, so the words of two sets differ in
-  no more bits than the sets differ in tokens.
+* parity: each token flips one of 128 bits, so two sets differ in no more bits than
+  in tokens.
 
 The join runs in two steps, so that a group of thousands of similar lines never
-gives all its pairs: each line meets only the earliest line of each of its
-prefix tokens; then only lines without a match yet meet all earlier ones.
+gives all its pairs: each line meets only the earliest line that has one of its
+bands of tokens; then only lines without a match yet meet all earlier ones.
 Candidates are verified on the whole sets.
 
 Defined cases: null and empty texts have no lines and stay as they are; rows
@@ -38,10 +38,14 @@ from pyspark.sql import functions as F
 
 from . import _bytes as B
 from ._rarity import levels, ordered_key
-from ._spark import let, small_enough, table, text_column, written
+from ._spark import fresh, let, release, small_enough, table, text_column, written
 
 THRESHOLD = 0.8
 LEAST_TOKENS = 5
+#: Bands by which a line first meets the earliest lines; more find no other results.
+BANDS = 4
+#: Sets of at least so many tokens have 128 parity bits, smaller ones 64.
+WIDE = 90
 
 
 def tokens_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -103,34 +107,58 @@ def signatures(docs: DataFrame, table_: np.ndarray, threshold: float, least_toke
                 mixed = B.mix(tokens)
                 d1 = np.add.reduceat(mixed, at[:-1])[enough]
                 d2 = np.add.reduceat(B.mix(mixed + np.uint64(1)), at[:-1])[enough]
-                parity = np.bitwise_xor.reduceat(np.uint64(1) << (mixed >> np.uint64(58)), at[:-1])[enough]
+                bit, word = np.uint64(1) << (mixed >> np.uint64(58)), (mixed & np.uint64(1)).astype(bool)
+                parity = [np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), at[:-1])[enough] for k in (False, True)]
+                # bands of three tokens in hash order, by which similar lines find a first match
+                near = np.argsort(mixed)
+                near = mixed[near[np.argsort(np.repeat(np.arange(len(n)), n)[near].astype(np.uint16 if len(n) < 1 << 16 else np.int64), kind="stable")]]
+                cut = np.concatenate(([0], np.cumsum(np.minimum(BANDS, n[enough] // 3))))
+                first_of = np.repeat(at[:-1][enough] - 3 * cut[:-1], np.diff(cut)) + 3 * np.arange(cut[-1])
+                band = B.mix(near[first_of] + near[first_of + 1] * B.MULTIPLIERS[1] + near[first_of + 2] * B.MULTIPLIERS[2])
+                bands = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array((band >> np.uint64(32)).astype(np.uint32).view(np.int32)))
                 n = n[enough]
+                parity[0] = np.where(n < WIDE, parity[0] ^ parity[1], parity[0])
+                parity[1] = np.where(n < WIDE, np.uint64(0), parity[1])
                 size = prefix_length(n, threshold)
                 cut = np.concatenate(([0], np.cumsum(size)))
                 pick = np.repeat(at[:-1][enough] - cut[:-1], size) + np.arange(cut[-1])
                 prefix = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array((tokens[pick] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
                 yield pa.RecordBatch.from_arrays(
                     [batch["doc_id"].slice(first, last - first).take(pa.array(row[enough])), pa.array(number[enough].astype(np.int32)), pa.array(n.astype(np.int32)),
-                     pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(parity.view(np.int64)), prefix],
-                    ["doc_id", "line", "n", "d1", "d2", "parity", "prefix"],
+                     pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), *(pa.array(p.view(np.int64)) for p in parity), prefix, bands],
+                    ["doc_id", "line", "n", "d1", "d2", "p0", "p1", "prefix", "bands"],
                 )
 
-    return docs.mapInArrow(run, f"doc_id {kind}, line int, n int, d1 long, d2 long, parity long, prefix array<int>")
+    return docs.mapInArrow(run, f"doc_id {kind}, line int, n int, d1 long, d2 long, p0 long, p1 long, prefix array<int>, bands array<int>")
+
+
+def packed(at: Column, line: Column, open_: Column) -> Column:
+    """A posting's line, its token's place among the line's tokens and a flag, in one long."""
+    return F.shiftleft(line.cast("long"), 32) + at.cast("long") * 2 + open_.cast("long")
+
+
+def line_of(side: str) -> Column:
+    return F.shiftright(F.col(f"{side}.m"), 32).cast("int")
+
+
+def is_open(side: str) -> Column:
+    return F.col(f"{side}.m").bitwiseAND(F.lit(1)) == 1
 
 
 def may_match(x: str, y: str, threshold: float) -> Column:
     """The length, positional and parity filters on two postings."""
     nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
+    ax, ay = (F.shiftright(F.col(f"{s}.m").bitwiseAND(F.lit(0xFFFFFFFF)), 1) for s in (x, y))
     ratio = threshold / (1 + threshold)
     overlap = F.ceil((nx + ny) * F.lit(ratio) - F.lit(1e-9))
     small, large = F.least(nx, ny), F.greatest(nx, ny)
     # the smaller set's prefix is that of sets of its own size or larger
-    small_at = F.when(nx <= ny, F.col(f"{x}.at")).otherwise(F.col(f"{y}.at"))
-    position = 1 + F.least(nx - F.col(f"{x}.at") - 1, ny - F.col(f"{y}.at") - 1) >= overlap
+    indexed = F.when(nx <= ny, ax).otherwise(ay) <= small - F.ceil(2 * small * F.lit(ratio) - F.lit(1e-9))
+    position = 1 + F.least(nx - ax - 1, ny - ay - 1) >= overlap
     length = small >= large * F.lit(threshold) - F.lit(1e-9)
-    indexed = small_at <= small - F.ceil(2 * small * F.lit(ratio) - F.lit(1e-9))
-    parity = F.bit_count(F.col(f"{x}.parity").bitwiseXOR(F.col(f"{y}.parity"))) <= nx + ny - 2 * overlap
-    return length & indexed & position & parity
+    d0, d1 = (F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}")) for p in ("p0", "p1"))
+    bits = F.when(small < WIDE, F.bit_count(d0.bitwiseXOR(d1))).otherwise(F.bit_count(d0) + F.bit_count(d1))
+    return length & indexed & position & (bits <= nx + ny - 2 * overlap)
 
 
 def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
@@ -181,32 +209,43 @@ def later_matches(docs: DataFrame, threshold: float = THRESHOLD, least_tokens: i
     # lines of equal sets: all but the earliest go
     firsts = lines.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "line")).alias("f")).select("f.doc_id", "f.line", F.lit(True).alias("is_first"))
     marked = lines.join(firsts, ["doc_id", "line"], "left")
-    marked = written(marked.select("doc_id", "line", "n", "parity", F.when(F.col("is_first"), F.col("prefix")).alias("prefix")), "classes")
+    marked = written(marked.select("doc_id", "line", "n", "p0", "p1", F.when(F.col("is_first"), F.col("prefix")).alias("prefix"), F.when(F.col("is_first"), F.col("bands")).alias("bands")), "classes")
     repeats = marked.where("prefix is null").select("doc_id", "line")
-    posting = marked.where("prefix is not null").select(F.posexplode("prefix").alias("at", "token"), "doc_id", "line", "n", "parity")
-
-    # each line meets the earliest line of each of its tokens
-    fields = F.struct("doc_id", "line", "n", "at", "parity")
-    order = Window.partitionBy("token").orderBy("doc_id", "line")
-    led = posting.select(fields.alias("y"), F.first(fields).over(order).alias("x"))
-    names = [F.col("y.doc_id").alias("y_doc"), F.col("y.line").alias("y_line"), F.col("x.doc_id").alias("x_doc"), F.col("x.line").alias("x_line")]
-    earlier = F.struct("x.doc_id", "x.line") < F.struct("y.doc_id", "y.line")
-    pairs = written(led.where(earlier & may_match("x", "y", threshold)).select(*names).distinct(), "pairs")
-    found = written(verified(slim, pairs, threshold).select(F.col("y_doc").alias("doc_id"), F.col("y_line").alias("line")).distinct(), "found")
+    classes = marked.where("prefix is not null")
+    release(slim.sparkSession)
+
+    def postings(df: DataFrame, prefix: Column, open_: Column) -> DataFrame:
+        each = df.select(F.posexplode(prefix).alias("at", "token"), "doc_id", "line", "n", "p0", "p1", open_.alias("open"))
+        return each.select("token", "doc_id", "n", packed(F.col("at"), F.col("line"), F.col("open")).alias("m"), "p0", "p1")
 
-    # the lines without a match meet all earlier lines of their tokens
-    open_ = posting.join(small_enough(found), ["doc_id", "line"], "left_anti")
-    x, y = posting.select("token", fields.alias("x")), open_.select("token", fields.alias("y"))
-    rest = x.join(y, (x["token"] == y["token"]) & earlier & may_match("x", "y", threshold)).select(*names).distinct()
+    ends = [F.col("y.doc_id").alias("y_doc"), line_of("y").alias("y_line"), F.col("x.doc_id").alias("x_doc"), line_of("x").alias("x_line")]
+    x_first = (F.col("x.doc_id") < F.col("y.doc_id")) | ((F.col("x.doc_id") == F.col("y.doc_id")) & (line_of("x") < line_of("y")))
+
+    # each line meets the earliest line of each of its bands; their places in the prefix do not count
+    fields = F.struct("doc_id", "m", "n", "p0", "p1")
+    order = Window.partitionBy("token").orderBy("doc_id", "m")
+    led = postings(classes, F.col("bands"), F.lit(True)).withColumn("m", F.shiftleft(F.shiftright("m", 32), 32)).select(fields.alias("y"), F.first(fields).over(order).alias("x"))
+    pairs = written(led.where(x_first & may_match("x", "y", threshold)).select(*ends).distinct(), "pairs")
+    found = written(verified(slim, pairs, threshold).select(F.col("y_doc").alias("doc_id"), F.col("y_line").alias("line")).distinct(), "found")
+    release(slim.sparkSession)
+
+    # the lines without a match meet all earlier lines of their tokens; both sides share one exchange,
+    # so the condition on y alone is kept inside the joint one
+    flagged = classes.join(small_enough(found).withColumn("matched", F.lit(True)), ["doc_id", "line"], "left")
+    posting = postings(flagged, F.col("prefix"), F.col("matched").isNull())
+    x, y = posting.alias("x"), posting.alias("y")
+    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & F.when(is_open("y"), x_first & may_match("x", "y", threshold)).otherwise(False)).select(*ends).distinct()
     rest = written(rest.join(pairs, pairs.columns, "left_anti"), "pairs")
+    release(slim.sparkSession)
     more = verified(slim, rest, threshold).select(F.col("y_doc").alias("doc_id"), F.col("y_line").alias("line"))
     return repeats.unionByName(found).unionByName(more).distinct()
 
 
-def with_removed(docs: DataFrame, threshold: float = THRESHOLD, least_tokens: int = LEAST_TOKENS) -> DataFrame:
-    """``docs`` with ``_removed``: the numbers of the lines that go (null: none)."""
-    gone = written(later_matches(docs, threshold, least_tokens).groupBy("doc_id").agg(F.collect_set("line").alias("_removed")), "removed")
-    return docs.join(small_enough(gone), "doc_id", "left")
+def with_removed(docs: DataFrame, threshold: float = THRESHOLD, least_tokens: int = LEAST_TOKENS) -> tuple[DataFrame, Column]:
+    """``docs`` with one more column, the numbers of the lines that go (null: none), and that column."""
+    name = fresh(docs, "_removed")
+    gone = written(later_matches(docs, threshold, least_tokens).groupBy("doc_id").agg(F.collect_set("line").alias(name)), "removed")
+    return docs.join(small_enough(gone), "doc_id", "left"), F.col(name)
 
 
 def kept_text(text: Column, removed: Column) -> Column:
@@ -218,18 +257,18 @@ def kept_text(text: Column, removed: Column) -> Column:
 
 def dedup(docs: DataFrame, threshold: float = THRESHOLD, least_tokens: int = LEAST_TOKENS) -> DataFrame:
     """``docs`` without later matches, columns unchanged; a document that loses all its words goes."""
-    out = with_removed(docs, threshold, least_tokens)
-    out = out.withColumn("text", kept_text(F.col("text"), F.col("_removed")))
-    return out.where(F.col("_removed").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    out, removed = with_removed(docs, threshold, least_tokens)
+    out = out.withColumn("text", kept_text(F.col("text"), removed))
+    return out.where(removed.isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines, removed lines and the SHA-256 of the text that stays."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = with_removed(docs)
+    out, removed = with_removed(docs)
     text = text_column(out)
     return out.select(
         "doc_id", (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_removed"), F.lit(0)).cast("long").alias("n_removed"),
-        F.sha2(kept_text(text, F.col("_removed")), 256).alias("kept_sha256"),
+        F.coalesce(F.size(removed), F.lit(0)).cast("long").alias("n_removed"),
+        F.sha2(kept_text(text, removed), 256).alias("kept_sha256"),
     )
