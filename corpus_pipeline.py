@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, jaccard_join, line_dedup, mixing, quality_classifier
-from tessera.llm._spark import table, written
+from tessera.llm._spark import WORD, fresh, table, text_column, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +37,11 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with ``copies``."""
-    taken = mixing.mix(docs).where("copies > 0").groupBy("doc_id", "size").agg(F.max("copies").alias("copies"))
-    sized = docs.withColumn("size", F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long"))
-    return sized.join(taken, ["doc_id", "size"]).select(*docs.columns, "copies")
+    docs = docs.drop("copies")
+    size = fresh(docs, "size")
+    taken = mixing.mix(docs).where("copies > 0").groupBy("doc_id", F.col("size").alias(size)).agg(F.max("copies").alias("copies"))
+    sized = docs.withColumn(size, F.regexp_count(text_column(docs), F.lit(WORD)).cast("long"))
+    return sized.join(taken, ["doc_id", size]).select(*docs.columns, "copies")
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_copies", near_copies), ("decontaminate", decontaminate), ("mix", mix)]

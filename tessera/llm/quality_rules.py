@@ -112,7 +112,8 @@ def jensen_shannon(p: Column, q: Column) -> Column:
         return F.when(a > 0, a * F.log2(a / m)).otherwise(0.0)
 
     terms = F.zip_with(share(p), share(q), lambda a, b: part(a, (a + b) / 2) + part(b, (a + b) / 2))
-    return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2, F.lit(0.0)))
+    divergence = F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2
+    return F.sqrt(F.when(divergence < 0, 0.0).otherwise(divergence))
 
 
 def references(histograms: DataFrame) -> DataFrame:
