@@ -6,10 +6,10 @@ documents. The join is exact:
 1. Documents of equal sets become one class, led by its smallest id.
 2. Two linked sets share one of their first shingles in a global order from
    rare to frequent, so the classes that share such a shingle are a *region*.
-   Each region elects a *pivot*, its smallest id.
-3. Voronoi cells: every class takes the pivot with which it shares most regions
-   (of those that size and parity bounds leave) and its exact distance is
-   found; within the radius r = 1 - threshold it is linked to the pivot and
+   *Pivots* are elected by the classes that share one of their least shingle
+   hashes (near copies share most of these): the smallest id of each.
+3. Voronoi cells: every class takes the pivot that most of its least hashes
+   elect, and, if size and parity bounds leave it, its exact distance is found; within the radius r = 1 - threshold it is linked to the pivot and
    joins the pivot's cell. Other classes are cells of their own, of radius 0.
 4. Cells that meet in a region, and are not yet connected, are joined through
    their pivots p and q: if d(p, q) > r + radius(p) + radius(q), no members are
@@ -40,13 +40,17 @@ from pyspark.sql import functions as F
 
 from . import _bytes as B
 from ._rarity import levels, ordered_key
-from ._spark import small_enough, table, written
+from ._spark import release, small_enough, table, written
 
 SHINGLE = 4
 #: Links as 100 * intersection >= PERCENT * union.
 PERCENT = 85
 #: 64-bit words of the parity sketch.
-PARITY = 4
+PARITY = 16
+#: Least shingle hashes by which classes elect pivots; more find no other links.
+LEADING = 8
+#: Sets that one task compares with one set.
+PARTNERS = 500
 
 
 def shingles_of(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,7 +65,7 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, rarity: np.ndarray, size: int, percent: int) -> DataFrame:
-    """doc_id, n, d1, d2 (digests of the set), parity sketch and prefix of every document."""
+    """doc_id, n, d1, d2 (digests of the set), parity sketch, prefix and least hashes of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(rarity)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -90,14 +94,17 @@ def signatures(docs: DataFrame, rarity: np.ndarray, size: int, percent: int) ->
                 cut = np.concatenate(([0], np.cumsum(take)))
                 pick = ranked[np.repeat(at[:-1] - cut[:-1], take) + np.arange(cut[-1])]
                 prefix = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(values[pick].view(np.int64)))
+                cut = np.concatenate(([0], np.cumsum(np.minimum(n, LEADING))))
+                pick = np.repeat(at[:-1] - cut[:-1], np.diff(cut)) + np.arange(cut[-1])
+                least = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(values[pick].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [batch["doc_id"].slice(first, rows), pa.array(n.astype(np.int64)), *(pa.array(d.view(np.int64)) for d in digests),
-                     *(pa.array(np.ascontiguousarray(parity[:, k]).view(np.int64)) for k in range(PARITY)), prefix],
-                    ["doc_id", "n", "d1", "d2", *(f"p{k}" for k in range(PARITY)), "prefix"],
+                     *(pa.array(np.ascontiguousarray(parity[:, k]).view(np.int64)) for k in range(PARITY)), prefix, least],
+                    ["doc_id", "n", "d1", "d2", *(f"p{k}" for k in range(PARITY)), "prefix", "least"],
                 )
 
     words = ", ".join(f"p{k} long" for k in range(PARITY))
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, d1 long, d2 long, {words}, prefix array<long>")
+    return docs.mapInArrow(run, f"doc_id {kind}, n long, d1 long, d2 long, {words}, prefix array<long>, least array<long>")
 
 
 def least_distance(a: str, b: str) -> Column:
@@ -115,31 +122,49 @@ def least_distance(a: str, b: str) -> Column:
 
 
 def distances(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """``pairs`` (a, b) with their exact distance and whether they are linked."""
+    """``pairs`` (a, b) with their exact distance and whether they are linked.
+
+    The sets of each a's partners are sent to it; an a with many partners is
+    replicated to one task for every ``PARTNERS`` of them.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("parts"))
+    partner = pairs.select("a", "b").join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.lit(True).alias("partner"), F.col("b").alias("doc_id"))
+    pivot = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("partner"), F.col("a").alias("doc_id"))
+    wanted = written(partner.union(pivot).groupBy("doc_id").agg(F.collect_list(F.struct("a", "part", "partner")).alias("to")), "wanted")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, offsets in B.slices(batch["text"]):
                 values, at = B.by_row(*shingles_of(data, offsets, size), last - first)
-                body = [values[x:y].tobytes() for x, y in zip(at, at[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(first, last - first), pa.array(body, pa.binary())], ["doc_id", "body"])
+                body = pa.array([values[x:y].tobytes() for x, y in zip(at, at[1:], strict=False)], pa.binary())
+                to = batch["to"].slice(first, last - first)
+                row = np.repeat(np.arange(last - first), to.value_lengths().to_numpy())
+                flat = to.flatten()
+                for k in range(0, len(row), PARTNERS):
+                    some, owner = flat.slice(k, PARTNERS), pa.array(row[k : k + PARTNERS])
+                    yield pa.RecordBatch.from_arrays([some.field("a"), some.field("part"), some.field("partner"), batch["doc_id"].slice(first, last - first).take(owner), body.take(owner)], ["a", "part", "partner", "b", "body"])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, key = np.empty(0, np.uint64), None
         for batch in batches:
-            d, linked = [], []
-            for x, y in zip(batch["x"], batch["y"], strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.intersect1d(x, y, assume_unique=True).size
-                union = len(x) + len(y) - both
-                d.append(1 - both / union if union else 1.0)
-                linked.append(union > 0 and 100 * both >= percent * union)
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(d, pa.float64()), pa.array(linked, pa.bool_())], ["a", "b", "d", "linked"])
-
-    wanted = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
-    held = written(docs.join(small_enough(wanted), "doc_id").mapInArrow(sets, f"doc_id {kind}, body binary"), "sets")
-    joined = pairs.select("a", "b").join(held.select(F.col("doc_id").alias("a"), F.col("body").alias("x")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("body").alias("y")), "b")
-    return written(joined.select("a", "b", "x", "y").mapInArrow(measure, f"a {kind}, b {kind}, d double, linked boolean"), "distances")
+            keep, d, linked = [], [], []
+            for i, (a, part, partner, x) in enumerate(zip(batch["a"].to_pylist(), batch["part"].to_pylist(), batch["partner"].to_pylist(), batch["body"], strict=True)):
+                x = np.frombuffer(x.as_buffer(), np.uint64)
+                if not partner:
+                    own, key = x.copy(), (a, part)
+                elif key == (a, part):
+                    both = np.intersect1d(own, x, assume_unique=True).size
+                    union = len(own) + len(x) - both
+                    keep.append(i)
+                    d.append(1 - both / union if union else 1.0)
+                    linked.append(union > 0 and 100 * both >= percent * union)
+            take = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["a"].take(take), batch["b"].take(take), pa.array(d, pa.float64()), pa.array(linked, pa.bool_())], ["a", "b", "d", "linked"])
+
+    sent = docs.join(small_enough(wanted, 200_000), "doc_id").mapInArrow(send, f"a {kind}, part long, partner boolean, b {kind}, body binary")
+    met = sent.repartition(F.col("a"), F.col("part")).sortWithinPartitions("a", "part", "partner")
+    return written(met.mapInArrow(measure, f"a {kind}, b {kind}, d double, linked boolean"), "distances")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -188,17 +213,17 @@ def links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tuple
     parity = [f"p{k}" for k in range(PARITY)]
     facts = leads.select("doc_id", "n", *parity)
 
-    # 2. regions and their pivots
-    posting = leads.select("doc_id", F.explode("prefix").alias("shingle")).distinct()
-    region = Window.partitionBy("shingle")
-    regions = posting.select("shingle", "doc_id", F.min("doc_id").over(region).alias("pivot"), F.max("doc_id").over(region).alias("most"))
-    regions = written(regions.where("pivot < most").drop("most"), "regions")
+    release(docs.sparkSession)
+
+    # 2. pivots, elected by the classes that share one of their least shingle hashes
+    leading = leads.select("doc_id", F.explode("least").alias("shingle"))
+    votes = leading.select("doc_id", F.min("doc_id").over(Window.partitionBy("shingle")).alias("pivot")).where("doc_id != pivot")
 
     # 3. Voronoi cells
-    votes = regions.where("doc_id != pivot").groupBy("doc_id", "pivot").agg(F.count("*").alias("votes"))
-    votes = named(named(votes, "doc_id", "x", facts), "pivot", "p", facts).where(least_distance("x", "p") <= r + 1e-9)
-    nearest = votes.groupBy("doc_id").agg(F.max_by("pivot", F.struct("votes", "pivot")).alias("pivot"))
-    assigned = distances(slim, nearest.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")), size, percent)
+    nearest = votes.groupBy("doc_id", "pivot").agg(F.count("*").alias("votes")).groupBy("doc_id").agg(F.max_by("pivot", F.struct("votes", "pivot")).alias("pivot"))
+    nearest = named(named(nearest, "doc_id", "x", facts), "pivot", "p", facts).where(least_distance("x", "p") <= r + 1e-9)
+    assigned = distances(slim, nearest.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")), size, percent)
+    assigned = assigned.select(F.col("b").alias("a"), F.col("a").alias("b"), "d", "linked")
     found = assigned.where("linked").select("a", "b")
     joined = assigned.where("linked").select("a", "b", "d")
     # a class whose pivot has joined a cell itself stays a cell of its own
@@ -207,9 +232,11 @@ def links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tuple
 
     # 4. cells that meet in a region
     linked_to = components(found)
-    placed = regions.select("shingle", "doc_id").join(members, "doc_id", "left").join(linked_to, "doc_id", "left")
-    placed = placed.select("shingle", F.coalesce("cell", "doc_id").alias("cell"), F.coalesce("component", "doc_id").alias("component")).distinct()
-    placed = placed.join(radius, "cell", "left").select("shingle", "component", "cell", F.coalesce("radius", F.lit(0.0)).alias("radius"))
+    celled = leads.select("doc_id", "prefix").join(members, "doc_id", "left").join(linked_to, "doc_id", "left")
+    celled = celled.select(F.coalesce("cell", "doc_id").alias("cell"), F.coalesce("component", "doc_id").alias("component"), F.explode("prefix").alias("shingle"))
+    region = Window.partitionBy("shingle")
+    apart = celled.withColumns({"least": F.min("component").over(region), "most": F.max("component").over(region)}).where("least < most")
+    placed = apart.select("shingle", "cell", "component").distinct().join(radius, "cell", "left").select("shingle", "component", "cell", F.coalesce("radius", F.lit(0.0)).alias("radius"))
     placed = written(named(placed, "cell", "s", facts).select("shingle", "component", F.struct("cell", "radius", "s.*").alias("s")), "placed")
     x, y = placed.select("shingle", F.col("component").alias("cx"), F.col("s").alias("x")), placed.select("shingle", F.col("component").alias("cy"), F.col("s").alias("y"))
     near = least_distance("x", "y") <= r + F.col("x.radius") + F.col("y.radius") + 1e-9
@@ -218,6 +245,7 @@ def links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tuple
     between = meet.join(distances(slim, meet, size, percent), ["a", "b"])
     between = written(between, "between")
     found = written(found.union(between.where("linked").select("a", "b")), "found")
+    release(docs.sparkSession)
 
     # 5. boundaries of cells that may still be linked
     close = between.where(~F.col("linked") & (F.col("d") <= r + F.col("ra") + F.col("rb") + 1e-9) & (F.col("ra") + F.col("rb") > 0))
@@ -232,8 +260,8 @@ def links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tuple
     of_a = close.join(cells.withColumnRenamed("cell", "a"), "a").where(F.col("d") >= F.col("between") - r - F.col("rb") - 1e-9)
     of_b = close.join(cells.withColumnRenamed("cell", "b"), "b").where(F.col("d") >= F.col("between") - r - F.col("ra") - 1e-9)
     of_b = of_b.select("a", "b", F.col("doc_id").alias("y"), F.col("component").alias("cy"))
-    inner = of_b.where("y != b").select(F.col("y").alias("a"), F.col("a").alias("b")).distinct()
-    to_pivot = distances(slim, inner, size, percent).select(F.col("a").alias("y"), F.col("b").alias("a"), F.col("d").alias("dy"), "linked")
+    inner = of_b.where("y != b").select("a", F.col("y").alias("b")).distinct()
+    to_pivot = distances(slim, inner, size, percent).select(F.col("b").alias("y"), "a", F.col("d").alias("dy"), "linked")
     direct = to_pivot.where("linked").select(F.col("y").alias("a"), F.col("a").alias("b"))
     known = to_pivot.select("y", "a", "dy").union(close.select(F.col("b").alias("y"), "a", F.col("between").alias("dy"))).distinct()
     of_b = of_b.join(known, ["y", "a"])

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from . import _bytes as B
 from ._grouping import common_prefixes, suffix_array
-from ._spark import small_enough, table, written
+from ._spark import release, small_enough, table, written
 
 LENGTH = 100
 K = 32
@@ -66,7 +66,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     sums = B.prefix_hash(data)
     at = np.arange(len(data) - K + 1)
     grams = B.span_hash(sums, at, at + K)
-    bits = np.uint64(max(20, int(len(data)).bit_length()))
+    bits = np.uint64(32)  # the upper half of the hash decides, then the place
     key = (grams >> bits << bits) | at.astype(np.uint64)
     # least key over LENGTH - K + 1 grams, by doubling
     width, least = 1, key
@@ -141,7 +141,7 @@ def surroundings(docs: DataFrame, firsts: DataFrame) -> DataFrame:
                     ["key", "doc_id", "place", "body"],
                 )
 
-    return docs.join(small_enough(lists, 100_000), "doc_id").mapInArrow(run, f"key long, doc_id {kind}, place long, body binary")
+    return docs.join(lists, "doc_id").mapInArrow(run, f"key long, doc_id {kind}, place long, body binary")
 
 
 def repeated(group: np.ndarray, place: np.ndarray, bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -249,13 +249,15 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     marked = found.withColumns({"low": F.min(place).over(by_around), "c0": F.min("c").over(by_gram), "c1": F.max("c").over(by_gram)})
     marked = marked.select("doc_id", "h", "c", "place", (place == F.col("low")).alias("is_first"), (F.col("c0") != F.col("c1")).alias("varied"))
     marked = written(marked.where(~F.col("is_first") | F.col("varied")), "anchors")
+    release(docs.sparkSession)
 
     start, most, least = F.expr(f"place div {PACK * PACK}"), F.expr(f"place div {PACK} % {PACK}"), F.expr(f"place % {PACK}")
     whole = marked.where(~F.col("is_first")).select("doc_id", (start - most).alias("start"), (start - least + LENGTH).alias("end"))
     firsts = marked.where("is_first and varied").select("doc_id", "h", "place").distinct()
     many = firsts.groupBy("h").count().where(F.col("count") > MOST_SURROUNDINGS).select("h", F.lit(True).alias("many"))
     firsts = firsts.join(many, "h", "left").select("doc_id", "h", "place", F.coalesce("many", F.lit(False)).alias("parted"))
-    sorted_ = sort_surroundings(surroundings(slim, firsts))
+    sorted_ = written(sort_surroundings(surroundings(slim, firsts)), "sorted")
+    release(docs.sparkSession)
 
     # ranges that touch or overlap become one
     every = whole.union(sorted_)
