@@ -124,8 +124,9 @@ def least_distance(a: str, b: str) -> Column:
 def distances(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """``pairs`` (a, b) with their exact distance and whether they are linked.
 
-    The sets of each a's partners are sent to it; an a with many partners is
-    replicated to one task for every ``PARTNERS`` of them.
+    The texts of each a's partners are sent to it, as they compress far better
+    than their sets of hashes; an a with many partners is replicated to one task
+    for every ``PARTNERS`` of them.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("parts"))
@@ -133,36 +134,27 @@ def distances(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
     pivot = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("partner"), F.col("a").alias("doc_id"))
     wanted = written(partner.union(pivot).groupBy("doc_id").agg(F.collect_list(F.struct("a", "part", "partner")).alias("to")), "wanted")
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, last, data, offsets in B.slices(batch["text"]):
-                values, at = B.by_row(*shingles_of(data, offsets, size), last - first)
-                body = pa.array([values[x:y].tobytes() for x, y in zip(at, at[1:], strict=False)], pa.binary())
-                to = batch["to"].slice(first, last - first)
-                row = np.repeat(np.arange(last - first), to.value_lengths().to_numpy())
-                flat = to.flatten()
-                for k in range(0, len(row), PARTNERS):
-                    some, owner = flat.slice(k, PARTNERS), pa.array(row[k : k + PARTNERS])
-                    yield pa.RecordBatch.from_arrays([some.field("a"), some.field("part"), some.field("partner"), batch["doc_id"].slice(first, last - first).take(owner), body.take(owner)], ["a", "part", "partner", "b", "body"])
-
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, key = np.empty(0, np.uint64), None
         for batch in batches:
             keep, d, linked = [], [], []
-            for i, (a, part, partner, x) in enumerate(zip(batch["a"].to_pylist(), batch["part"].to_pylist(), batch["partner"].to_pylist(), batch["body"], strict=True)):
-                x = np.frombuffer(x.as_buffer(), np.uint64)
-                if not partner:
-                    own, key = x.copy(), (a, part)
-                elif key == (a, part):
-                    both = np.intersect1d(own, x, assume_unique=True).size
-                    union = len(own) + len(x) - both
-                    keep.append(i)
-                    d.append(1 - both / union if union else 1.0)
-                    linked.append(union > 0 and 100 * both >= percent * union)
+            names, parts_, is_partner = (batch[c].to_pylist() for c in ("a", "part", "partner"))
+            for first, last, data, offsets in B.slices(batch["body"]):
+                values, at = B.by_row(*shingles_of(data, offsets, size), last - first)
+                for i in range(first, last):
+                    x = values[at[i - first] : at[i - first + 1]]
+                    if not is_partner[i]:
+                        own, key = x.copy(), (names[i], parts_[i])
+                    elif key == (names[i], parts_[i]):
+                        both = np.intersect1d(own, x, assume_unique=True).size
+                        union = len(own) + len(x) - both
+                        keep.append(i)
+                        d.append(1 - both / union if union else 1.0)
+                        linked.append(union > 0 and 100 * both >= percent * union)
             take = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch["a"].take(take), batch["b"].take(take), pa.array(d, pa.float64()), pa.array(linked, pa.bool_())], ["a", "b", "d", "linked"])
 
-    sent = docs.join(small_enough(wanted, 200_000), "doc_id").mapInArrow(send, f"a {kind}, part long, partner boolean, b {kind}, body binary")
+    sent = docs.join(small_enough(wanted, 200_000), "doc_id").select(F.explode("to").alias("to"), F.col("doc_id").alias("b"), F.col("text").cast("binary").alias("body")).select("to.*", "b", "body")
     met = sent.repartition(F.col("a"), F.col("part")).sortWithinPartitions("a", "part", "partner")
     return written(met.mapInArrow(measure, f"a {kind}, b {kind}, d double, linked boolean"), "distances")
 
@@ -264,11 +256,11 @@ def links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tuple
     to_pivot = distances(slim, inner, size, percent).select(F.col("b").alias("y"), "a", F.col("d").alias("dy"), "linked")
     direct = to_pivot.where("linked").select(F.col("y").alias("a"), F.col("a").alias("b"))
     known = to_pivot.select("y", "a", "dy").union(close.select(F.col("b").alias("y"), "a", F.col("between").alias("dy"))).distinct()
-    of_b = of_b.join(known, ["y", "a"])
-    of_a = of_a.select("a", "b", F.col("doc_id").alias("x"), F.col("component").alias("cx"), F.col("d").alias("dx"))
-    window = of_a.join(of_b, ["a", "b"]).where((F.abs(F.col("dx") - F.col("dy")) <= r + 1e-9) & (F.col("cx") != F.col("cy")))
+    of_b = named(of_b.join(known, ["y", "a"]), "y", "fy", facts)
+    of_a = named(of_a.select("a", "b", F.col("doc_id").alias("x"), F.col("component").alias("cx"), F.col("d").alias("dx")), "x", "fx", facts)
+    # size and parity bounds are part of the join, so only pairs that they leave are ever moved
+    window = of_a.join(of_b, ["a", "b"]).where((F.abs(F.col("dx") - F.col("dy")) <= r + 1e-9) & (F.col("cx") != F.col("cy")) & (least_distance("fx", "fy") <= r + 1e-9))
     window = window.select(F.least("x", "y").alias("doc_id"), F.greatest("x", "y").alias("pivot")).distinct()
-    window = named(named(window, "doc_id", "x", facts), "pivot", "p", facts).where(least_distance("x", "p") <= r + 1e-9)
     last = distances(slim, window.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")), size, percent)
     return signed, found.union(direct).union(last.where("linked").select("a", "b"))
 
