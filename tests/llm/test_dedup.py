@@ -150,3 +150,34 @@ def test_null_ids(spark):
     assert line_dedup.dedup(docs).count() == 3
     assert sorted(str(r.component_id) for r in jaccard_join.cluster(docs).collect()) == ["3", "None", "None"]
     assert all(r.n_removed == 0 for r in suffix_dedup.report(docs).collect())
+
+
+def near_groups(texts, size, percent):
+    sets = {}
+    for i, t in texts:
+        w = WORD.findall((t or "").translate(LOWER))
+        sets[i] = {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set()
+    least = {i: i for i in sets}
+    linked = [(i, j) for i in sets for j in sets if j < i and sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+    for _ in sets:
+        for i, j in linked:
+            least[i] = least[j] = min(least[i], least[j])
+    return least
+
+
+def test_near_copies_stage(spark, words):
+    """Groups at five words and 80 %; one changed word in fifty, and longer texts that differ in several places."""
+    import corpus_pipeline
+
+    r = random.Random(8)
+    texts = []
+    for length, edits in [(50, 1), (50, 2), (90, 1), (300, 5), (300, 6), (300, 7)] * 3:
+        w = [r.choice(words) for _ in range(length)]
+        v = list(w)
+        for k in range(edits):
+            v[20 + k * (length - 40) // edits] = "changed"
+        texts += [(len(texts), " ".join(w)), (len(texts) + 1, " ".join(v))]
+    expected = near_groups(texts, 5, 80)
+    assert set(expected.values()) != set(near_groups(texts, 4, 85).values())
+    docs = frame(spark, texts)
+    assert {x.doc_id for x in corpus_pipeline.near_copies(spark, docs, "").collect()} == set(expected.values())
