@@ -3,12 +3,15 @@
 A line's set is its distinct lower-case words. A line goes if an earlier line
 (smaller doc_id, or same document and smaller number) has a set of Jaccard
 similarity ``threshold`` or more; lines are judged on the input, not on what is
-left. Lines of fewer than ``least_tokens`` distinct words are left alone.
+left. Lines of fewer than ``least_tokens`` distinct words are left alone; the
+query and the pipeline's stage take lines of every size (``ANY_SIZE``).
 
 Lines of equal sets are first reduced to their earliest one. The others meet
 through the prefix filter: tokens are ordered from rare to frequent, and two
-similar lines share a token in the first few. Length, positional and parity
-filters drop most meetings before any set is moved:
+similar lines share a token in the first few. Sets so small that one more token
+already breaks the threshold (up to three at 0.8) match equal sets only, so they
+are settled by the reduction and never meet others. Length, positional and
+parity filters drop most meetings before any set is moved:
 
 * length: the smaller set has at least ``threshold`` times the larger one's size;
 * position: the tokens after the shared ones must still suffice for the overlap;
@@ -42,6 +45,8 @@ from ._spark import fresh, let, release, small_enough, table, text_column, writt
 
 THRESHOLD = 0.8
 LEAST_TOKENS = 5
+#: The least number of words of a line that has any: no line is left alone.
+ANY_SIZE = 1
 #: Bands by which a line first meets the earliest lines; more find no other results.
 BANDS = 4
 #: Sets of at least so many tokens have 128 parity bits, smaller ones 64.
@@ -89,6 +94,11 @@ def prefix_length(n: np.ndarray, threshold: float) -> np.ndarray:
     return n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
 
 
+def matches_equal_only(n: np.ndarray, threshold: float) -> np.ndarray:
+    """Sizes whose sets are similar to no other set: one of n + 1 tokens is too far already."""
+    return n < threshold * (n + 1) - 1e-9
+
+
 def signatures(docs: DataFrame, table_: np.ndarray, threshold: float, least_tokens: int) -> DataFrame:
     """A row per line with enough tokens: doc_id, line, n, d1, d2 (digests of the set), parity and prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(table_)
@@ -112,14 +122,15 @@ def signatures(docs: DataFrame, table_: np.ndarray, threshold: float, least_toke
                 # bands of three tokens in hash order, by which similar lines find a first match
                 near = np.argsort(mixed)
                 near = mixed[near[np.argsort(np.repeat(np.arange(len(n)), n)[near].astype(np.uint16 if len(n) < 1 << 16 else np.int64), kind="stable")]]
-                cut = np.concatenate(([0], np.cumsum(np.minimum(BANDS, n[enough] // 3))))
+                alone = matches_equal_only(n[enough], threshold)
+                cut = np.concatenate(([0], np.cumsum(np.where(alone, 0, np.minimum(BANDS, n[enough] // 3)))))
                 first_of = np.repeat(at[:-1][enough] - 3 * cut[:-1], np.diff(cut)) + 3 * np.arange(cut[-1])
                 band = B.mix(near[first_of] + near[first_of + 1] * B.MULTIPLIERS[1] + near[first_of + 2] * B.MULTIPLIERS[2])
                 bands = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array((band >> np.uint64(32)).astype(np.uint32).view(np.int32)))
                 n = n[enough]
                 parity[0] = np.where(n < WIDE, parity[0] ^ parity[1], parity[0])
                 parity[1] = np.where(n < WIDE, np.uint64(0), parity[1])
-                size = prefix_length(n, threshold)
+                size = np.where(alone, 0, prefix_length(n, threshold))
                 cut = np.concatenate(([0], np.cumsum(size)))
                 pick = np.repeat(at[:-1][enough] - cut[:-1], size) + np.arange(cut[-1])
                 prefix = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array((tokens[pick] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
@@ -265,7 +276,7 @@ def dedup(docs: DataFrame, threshold: float = THRESHOLD, least_tokens: int = LEA
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines, removed lines and the SHA-256 of the text that stays."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out, removed = with_removed(docs)
+    out, removed = with_removed(docs, least_tokens=ANY_SIZE)
     text = text_column(out)
     return out.select(
         "doc_id", (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),

@@ -181,3 +181,21 @@ def test_near_copies_stage(spark, words):
     assert set(expected.values()) != set(near_groups(texts, 4, 85).values())
     docs = frame(spark, texts)
     assert {x.doc_id for x in corpus_pipeline.near_copies(spark, docs, "").collect()} == set(expected.values())
+
+
+def test_lines_of_every_size(spark, corpus):
+    """No least size: equal short lines go, and four words match five that hold them."""
+    import corpus_pipeline
+
+    texts = [*corpus, (200, "yes\nNo yes\nq w e r\nq w e"), (201, "q w e r t\nYES\nyes no"), (202, "e w q\nq w e r z\nt r e w q\nyes no q"), (203, "yes")]
+    expected = later_lines(texts, least=1)
+    assert {(201, 0), (201, 1), (201, 2), (202, 0), (202, 1), (202, 2), (203, 0)} <= expected and (202, 3) not in expected
+    assert {tuple(x) for x in line_dedup.later_matches(frame(spark, texts), least_tokens=line_dedup.ANY_SIZE).collect()} == expected
+    kept = {x.doc_id: x.text for x in corpus_pipeline.lines(spark, frame(spark, texts), "").collect()}
+    assert kept[202] == "yes no q" and 203 not in kept
+
+
+def test_lines_query_takes_every_size(spark, tmp_path):
+    texts = [(1, "yes no\na b c d e f"), (2, "No yes\nelse"), (3, "else")]
+    frame(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    assert {x.doc_id: x.n_removed for x in line_dedup.query(spark, str(tmp_path)).collect()} == {1: 0, 2: 1, 3: 1}
