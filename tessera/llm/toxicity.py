@@ -60,15 +60,23 @@ _STATE[97:123] = np.arange(26)
 _CANDIDATES = np.full((256, 5), -1, np.int64)
 for _c, _letters in IMITATES.items():
     _CANDIDATES[ord(_c), : len(_letters)] = [ord(x) - 97 for x in _letters]
-#: Longest obfuscated span that is one lattice; a longer one is cut in lattices of this length.
+#: Width of the narrowest lattices; longer spans are whole lattices of two, four, ... times this width.
 SPAN = 48
+#: Lattice columns, of all rows, that are decoded at once; a single longer span is decoded alone.
+CELLS = 4096 * SPAN
 
 
 @dataclass(frozen=True)
 class Channel:
-    """Log probabilities of a letter after a letter, under both language models."""
+    """Log probabilities of a letter after a letter, under both language models; what marks toxic words.
+
+    ``marks`` are the hashes of the learned toxic words and beginnings in
+    ascending order, ``longest`` is the length of the longest such word.
+    """
 
     models: tuple[np.ndarray, ...]
+    marks: np.ndarray | None = None
+    longest: int = 0
 
 
 def log_bigrams(counts: np.ndarray) -> np.ndarray:
@@ -158,15 +166,6 @@ def suspicious(data: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.nda
     )
 
 
-def cut_long(start: np.ndarray, end: np.ndarray, row: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, ...]:
-    pieces = np.maximum(1, -(-(end - start) // SPAN))
-    if not len(pieces) or pieces.max() == 1:
-        return start, end, row, own
-    at = np.repeat(np.arange(len(start)), pieces)
-    k = np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    return start[at] + k * SPAN, np.minimum(end[at], start[at] + (k + 1) * SPAN), row[at], own[at]
-
-
 def trimmed(data: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words without the characters before their first and after their last letter; none without letters."""
     letter = _LETTER[data]
@@ -176,43 +175,99 @@ def trimmed(data: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarra
     return where[a[some]], where[b[some]] + 1, row[some]
 
 
-def word_features(data: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of words and of their beginnings."""
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of words and of their beginnings; first those of the words."""
     sums = B.prefix_hash(data)
-    shift = np.uint64(64 - 18)
-    ids, rows = [B.span_hash(sums, start, end) >> shift], [row]
+    hashes, rows = [B.span_hash(sums, start, end)], [row]
     for n in BEGINNINGS:
         has = end - start > n
-        ids.append(B.mix(B.span_hash(sums, start[has], start[has] + n) + np.uint64(n)) >> shift)
+        hashes.append(B.mix(B.span_hash(sums, start[has], start[has] + n) + np.uint64(n)))
         rows.append(row[has])
-    return np.concatenate(ids).astype(np.int64), np.concatenate(rows)
+    return np.concatenate(hashes), np.concatenate(rows)
+
+
+def ids_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - 18)).astype(np.int64)
+
+
+def word_features(data: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of words and of their beginnings."""
+    hashes, rows = word_hashes(data, start, end, row)
+    return ids_of(hashes), rows
+
+
+def marked(hashes: np.ndarray, rows: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and rows of the hashes that are among the marks."""
+    at = np.minimum(np.searchsorted(marks, hashes), len(marks) - 1)
+    found = marks[at] == hashes
+    return ids_of(hashes[found]), rows[found]
+
+
+def toxic_joins(data: np.ndarray, words: tuple[np.ndarray, np.ndarray, np.ndarray], channel: Channel) -> tuple[np.ndarray, np.ndarray]:
+    """Learned toxic words that the letters of neighbouring words make together, and toxic words and beginnings in one word.
+
+    Any number of neighbours counts up to the longest learned word's letters, so
+    a word is found wherever it was cut and whatever stands before and after it.
+    """
+    none = np.empty(0, np.int64)
+    if channel.marks is None or not len(channel.marks):
+        return none, none
+    start, end, row = words
+    letter = _LETTER[data]
+    before = np.concatenate(([0], np.cumsum(letter)))
+    first, last = before[start], before[end]
+    some = first < last
+    first, last, row = first[some], last[some], row[some]
+    text = data[letter]
+    ids, rows = marked(*word_hashes(text, first, last, row), channel.marks)
+    ids, rows = [ids], [rows]
+    sums = B.prefix_hash(text)
+    i = np.arange(len(first))
+    for k in range(1, channel.longest):
+        i = i[i < len(first) - k]
+        i = i[(row[i] == row[i + k]) & (last[i + k] - first[i] <= channel.longest)]
+        if not len(i):
+            break
+        got, owner = marked(B.span_hash(sums, first[i], last[i + k]), row[i], channel.marks)
+        ids.append(got)
+        rows.append(owner)
+    return np.concatenate(ids), np.concatenate(rows)
 
 
 def restored(data: np.ndarray, spans: tuple[np.ndarray, ...], model: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Viterbi decodes of the spans: bytes of all decodes, their offsets, and for each the span it is of.
+    """Viterbi decodes of the whole spans: bytes of all decodes, their offsets, and ``data`` with the decodes in place (0: dropped).
 
     Equal spans are decoded once.
     """
-    start, end, _, _ = spans
+    start, end = spans[:2]
     lengths = end - start
-    matrix = np.zeros((len(start), SPAN), np.uint8)
-    at = np.repeat(np.arange(len(start)), lengths)
-    k = np.arange(len(at)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    matrix[at, k] = data[start[at] + k]
-    unique, back = np.unique(matrix.view(f"V{SPAN}").ravel(), return_inverse=True)
-    unique = unique.view(np.uint8).reshape(-1, SPAN)
-    size = np.zeros(len(unique), np.int64)
-    size[back] = lengths
-    order = np.argsort(size)
-    out = np.zeros_like(unique)
-    for part in np.array_split(order, max(1, len(order) // 4096)):
-        if len(part):
-            width = max(1, int(size[part].max()))
-            out[part, :width] = viterbi(unique[part, :width], size[part], model)
-    decoded = out[back]
-    filled = decoded > 0
-    count = filled.sum(axis=1)
-    return decoded[filled], np.concatenate(([0], np.cumsum(count))), np.arange(len(start))
+    first = np.cumsum(lengths) - lengths
+    place = np.repeat(start - first, lengths) + np.arange(int(lengths.sum()))
+    flat = np.zeros(len(place), np.uint8)
+    class_ = np.ceil(np.log2(np.maximum(lengths, SPAN) / SPAN)).astype(np.int64)
+    for c in np.unique(class_):
+        which, width = np.flatnonzero(class_ == c), SPAN << int(c)
+        size = lengths[which]
+        at = np.repeat(np.arange(len(which)), size)
+        k = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
+        matrix = np.zeros((len(which), width), np.uint8)
+        matrix[at, k] = data[start[which][at] + k]
+        unique, back = np.unique(matrix.view(f"V{width}").ravel(), return_inverse=True)
+        unique = unique.view(np.uint8).reshape(-1, width)
+        own = np.zeros(len(unique), np.int64)
+        own[back] = size
+        order = np.argsort(own)
+        out = np.zeros_like(unique)
+        step = max(1, CELLS // width)
+        for part in (order[x : x + step] for x in range(0, len(order), step)):
+            most = max(1, int(own[part].max()))
+            out[part, :most] = viterbi(unique[part, :most], own[part], model)
+        flat[first[which][at] + k] = out[back[at], k]
+    filled = flat > 0
+    count = np.concatenate(([0], np.cumsum(filled)))
+    whole = data.copy()
+    whole[place] = flat
+    return flat[filled], count[np.append(first, len(flat))], whole
 
 
 def features_of(channel: Channel):
@@ -223,10 +278,10 @@ def features_of(channel: Channel):
         start, end, row = B.spans(data, offsets, B.IS_SPACE)
         ids, rows = word_features(data, *trimmed(data, start, end, row))
         odd = suspicious(data, start, end, row)
-        if channel.models and len(odd[0]):
-            odd = cut_long(*odd)
-            for model in channel.models:
-                text, at, _ = restored(data, odd, model)
+        for model in channel.models:
+            whole = data
+            if len(odd[0]):
+                text, at, whole = restored(data, odd, model)
                 a, b, span = B.spans(text, at, B.IS_SPACE)
                 loose = ~odd[3][span]
                 if loose.any():  # letters set apart: a word may begin at each letter
@@ -236,6 +291,8 @@ def features_of(channel: Channel):
                     a, b, span = np.concatenate((a, more)), np.concatenate((b, ends)), np.concatenate((span, whose))
                 got, owner = word_features(text, a, b, odd[2][span])
                 ids, rows = np.concatenate((ids, got)), np.concatenate((rows, owner))
+            got, owner = toxic_joins(whole, (start, end, row), channel)
+            ids, rows = np.concatenate((ids, got)), np.concatenate((rows, owner))
         return ids, rows
 
     return features
@@ -282,8 +339,8 @@ def toxic_pairs(sample: DataFrame, model: LinearModel) -> np.ndarray:
                 data = B.ASCII_LOWER[data]
                 start, end, row = trimmed(data, *B.spans(data, offsets, B.IS_SPACE))
                 ids, _ = word_features(data, start, end, np.arange(len(start)))
-                marked = weights[ids[: len(start)]] >= TOXIC_WEIGHT
-                start, end = start[marked], end[marked]
+                toxic = weights[ids[: len(start)]] >= TOXIC_WEIGHT
+                start, end = start[toxic], end[toxic]
                 text = b" ".join(data[a:b].tobytes() for a, b in zip(start, end, strict=True))
                 total += letter_pairs(np.frombuffer(b" " + text + b" ", np.uint8), np.array([0, len(text) + 2]))
         a, b = np.nonzero(total)
@@ -295,6 +352,27 @@ def toxic_pairs(sample: DataFrame, model: LinearModel) -> np.ndarray:
     return out
 
 
+def toxic_marks(sample: DataFrame, model: LinearModel) -> tuple[np.ndarray, int]:
+    """Hashes of the words and beginnings in the sample that the model finds toxic, and the longest such word's length in letters."""
+    shared = sample.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = shared.value.weights
+        for batch in batches:
+            for _, _, data, offsets in B.slices(batch["text"]):
+                data = B.ASCII_LOWER[data]
+                start, end, row = trimmed(data, *B.spans(data, offsets, B.IS_SPACE))
+                hashes, at = word_hashes(data, start, end, np.arange(len(start)))
+                toxic = weights[ids_of(hashes)] >= TOXIC_WEIGHT
+                size = np.where(np.arange(len(hashes)) < len(start), (end - start)[at], 0)
+                hashes, where = np.unique(hashes[toxic], return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(size[toxic][where])], ["h", "size"])
+
+    got = sample.where("y > 0").select("text").mapInArrow(run, "h long, size long").distinct().collect()  # of a bounded sample
+    hashes = np.unique(np.array([r["h"] for r in got], np.int64).view(np.uint64))
+    return hashes, max((r["size"] for r in got), default=0)
+
+
 def learnable(doc_id: Column) -> Column:
     """Rows whose labels may be learned: crc32 of the id's text modulo 3 is not 1."""
     return crc(doc_id) % 3 != 1
@@ -305,7 +383,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_rows: in
     sample = training_sample(docs, labels, label, learnable(F.col("doc_id")), train_rows).persist()
     rows, y = sample_features(sample, features_of(Channel(())), FEATURES)
     plain = fit_nbsvm(rows, y, FEATURES, cost=1.0, least_documents=2)
-    channel = Channel((log_bigrams(corpus_pairs(docs)), log_bigrams(toxic_pairs(sample, plain))))
+    channel = Channel((log_bigrams(corpus_pairs(docs)), log_bigrams(toxic_pairs(sample, plain))), *toxic_marks(sample, plain))
     sample.unpersist()
     return channel, plain
 
@@ -320,7 +398,7 @@ def restore(text: str, channel: Channel) -> list[str]:
     """A text's restorations, one for each language model: obfuscated spans replaced."""
     data = B.ASCII_LOWER[np.frombuffer(text.encode(), np.uint8)]
     offsets = np.array([0, len(data)])
-    odd = cut_long(*suspicious(data, *B.spans(data, offsets, B.IS_SPACE)))
+    odd = suspicious(data, *B.spans(data, offsets, B.IS_SPACE))
     out = []
     for model in channel.models:
         decoded, at, _ = restored(data, odd, model) if len(odd[0]) else (np.empty(0, np.uint8), np.zeros(1, int), None)

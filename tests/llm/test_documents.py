@@ -64,6 +64,35 @@ def test_restoration(spark):
         assert toxicity.restore(seen, channel)[0].replace(" ", "") == meant.replace(" ", ""), seen
 
 
+def toxic_channel(*learned):
+    """A channel that has learned words, and a model with a weight of 1 for each."""
+    counts = np.ones((toxicity.STATES, toxicity.STATES))
+    for word in learned:
+        for a, b in zip(f"{{{word}", f"{word}{{", strict=True):
+            counts[ord(a) - 97, ord(b) - 97] += 50
+    text = np.frombuffer(" ".join(learned).encode(), np.uint8)
+    start, end, _ = toxicity.B.spans(text, np.array([0, len(text)]), toxicity.B.IS_SPACE)
+    hashes = toxicity.B.span_hash(toxicity.B.prefix_hash(text), start, end)
+    channel = toxicity.Channel((toxicity.log_bigrams(counts),), np.sort(hashes), max(map(len, learned)))
+    return channel, dict(zip(learned, toxicity.ids_of(hashes).tolist(), strict=True))
+
+
+def found(channel, text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    return set(toxicity.features_of(channel)(data, np.array([0, len(data)]))[0].tolist())
+
+
+def test_long_spaced_runs():
+    """A toxic word is found wherever it stands in a long run of spaced letters, whatever follows it."""
+    channel, ids = toxic_channel("idiot", "scum")
+    for before in range(1, 40):
+        run = "e" + "n r" * before
+        assert ids["idiot"] in found(channel, " ".join((run + "idiot" + "than").replace(" ", ""))), before
+        assert ids["scum"] in found(channel, " ".join((run + "scum" + "than").replace(" ", ""))), before
+    assert toxicity.restore("x." * 60 + "i.d.1.o.t", channel)[0].replace(" ", "").endswith("idiot")
+    assert not {*ids.values()} & found(channel, " ".join("enrenrenr" * 9))
+
+
 def test_viterbi_is_best():
     r = np.random.default_rng(2)
     logp = toxicity.log_bigrams(r.integers(0, 20, (toxicity.STATES, toxicity.STATES)))
