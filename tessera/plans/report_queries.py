@@ -121,6 +121,10 @@ QUERIES = {
         lambda s, d: V.index_candidates(V.gram_index(A.unified(s, d).select(F.concat_ws("_", "source", "id").alias("key"), "title"), "key", C("title")), "key", "tion"),
         A.with_tables("SELECT source || '_' || id AS key FROM unified WHERE contains(lower(title), 'tio') AND contains(lower(title), 'ion')", "unified"),
     ),
+    "v1_k12_text_index": (
+        lambda s, d: V.index_candidates(V.gram_index(A.unified(s, d).select(F.concat_ws("_", "source", "id").alias("key"), "title", "body"), "key", F.concat_ws("\n", "title", "body")), "key", "tion"),
+        A.with_tables("SELECT source || '_' || id AS key FROM unified WHERE contains(lower(concat_ws(chr(10), title, body)), 'tio') AND contains(lower(concat_ws(chr(10), title, body)), 'ion')", "unified"),
+    ),
     "v7_keyword_union": (lambda s, d: V.keyword_union(A.unified(s, d), ["edtion", "thand"], 10), None),
     "v10_nearest": (lambda s, d: V.nearest(A.table(s, d, "embeddings"), _Q, "vec_id", "embedding", 20), f"SELECT vec_id, {_COS} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 20"),
     "v4_graph_context": (lambda s, d: _context(s, d), None),

@@ -164,3 +164,15 @@ def test_streaming_matches_batch_and_resumes(spark, tmp_path):
 def test_settled(spark):
     polls = spark.createDataFrame([(1, 1, "processed"), (1, 2, "processed"), (2, 1, "processed"), (2, 2, "failed"), (2, 3, "processed")], "k int, t int, s string")
     assert rows(E.settled(polls, "k", "t", "s")) == [(1, True), (2, False)]
+
+
+def test_text_index_holds_bodies(spark):
+    """A phrase that stands only in the body is a candidate."""
+    from tessera.plans import catalog
+    from tessera.sources import analogs as A
+
+    folder = "/root/testdata/sf0.001"
+    got = {r.key for r in catalog.queries()["v1_k12_text_index"](spark, folder).collect()}
+    body = A.unified(spark, folder).where("contains(lower(body), 'tion') and not contains(lower(title), 'tion')")
+    below = {r.key for r in body.select(F.concat_ws("_", "source", "id").alias("key")).collect()}
+    assert below and below <= got
