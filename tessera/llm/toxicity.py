@@ -1,12 +1,14 @@
 """Toxicity: noisy-channel deobfuscation, then a linear score of the restored text.
 
-Obfuscated spans (leetspeak, letters set apart, drawn-out letters) become
-character lattices: each observed character may stand for itself, for letters
+Obfuscated spans (leetspeak, letters set apart, doubled or drawn-out letters,
+separators inside a word) become character lattices: each observed character may stand for itself, for letters
 that it imitates, or for nothing (separators, repeated letters), each at a
 channel cost. A Viterbi search finds the likeliest letters under a character
 bigram language model. Two models are used: one counted over all documents and
 one over the words that the training labels mark as toxic; both restorations
-are scored, together with the words that need none.
+are scored, together with the words that need none. Words that only have a
+doubled letter or an inner separator are common in plain text too: of their
+restorations, as of neighbouring words joined, learned toxic words are scored.
 
 The score is a linear hinge-loss model over indicators of restored words and
 of their beginnings.
@@ -126,16 +128,18 @@ def viterbi(spans: np.ndarray, lengths: np.ndarray, logp: np.ndarray) -> np.ndar
     return out
 
 
-def suspicious(data: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Spans that need restoring: (start, end, row, is a word of its own).
+def suspicious(data: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Spans that need restoring: (start, end, row, is a word of its own, is surely obfuscated).
 
-    A word is suspicious if characters that may imitate letters stand beside
-    letters, if a letter stands three times in a row, or if separators part
-    single letters. Three or more one-character words in a row are one span.
+    A word is surely obfuscated if characters that may imitate letters stand
+    beside letters, if a letter stands three times in a row, or if separators
+    part single letters; it may be if a letter is doubled or anything but a
+    letter stands between letters. Three or more one-character words in a row
+    are one span.
     """
     none = np.empty(0, np.int64)
     if not len(start):
-        return none, none, none, none.astype(bool)
+        return none, none, none, none.astype(bool), none.astype(bool)
     letter = _LETTER[data]
 
     def within(marks: np.ndarray) -> np.ndarray:
@@ -151,7 +155,16 @@ def suspicious(data: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.nda
     apart = np.zeros(len(data), bool)
     apart[2:-2] = letter[:-4] & ~letter[1:-3] & letter[2:-2] & ~letter[3:-1] & letter[4:]
     apart[2:-2] &= ~B.IS_SPACE[data[1:-3]] & ~B.IS_SPACE[data[3:-1]]
-    odd = within(beside) | within(thrice) | within(apart)
+    sure = within(beside) | within(thrice) | within(apart)
+    twice = np.zeros(len(data), bool)
+    twice[1:] = letter[1:] & (data[1:] == data[:-1]) & (data[1:] < 128)
+    twice[start] = False
+    # a letter, then none, then a letter again: more than one run of letters in the word
+    begins = letter.copy()
+    begins[1:] &= ~letter[:-1]
+    begins[start] = letter[start]
+    runs = np.concatenate(([0], np.cumsum(begins)))
+    odd = sure | within(twice) | (runs[end] - runs[start] > 1)
     short = (end - start <= 2) & within(letter | leet)
     run = np.zeros(len(start), np.int64)
     change = np.flatnonzero(np.concatenate(([True], (short[1:] != short[:-1]) | (row[1:] != row[:-1]))))
@@ -163,6 +176,7 @@ def suspicious(data: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.nda
     return (
         np.concatenate((start[odd], start[first])), np.concatenate((end[odd], end[last])), np.concatenate((row[odd], row[first])),
         np.concatenate((np.ones(int(odd.sum()), bool), np.zeros(len(first), bool))),
+        np.concatenate((sure[odd], np.ones(len(first), bool))),
     )
 
 
@@ -270,6 +284,15 @@ def restored(data: np.ndarray, spans: tuple[np.ndarray, ...], model: np.ndarray)
     return flat[filled], count[np.append(first, len(flat))], whole
 
 
+def kept_unsure(data: np.ndarray, whole: np.ndarray, spans: tuple[np.ndarray, ...]) -> np.ndarray:
+    """``whole`` with the spans that are not surely obfuscated as they are in ``data``."""
+    start, end = (x[~spans[4]] for x in spans[:2])
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[start] += 1
+    inside[end] -= 1
+    return np.where(np.cumsum(inside[:-1], dtype=np.int8) > 0, data, whole)
+
+
 def features_of(channel: Channel):
     """The feature function of texts, with obfuscated spans restored through ``channel``."""
 
@@ -283,6 +306,8 @@ def features_of(channel: Channel):
             if len(odd[0]):
                 text, at, whole = restored(data, odd, model)
                 a, b, span = B.spans(text, at, B.IS_SPACE)
+                sure = odd[4][span]
+                a, b, span = a[sure], b[sure], span[sure]
                 loose = ~odd[3][span]
                 if loose.any():  # letters set apart: a word may begin at each letter
                     more = np.concatenate([np.arange(x, y) for x, y in zip(a[loose], b[loose], strict=True)])
@@ -291,8 +316,9 @@ def features_of(channel: Channel):
                     a, b, span = np.concatenate((a, more)), np.concatenate((b, ends)), np.concatenate((span, whose))
                 got, owner = word_features(text, a, b, odd[2][span])
                 ids, rows = np.concatenate((ids, got)), np.concatenate((rows, owner))
-            got, owner = toxic_joins(whole, (start, end, row), channel)
-            ids, rows = np.concatenate((ids, got)), np.concatenate((rows, owner))
+            for seen in (whole, kept_unsure(data, whole, odd)):  # a doubled letter may be meant
+                got, owner = toxic_joins(seen, (start, end, row), channel)
+                ids, rows = np.concatenate((ids, got)), np.concatenate((rows, owner))
         return ids, rows
 
     return features

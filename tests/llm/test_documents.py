@@ -93,6 +93,15 @@ def test_long_spaced_runs():
     assert not {*ids.values()} & found(channel, " ".join("enrenrenr" * 9))
 
 
+def test_narrow_obfuscations():
+    """Doubled letters, one separator inside, and a word in two fragments."""
+    channel, ids = toxic_channel("idiot", "stupid", "trash", "worthless")
+    for seen, meant in (("ttrraasshh", "trash"), ("stuupid", "stupid"), ("id.iot", "idiot"), ("tra-sh", "trash"), ("idi ot", "idiot"), ("tra sh", "trash"), ("worth less", "worthless"), ("id i0t", "idiot"), ("st uu pid", "stupid")):
+        assert ids[meant] in found(channel, f"so {seen} then"), seen
+    for plain in ("letter button well-known", "the rash", "an idea or other", "3.5 per cent"):
+        assert not {*ids.values()} & found(channel, plain), plain
+
+
 def test_viterbi_is_best():
     r = np.random.default_rng(2)
     logp = toxicity.log_bigrams(r.integers(0, 20, (toxicity.STATES, toxicity.STATES)))
