@@ -10,6 +10,7 @@ The benchmark is broadcast only in blocks of at most ``BLOCK_CHARS`` characters
 of windows: a larger benchmark takes one scan for each block.
 
 Defined cases: null texts have no words and no hits; empty items match nothing;
+items without an id are hits and count as one item, which the digest leaves out;
 long texts are scanned whole; equal items are all reported; repeated rows are
 reported each; an empty table gives an empty result and an empty benchmark no
 hits; other columns are never read.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -97,10 +99,15 @@ def original_offsets(text: bytes, ranges: list[tuple[int, int]]) -> list[tuple[i
     return [(int(characters[start[a]]), int(characters[end[b - 1]])) for a, b in ranges]
 
 
+def in_order(items: set) -> list:
+    """Item ids in ascending order, null last."""
+    return sorted(items, key=lambda i: (i is None, i or ""))
+
+
 def blocks(benchmark: DataFrame, size: int, block_chars: int) -> Iterator[list[tuple[bytes, list]]]:
     """The benchmark's windows with their item ids, in blocks of bounded size."""
     kind = "string"
-    rows = benchmark.select(benchmark["item_id"].cast(kind).alias("item_id"), benchmark["text"].cast("string").alias("text")).where("item_id is not null")
+    rows = benchmark.select(benchmark["item_id"].cast(kind).alias("item_id"), benchmark["text"].cast("string").alias("text"))
     held: dict[bytes, set] = {}
     chars = 0
     for row in rows.toLocalIterator():
@@ -109,10 +116,10 @@ def blocks(benchmark: DataFrame, size: int, block_chars: int) -> Iterator[list[t
                 chars += len(window) + 2
             held.setdefault(window, set()).add(row["item_id"])
         if chars >= block_chars:
-            yield sorted((w, sorted(i)) for w, i in held.items())
+            yield sorted((w, in_order(i)) for w, i in held.items())
             held, chars = {}, 0
     if held:
-        yield sorted((w, sorted(i)) for w, i in held.items())
+        yield sorted((w, in_order(i)) for w, i in held.items())
 
 
 def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -124,10 +131,11 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_chars:
     span = "array<struct<start:long,end:long>>"
     out = None
     names = plain.columns
-    parts = list(blocks(benchmark, size, block_chars)) or [[]]
+    parts = blocks(benchmark, size, block_chars)
     pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-    for patterns in parts:
+    # one block of the benchmark is on the driver at a time; an empty benchmark has an empty one
+    for patterns in chain([next(parts, [])], parts):
         shared = docs.sparkSession.sparkContext.broadcast(patterns)
         again = out is not None
 
@@ -146,7 +154,7 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_chars:
                     joined = merged(ranges)
                     counts.append(n)
                     hits.append([{"start": a, "end": b} for a, b in joined])
-                    found.append(sorted(items))
+                    found.append(in_order(items))
                     where.append([{"start": a, "end": b} for a, b in original_offsets(text, joined)] if joined else [])
                 columns = {c: batch[c] for c in names}
                 columns |= {"n_words": pa.array(counts, pa.int64()), "hit_words": pa.array(hits, pair), "items": pa.array(found, pa.list_(pa.string())), "spans": pa.array(where, pair)}

@@ -9,9 +9,10 @@ Prefix sums are taken in two levels (within buckets of hash ranges and over
 bucket totals), so no task holds a whole source and reruns agree.
 
 Defined cases: null and empty texts have size 0 and take nothing; a null source
-is a source of its own, last in order; repeated rows are documents of their
-own as long as their ids differ (equal ids share a queue place order by text
-hash); an empty table gives an empty result; other columns are never read.
+is a source of its own, last in order; repeated rows, and rows that share an id
+or have none, are documents of their own, each with its own place in the queue;
+an empty table gives an empty result; ``mix`` reads no other columns and
+``taken`` passes them through.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import WORD, table, text_column, written
+from ._spark import WORD, fresh, table, text_column, written
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -74,7 +75,7 @@ def running(df: DataFrame, keys: list[str], bucket: str, order: list[Column], va
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """doc_id, size, source_size, target, taken and copies of every document."""
+    """doc_id, source, size, source_size, target, taken and copies of every document."""
     slim = written(sizes(docs), "sizes")
     n = slim.count()
     # the key of a source: null is told from every text
@@ -87,10 +88,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPE
     queued = running(slim.withColumn("bucket", F.substring("place", 1, digits)), ["key"], "bucket", [F.col("place"), F.col("doc_id"), F.col("size")], "size", "served")
     # the targets meet the buckets of the sources before the documents do, so no large group is joined
     parts = slim.withColumn("bucket", F.substring("place", 1, digits)).select("key", "bucket").distinct().join(goal, "key")
-    queued = written(queued.join(parts, ["key", "bucket"]).drop("key", "bucket"), "queues")
+    queued = written(queued.join(parts, ["key", "bucket"]).drop("bucket"), "queues")
 
     turns = queued.where((F.col("size") > 0) & (F.col("target") > 0)).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    turns = turns.select("doc_id", "place", "turn", "size", ((F.col("turn") * F.col("source_size") + F.col("served")) / F.col("target")).alias("finish"))
+    # a copy's row is known by its source and the words served with it, which no two rows with words share
+    turns = turns.select("key", "served", "doc_id", "place", "turn", "size", ((F.col("turn") * F.col("source_size") + F.col("served")) / F.col("target")).alias("finish"))
     # virtual time in slots; all times past twice the end share the last slot
     slots = max(64, (repeats * n) // bucket_rows)
     turns = turns.withColumn("slot", F.least(F.floor(F.col("finish") * slots), F.lit(2 * slots)).cast("long"))
@@ -99,18 +101,39 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPE
     ends = by_slot.withColumn("end", F.sum("words").over(Window.orderBy("slot")))
     cut = ends.where(F.col("end") > budget).agg(F.min("slot").alias("slot"), F.min_by(F.col("end") - F.col("words"), "slot").alias("before")).first()
     whole, before = (cut["slot"], cut["before"]) if cut["slot"] is not None else (2 * slots + 1, 0)
-    last = turns.where(F.col("slot") == whole).withColumn("used", F.lit(before) + F.sum("size").over(Window.orderBy("finish", "place", "turn", "doc_id").rowsBetween(Window.unboundedPreceding, 0)))
-    edge = last.where(F.col("used") <= budget).groupBy("doc_id", "place", "size").agg(F.count("*").alias("more"))
+    last = turns.where(F.col("slot") == whole).withColumn("used", F.lit(before) + F.sum("size").over(Window.orderBy("finish", "place", "turn", "doc_id", "key", "served").rowsBetween(Window.unboundedPreceding, 0)))
+    edge = last.where(F.col("used") <= budget).groupBy("key", "served").agg(F.count("*").alias("more"))
     done = F.floor(F.lit(0.0))
     for turn in range(repeats):
         finish = (F.lit(turn) * F.col("source_size") + F.col("served")) / F.col("target")
         done = done + F.when((F.col("size") > 0) & (F.col("target") > 0) & (F.floor(finish * slots) < whole), 1).otherwise(0)
-    out = queued.join(edge, ["doc_id", "place", "size"], "left").withColumn("copies", (done + F.coalesce(F.col("more"), F.lit(0))).cast("long"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    more = F.when(F.col("size") > 0, F.coalesce(F.col("more"), F.lit(0))).otherwise(0)
+    out = queued.join(edge, ["key", "served"], "left").withColumn("copies", (done + more).cast("long"))
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+def taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with one more column, ``copies`` (``copies_`` if that name is taken).
+
+    Rows that share id, source and size are told apart by their number among them,
+    in the order of their copies and of their text hashes.
+    """
+    name, size, nth = fresh(docs, "copies"), fresh(docs, "_size"), fresh(docs, "_nth")
+    same = [F.col("doc_id"), F.col("source").cast("string"), F.col(size)]
+    got = mix(docs, weights, repeats, bucket_rows).where("copies > 0").withColumnRenamed("size", size)
+    got = got.select("doc_id", "source", size, "copies", F.row_number().over(Window.partitionBy(*same).orderBy(F.col("copies").desc())).alias(nth))
+    rows = docs.withColumn(size, F.regexp_count(text_column(docs), F.lit(WORD)).cast("long"))
+    rows = rows.withColumn(nth, F.row_number().over(Window.partitionBy(*same).orderBy(F.xxhash64("text"), "text")))
+    x, y = rows.alias("x"), got.alias("y")
+    on = F.col(f"x.{size}") == F.col(f"y.{size}")
+    for c in ("doc_id", nth):
+        on &= F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}"))
+    on &= F.col("x.source").cast("string").eqNullSafe(F.col("y.source"))
+    return x.join(y, on).select(*[F.col(f"x.`{c}`") for c in docs.columns], F.col("y.copies").alias(name))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).drop("copies")
+    return mix(table(spark, sf_dir, "documents")).drop("copies", "source")
 
 
 #: DuckDB SQL of the query's rows.

@@ -14,13 +14,15 @@ Sections may overlap or leave gaps; each is counted by itself.
 
 Defined cases: a null or empty text has one empty section with 0 tokens (by
 lines) or the given sections with 0 tokens; null sections are skipped; ranges
-are cut to the text; long texts are encoded whole; repeated rows are counted
-each; an empty table gives an empty result; other columns are never read.
+are cut to the text; long texts, unbroken or blank ones too, are encoded whole;
+repeated rows are counted each; an empty table gives an empty result; other
+columns are never read.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,6 +38,9 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the vocabulary's pattern for pieces.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 RULES = ("first", "last", "share")
+#: White space (Unicode's) that is cut out as a piece of its own if its run is longer; the pattern's
+#: lookahead steps back through a run, which a run of a million characters does not survive.
+LONG_BLANK = re.compile("[\\t-\\r \\x85\\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 
 
 @lru_cache(maxsize=2)
@@ -48,10 +53,26 @@ def encoder(path: str = VOCABULARY) -> tuple[tiktoken.Encoding, np.ndarray]:
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), lengths
 
 
+def encoded(text: str, coder: tiktoken.Encoding) -> list[int]:
+    """The tokens of the whole text.
+
+    A long run of white space is one piece of the pattern but for its last
+    character, which goes with what follows, if anything does; so the text may be
+    cut there and the pieces encoded one by one.
+    """
+    out, last = [], 0
+    for run in LONG_BLANK.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        out += coder.encode_ordinary(text[last : run.start()])
+        out += coder._encode_single_piece(text[run.start() : end])
+        last = end
+    return out + coder.encode_ordinary(text[last:]) if last else coder.encode_ordinary(text)
+
+
 def token_ends(text: str, path: str = VOCABULARY) -> np.ndarray:
     """Byte offsets where the tokens of the text end."""
     coder, lengths = encoder(path)
-    return np.cumsum(lengths[np.asarray(coder.encode_ordinary(text), dtype=np.int64)])
+    return np.cumsum(lengths[np.asarray(encoded(text, coder), dtype=np.int64)])
 
 
 def line_ranges(data: bytes) -> np.ndarray:
