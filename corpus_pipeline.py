@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, written as
 Parquet and read again for the next one. All but the last return the columns of
 ``documents``; the last adds how often each document is taken.
+
+Defined cases, in every stage: null and empty texts have no features, lines,
+shingles or windows, so only the classifier (by its bias) and the mix (they take
+nothing) can drop them; rows without an id stay through ``lines`` and
+``near_copies`` and are told apart in ``mix``; repeated rows are judged each,
+but equal ones are near copies only under different ids; an empty table passes
+through; extra columns are passed on, whatever their names.
 """
 
 from __future__ import annotations
@@ -11,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, jaccard_join, line_dedup, mixing, quality_classifier
-from tessera.llm._spark import WORD, fresh, table, text_column, written
+from tessera.llm._spark import table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,11 +44,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with ``copies``."""
-    docs = docs.drop("copies")
-    size = fresh(docs, "size")
-    taken = mixing.mix(docs).where("copies > 0").groupBy("doc_id", F.col("size").alias(size)).agg(F.max("copies").alias("copies"))
-    sized = docs.withColumn(size, F.regexp_count(text_column(docs), F.lit(WORD)).cast("long"))
-    return sized.join(taken, ["doc_id", size]).select(*docs.columns, "copies")
+    return mixing.taken(docs)
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_copies", near_copies), ("decontaminate", decontaminate), ("mix", mix)]
