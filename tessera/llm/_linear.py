@@ -33,19 +33,12 @@ class LinearModel:
         return 1.0 / (1.0 + np.exp(-self.steepness * np.clip(margin, -30, 30)))
 
 
-def present(ids: np.ndarray, rows: np.ndarray, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, feature) pairs in row order; at most 4 MB of flags at once."""
-    step = max(1, (1 << 22) // size)
-    if n <= step:
-        flags = np.zeros(n * size, bool)
-        flags[rows.astype(np.int64) * size + ids] = True
-        found = np.flatnonzero(flags)
-        return found % size, found // size
-    order = np.argsort(rows.astype(np.uint16), kind="stable")
-    ids, rows = ids[order], rows[order]
-    cut = np.searchsorted(rows, np.arange(0, n + step, step))
-    parts = [present(ids[a:b], rows[a:b] - k * step, min(step, n - k * step), size) for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if k * step < n]
-    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] + k * step for k, p in enumerate(parts)])
+def present(ids: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, feature) pairs in row order."""
+    both = np.sort(rows.astype(np.int64) * size + ids)
+    if len(both):
+        both = both[np.concatenate(([True], both[1:] != both[:-1]))]
+    return both % size, both // size
 
 
 def log_count_ratio(rows: list[np.ndarray], labels: np.ndarray, size: int, smooth: float = 1.0) -> np.ndarray:
@@ -125,7 +118,7 @@ def sample_features(sample: DataFrame, features: Features, size: int) -> tuple[l
         for batch in batches:
             out = []
             for first, last, data, offsets in B.slices(batch["text"]):
-                ids, rows = present(*features(data, offsets), last - first, size)
+                ids, rows = present(*features(data, offsets), size)
                 cut = np.searchsorted(rows, np.arange(last - first + 1))
                 out += [ids[a:b].astype(np.uint32).tobytes() for a, b in zip(cut, cut[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.string()), batch["y"], pa.array(out, pa.binary())], ["doc_id", "y", "ids"])
@@ -146,7 +139,7 @@ def scored(docs: DataFrame, features: Features, model: LinearModel, held_out: Co
         for batch in batches:
             scores = np.empty(batch.num_rows)
             for first, last, data, offsets in B.slices(batch["text"]):
-                ids, rows = present(*features(data, offsets), last - first, size)
+                ids, rows = present(*features(data, offsets), size)
                 margin = np.bincount(rows, weights=own.weights[ids], minlength=last - first) + own.bias
                 scores[first:last] = own.probability(margin)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(scores)], ["doc_id", "held_out", "score"])
@@ -166,7 +159,7 @@ def selected(docs: DataFrame, features: Features, model: LinearModel, threshold:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
             for first, last, data, offsets in B.slices(batch.column(at)):
-                ids, rows = present(*features(data, offsets), last - first, size)
+                ids, rows = present(*features(data, offsets), size)
                 margin = np.bincount(rows, weights=own.weights[ids], minlength=last - first) + own.bias
                 keep[first:last] = own.probability(margin) >= threshold
             yield batch.filter(pa.array(keep))
