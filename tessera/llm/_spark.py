@@ -9,11 +9,12 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _own: dict[str, str] = {}
 
-#: A table is broadcast up to this many counted rows, and joined by shuffle beyond.
-BROADCAST_ROWS = 1_000_000
+#: A table is broadcast up to this many measured bytes, and joined by shuffle beyond.
+BROADCAST_BYTES = 32 << 20
 
 #: The word pattern of the contracts, for Java and RE2 alike.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -79,9 +80,24 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
-def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it is counted to be small; else Spark joins it by shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row of ``df`` takes, arrays and texts by their own length."""
+    total = F.lit(16).cast("long")
+    for f in df.schema:
+        if isinstance(f.dataType, T.ArrayType):
+            item = 8 * max(1, len(f.dataType.elementType)) if isinstance(f.dataType.elementType, T.StructType) else 8
+            total = total + 16 + F.coalesce(F.size(f.name), F.lit(0)) * item
+        elif isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            total = total + 16 + F.coalesce(F.octet_length(f.name), F.lit(0))
+        else:
+            total = total + 8
+    return total
+
+
+def small_enough(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its rows are measured to be small in all; else Spark joins it by shuffle."""
+    size = df.agg(F.coalesce(F.sum(row_bytes(df)), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= most else df
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -154,7 +154,7 @@ def distances(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
             take = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch["a"].take(take), batch["b"].take(take), pa.array(d, pa.float64()), pa.array(linked, pa.bool_())], ["a", "b", "d", "linked"])
 
-    sent = docs.join(small_enough(wanted, 200_000), "doc_id").select(F.explode("to").alias("to"), F.col("doc_id").alias("b"), F.col("text").cast("binary").alias("body")).select("to.*", "b", "body")
+    sent = docs.join(small_enough(wanted), "doc_id").select(F.explode("to").alias("to"), F.col("doc_id").alias("b"), F.col("text").cast("binary").alias("body")).select("to.*", "b", "body")
     met = sent.repartition(F.col("a"), F.col("part")).sortWithinPartitions("a", "part", "partner")
     return written(met.mapInArrow(measure, f"a {kind}, b {kind}, d double, linked boolean"), "distances")
 

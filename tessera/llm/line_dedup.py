@@ -18,9 +18,12 @@ parity filters drop most meetings before any set is moved:
 * parity: each token flips one of 128 bits, so two sets differ in no more bits than
   in tokens.
 
-The join runs in two steps, so that a group of thousands of similar lines never
-gives all its pairs: each line meets only the earliest line that has one of its
-bands of tokens; then only lines without a match yet meet all earlier ones.
+Tokens that few lines have in their prefix join directly. Where a token is in
+the prefixes of more than ``GROUP`` lines, such as the words of a passage that
+many lines hold, its lines first meet the earliest of them. Those without a match
+then meet by a second token: among the lines of one first token any order of the
+other tokens keeps the prefix filter exact, so the words that the earliest line
+does not have come first, and lines that share the passage only do not meet.
 Candidates are verified on the whole sets.
 
 Defined cases: null and empty texts have no lines and stay as they are; rows
@@ -41,14 +44,16 @@ from pyspark.sql import functions as F
 
 from . import _bytes as B
 from ._rarity import levels, ordered_key
-from ._spark import fresh, let, release, small_enough, table, text_column, written
+from ._spark import fresh, let, small_enough, table, text_column, written
 
 THRESHOLD = 0.8
 LEAST_TOKENS = 5
 #: The least number of words of a line that has any: no line is left alone.
 ANY_SIZE = 1
-#: Bands by which a line first meets the earliest lines; more find no other results.
-BANDS = 4
+#: Lines of a prefix token that meet each other directly; the others meet by a second token.
+GROUP = 1000
+#: Bytes of the map of a line's tokens by which its group's other tokens are told from its own.
+MAP = 64
 #: Sets of at least so many tokens have 128 parity bits, smaller ones 64.
 WIDE = 90
 
@@ -99,6 +104,11 @@ def matches_equal_only(n: np.ndarray, threshold: float) -> np.ndarray:
     return n < threshold * (n + 1) - 1e-9
 
 
+def short(tokens: np.ndarray) -> np.ndarray:
+    """The 32 bits of tokens that prefixes carry."""
+    return (tokens >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def signatures(docs: DataFrame, table_: np.ndarray, threshold: float, least_tokens: int) -> DataFrame:
     """A row per line with enough tokens: doc_id, line, n, d1, d2 (digests of the set), parity and prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(table_)
@@ -119,28 +129,21 @@ def signatures(docs: DataFrame, table_: np.ndarray, threshold: float, least_toke
                 d2 = np.add.reduceat(B.mix(mixed + np.uint64(1)), at[:-1])[enough]
                 bit, word = np.uint64(1) << (mixed >> np.uint64(58)), (mixed & np.uint64(1)).astype(bool)
                 parity = [np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), at[:-1])[enough] for k in (False, True)]
-                # bands of three tokens in hash order, by which similar lines find a first match
-                near = np.argsort(mixed)
-                near = mixed[near[np.argsort(np.repeat(np.arange(len(n)), n)[near].astype(np.uint16 if len(n) < 1 << 16 else np.int64), kind="stable")]]
                 alone = matches_equal_only(n[enough], threshold)
-                cut = np.concatenate(([0], np.cumsum(np.where(alone, 0, np.minimum(BANDS, n[enough] // 3)))))
-                first_of = np.repeat(at[:-1][enough] - 3 * cut[:-1], np.diff(cut)) + 3 * np.arange(cut[-1])
-                band = B.mix(near[first_of] + near[first_of + 1] * B.MULTIPLIERS[1] + near[first_of + 2] * B.MULTIPLIERS[2])
-                bands = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array((band >> np.uint64(32)).astype(np.uint32).view(np.int32)))
                 n = n[enough]
                 parity[0] = np.where(n < WIDE, parity[0] ^ parity[1], parity[0])
                 parity[1] = np.where(n < WIDE, np.uint64(0), parity[1])
                 size = np.where(alone, 0, prefix_length(n, threshold))
                 cut = np.concatenate(([0], np.cumsum(size)))
                 pick = np.repeat(at[:-1][enough] - cut[:-1], size) + np.arange(cut[-1])
-                prefix = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array((tokens[pick] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+                prefix = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(short(tokens[pick])))
                 yield pa.RecordBatch.from_arrays(
                     [batch["doc_id"].slice(first, last - first).take(pa.array(row[enough])), pa.array(number[enough].astype(np.int32)), pa.array(n.astype(np.int32)),
-                     pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), *(pa.array(p.view(np.int64)) for p in parity), prefix, bands],
-                    ["doc_id", "line", "n", "d1", "d2", "p0", "p1", "prefix", "bands"],
+                     pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), *(pa.array(p.view(np.int64)) for p in parity), prefix],
+                    ["doc_id", "line", "n", "d1", "d2", "p0", "p1", "prefix"],
                 )
 
-    return docs.mapInArrow(run, f"doc_id {kind}, line int, n int, d1 long, d2 long, p0 long, p1 long, prefix array<int>, bands array<int>")
+    return docs.mapInArrow(run, f"doc_id {kind}, line int, n int, d1 long, d2 long, p0 long, p1 long, prefix array<int>")
 
 
 def packed(at: Column, line: Column, open_: Column) -> Column:
@@ -160,16 +163,25 @@ def may_match(x: str, y: str, threshold: float) -> Column:
     """The length, positional and parity filters on two postings."""
     nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
     ax, ay = (F.shiftright(F.col(f"{s}.m").bitwiseAND(F.lit(0xFFFFFFFF)), 1) for s in (x, y))
-    ratio = threshold / (1 + threshold)
-    overlap = F.ceil((nx + ny) * F.lit(ratio) - F.lit(1e-9))
-    small, large = F.least(nx, ny), F.greatest(nx, ny)
+    overlap, small = needed(nx, ny, threshold), F.least(nx, ny)
     # the smaller set's prefix is that of sets of its own size or larger
-    indexed = F.when(nx <= ny, ax).otherwise(ay) <= small - F.ceil(2 * small * F.lit(ratio) - F.lit(1e-9))
+    indexed = F.when(nx <= ny, ax).otherwise(ay) <= small - needed(small, small, threshold)
     position = 1 + F.least(nx - ax - 1, ny - ay - 1) >= overlap
-    length = small >= large * F.lit(threshold) - F.lit(1e-9)
+    return indexed & position & close(x, y, threshold)
+
+
+def needed(nx: Column, ny: Column, threshold: float) -> Column:
+    """Tokens that similar sets of these sizes share at least."""
+    return F.ceil((nx + ny) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9))
+
+
+def close(x: str, y: str, threshold: float) -> Column:
+    """The length and parity filters on two lines."""
+    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
+    small, large = F.least(nx, ny), F.greatest(nx, ny)
     d0, d1 = (F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}")) for p in ("p0", "p1"))
     bits = F.when(small < WIDE, F.bit_count(d0.bitwiseXOR(d1))).otherwise(F.bit_count(d0) + F.bit_count(d1))
-    return length & indexed & position & (bits <= nx + ny - 2 * overlap)
+    return (small >= large * F.lit(threshold) - F.lit(1e-9)) & (bits <= nx + ny - 2 * needed(nx, ny, threshold))
 
 
 def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
@@ -212,44 +224,139 @@ def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     return joined.mapInArrow(check, f"y_doc {kind}, y_line int, x_doc {kind}, x_line int")
 
 
+def postings(lines: DataFrame) -> DataFrame:
+    """A row for each token of the lines' prefixes: token, doc_id, n, m (line and place), p0, p1."""
+    each = lines.select(F.posexplode("prefix").alias("at", "token"), "doc_id", "line", "n", "p0", "p1")
+    return each.select("token", "doc_id", "n", packed(F.col("at"), F.col("line"), F.lit(False)).alias("m"), "p0", "p1")
+
+
+def ends() -> list[Column]:
+    return [F.col("y.doc_id").alias("y_doc"), line_of("y").alias("y_line"), F.col("x.doc_id").alias("x_doc"), line_of("x").alias("x_line")]
+
+
+def x_first() -> Column:
+    return (F.col("x.doc_id") < F.col("y.doc_id")) | ((F.col("x.doc_id") == F.col("y.doc_id")) & (line_of("x") < line_of("y")))
+
+
+def token_maps(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """doc_id, line and ``map`` (a bit for each token's hash) of these lines."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    wanted = written(lines.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("lines")), "leaders")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, owner, numbers, maps = batch["lines"].to_pylist(), [], [], []
+            for first, last, data, offsets in B.slices(batch["text"]):
+                tokens, place, row, number = line_sets(data, offsets)
+                at = np.searchsorted(place, np.arange(len(row) + 1))
+                cut = np.searchsorted(row, np.arange(last - first + 1))
+                for k in range(last - first):
+                    for i in np.flatnonzero(np.isin(number[cut[k] : cut[k + 1]], lists[first + k])) + cut[k]:
+                        bits = np.zeros(8 * MAP, bool)
+                        bits[map_bits(tokens[at[i] : at[i + 1]])] = True
+                        owner.append(first + k)
+                        numbers.append(int(number[i]))
+                        maps.append(np.packbits(bits).tobytes())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(owner, pa.int64())), pa.array(numbers, pa.int32()), pa.array(maps, pa.binary())], ["doc_id", "line", "map"])
+
+    return docs.join(small_enough(wanted), "doc_id").mapInArrow(run, f"doc_id {kind}, line int, map binary")
+
+
+def map_bits(tokens: np.ndarray) -> np.ndarray:
+    return (B.mix(tokens + np.uint64(7)) % np.uint64(8 * MAP)).astype(np.int64)
+
+
+def second_tokens(docs: DataFrame, members: DataFrame, table_: np.ndarray, threshold: float) -> DataFrame:
+    """Postings of ``members`` (postings with their token's ``map`` and ``open``) by a second token.
+
+    If the token is the first one that two similar lines share, they share another
+    one after it; these are taken in the order that ``map`` gives them, and the
+    places add up, so all filters on places hold as they are.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(table_)
+    fields = ["line", "token", "at", "n", "p0", "p1", "open", "map"]
+    at = F.shiftright(F.col("m").bitwiseAND(F.lit(0xFFFFFFFF)), 1).cast("int")
+    wanted = members.select("doc_id", F.struct(F.shiftright("m", 32).cast("int").alias("line"), "token", at.alias("at"), "n", "p0", "p1", "open", "map").alias("to"))
+    wanted = written(wanted.groupBy("doc_id").agg(F.collect_list("to").alias("to")), "hot")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rarity = shared.value
+        for batch in batches:
+            lists = batch["to"].to_pylist()
+            for first, last, data, offsets in B.slices(batch["text"]):
+                tokens, place, row, number = line_sets(data, offsets)
+                tokens, start = ranked_sets(tokens, place, ordered_key(tokens, rarity), len(row))
+                names, bits = short(tokens), map_bits(tokens)
+                cut = np.searchsorted(row, np.arange(last - first + 1))
+                owner, key, packed_, facts = [], [], [], []
+                for k in range(last - first):
+                    for to in lists[first + k]:
+                        line, token, at_, n, p0, p1, open_, own = (to[f] for f in fields)
+                        i = cut[k] + int(np.searchsorted(number[cut[k] : cut[k + 1]], line))
+                        if i == cut[k + 1] or number[i] != line or start[i + 1] - start[i] != n or names[start[i] + at_] != token:
+                            continue  # another row of the same id
+                        later = np.arange(start[i] + at_ + 1, start[i + 1])
+                        known = np.unpackbits(np.frombuffer(own, np.uint8))[bits[later]]
+                        count = int(prefix_length(np.array(n), threshold)) - at_
+                        later = later[np.argsort(known, kind="stable")][:count]
+                        owner.append(np.full(len(later), first + k))
+                        key.append(B.mix(tokens[later] + np.uint64(token & 0xFFFFFFFF) * B.MULTIPLIERS[3]))
+                        packed_.append((line << 32) + (at_ + np.arange(len(later))) * 2 + int(open_))
+                        facts.append(np.tile(np.array([[n], [p0], [p1]], np.int64), len(later)))
+                if owner:
+                    n, p0, p1 = np.concatenate(facts, axis=1)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate(key).view(np.int64)), batch["doc_id"].take(pa.array(np.concatenate(owner))), pa.array(n.astype(np.int32)), pa.array(np.concatenate(packed_).astype(np.int64)), pa.array(p0), pa.array(p1)],
+                        ["token", "doc_id", "n", "m", "p0", "p1"],
+                    )
+
+    return docs.join(small_enough(wanted), "doc_id").mapInArrow(run, f"token long, doc_id {kind}, n int, m long, p0 long, p1 long")
+
+
 def later_matches(docs: DataFrame, threshold: float = THRESHOLD, least_tokens: int = LEAST_TOKENS) -> DataFrame:
     """(doc_id, line) of every line that has an earlier match."""
     slim = docs.select("doc_id", docs["text"].cast("string").alias("text")).where("doc_id is not null and text is not null")
-    lines = written(signatures(slim, levels(slim, tokens_of), threshold, least_tokens), "lines")
+    rarity = levels(slim, tokens_of)
+    lines = written(signatures(slim, rarity, threshold, least_tokens), "lines")
 
     # lines of equal sets: all but the earliest go
-    firsts = lines.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "line")).alias("f")).select("f.doc_id", "f.line", F.lit(True).alias("is_first"))
-    marked = lines.join(firsts, ["doc_id", "line"], "left")
-    marked = written(marked.select("doc_id", "line", "n", "p0", "p1", F.when(F.col("is_first"), F.col("prefix")).alias("prefix"), F.when(F.col("is_first"), F.col("bands")).alias("bands")), "classes")
-    repeats = marked.where("prefix is null").select("doc_id", "line")
-    classes = marked.where("prefix is not null")
-    release(slim.sparkSession)
-
-    def postings(df: DataFrame, prefix: Column, open_: Column) -> DataFrame:
-        each = df.select(F.posexplode(prefix).alias("at", "token"), "doc_id", "line", "n", "p0", "p1", open_.alias("open"))
-        return each.select("token", "doc_id", "n", packed(F.col("at"), F.col("line"), F.col("open")).alias("m"), "p0", "p1")
-
-    ends = [F.col("y.doc_id").alias("y_doc"), line_of("y").alias("y_line"), F.col("x.doc_id").alias("x_doc"), line_of("x").alias("x_line")]
-    x_first = (F.col("x.doc_id") < F.col("y.doc_id")) | ((F.col("x.doc_id") == F.col("y.doc_id")) & (line_of("x") < line_of("y")))
-
-    # each line meets the earliest line of each of its bands; their places in the prefix do not count
-    fields = F.struct("doc_id", "m", "n", "p0", "p1")
-    order = Window.partitionBy("token").orderBy("doc_id", "m")
-    led = postings(classes, F.col("bands"), F.lit(True)).withColumn("m", F.shiftleft(F.shiftright("m", 32), 32)).select(fields.alias("y"), F.first(fields).over(order).alias("x"))
-    pairs = written(led.where(x_first & may_match("x", "y", threshold)).select(*ends).distinct(), "pairs")
+    same = lines.groupBy("d1", "d2").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "line")).alias("f")).where("c > 1").select("d1", "d2", "f")
+    same = small_enough(written(same, "same"))
+    is_repeat = (F.col("f.doc_id") != F.col("doc_id")) | (F.col("f.line") != F.col("line"))
+    repeats = lines.select("doc_id", "line", "d1", "d2").join(same, ["d1", "d2"]).where(is_repeat).select("doc_id", "line")
+    classes = lines.where(F.size("prefix") > 0).join(same, ["d1", "d2"], "left").where(F.col("f").isNull() | ~is_repeat)
+    posted = written(postings(classes), "postings")
+
+    # tokens of many lines, with the earliest document of each
+    hot = posted.groupBy("token").agg(F.count("*").alias("c"), F.min("doc_id").alias("lead")).where(F.col("c") > GROUP).select("token", "lead")
+    hot = written(hot, "hot")
+    some_hot = not hot.isEmpty()
+    cold = posted.join(small_enough(hot.select("token")), "token", "left_anti") if some_hot else posted
+    x, y = cold.alias("x"), cold.alias("y")
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & x_first() & may_match("x", "y", threshold)).select(*ends())
+    if some_hot:
+        members = written(posted.join(small_enough(hot), "token"), "members")
+        leaders = members.where("doc_id = lead").groupBy("token").agg(F.min(F.struct(F.shiftright("m", 32).cast("int").alias("line"), "doc_id", "m", "n", "p0", "p1")).alias("l")).select("token", "l.*")
+        leaders = small_enough(written(leaders, "leaders"))
+        x, y = leaders.alias("x"), members.alias("y")
+        pairs = pairs.union(x.join(y, (F.col("x.token") == F.col("y.token")) & x_first() & close("x", "y", threshold)).select(*ends()))
+    pairs = written(pairs.distinct(), "pairs")
     found = written(verified(slim, pairs, threshold).select(F.col("y_doc").alias("doc_id"), F.col("y_line").alias("line")).distinct(), "found")
-    release(slim.sparkSession)
-
-    # the lines without a match meet all earlier lines of their tokens; both sides share one exchange,
-    # so the condition on y alone is kept inside the joint one
-    flagged = classes.join(small_enough(found).withColumn("matched", F.lit(True)), ["doc_id", "line"], "left")
-    posting = postings(flagged, F.col("prefix"), F.col("matched").isNull())
-    x, y = posting.alias("x"), posting.alias("y")
-    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & F.when(is_open("y"), x_first & may_match("x", "y", threshold)).otherwise(False)).select(*ends).distinct()
-    rest = written(rest.join(pairs, pairs.columns, "left_anti"), "pairs")
-    release(slim.sparkSession)
-    more = verified(slim, rest, threshold).select(F.col("y_doc").alias("doc_id"), F.col("y_line").alias("line"))
-    return repeats.unionByName(found).unionByName(more).distinct()
+    if not some_hot:
+        return repeats.union(found).distinct()
+
+    # in the large groups, lines without a match meet the earlier ones by a second token
+    matched = small_enough(found.withColumn("matched", F.lit(True)))
+    members = members.withColumn("line", F.shiftright("m", 32).cast("int")).join(matched, ["doc_id", "line"], "left").withColumn("open", F.col("matched").isNull()).drop("matched", "lead", "line")
+    maps = leaders.select("token", "doc_id", "line").join(token_maps(slim, leaders.select("doc_id", "line").distinct()).groupBy("doc_id", "line").agg(F.min("map").alias("map")), ["doc_id", "line"])
+    maps = small_enough(written(maps.select("token", "map"), "maps"))
+    second = written(second_tokens(slim, members.join(maps, "token"), rarity, threshold), "second")
+    x, y = second.alias("x"), second.alias("y")
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & F.when(is_open("y"), x_first() & may_match("x", "y", threshold)).otherwise(False)).select(*ends()).distinct()
+    met = written(met.join(pairs, pairs.columns, "left_anti"), "pairs")
+    more = verified(slim, met, threshold).select(F.col("y_doc").alias("doc_id"), F.col("y_line").alias("line"))
+    return repeats.union(found).union(more).distinct()
 
 
 def with_removed(docs: DataFrame, threshold: float = THRESHOLD, least_tokens: int = LEAST_TOKENS) -> tuple[DataFrame, Column]:

@@ -270,7 +270,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
 
 def with_ranges(docs: DataFrame) -> DataFrame:
     """``docs`` with ``_ranges``, the byte ranges to remove (null: none)."""
-    return docs.join(small_enough(repeated_ranges(docs), 200_000).withColumnRenamed("ranges", "_ranges"), "doc_id", "left")
+    return docs.join(small_enough(repeated_ranges(docs)).withColumnRenamed("ranges", "_ranges"), "doc_id", "left")
 
 
 def rest(text: bytes, ranges: list[dict] | None) -> bytes:

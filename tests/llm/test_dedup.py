@@ -199,3 +199,21 @@ def test_lines_query_takes_every_size(spark, tmp_path):
     texts = [(1, "yes no\na b c d e f"), (2, "No yes\nelse"), (3, "else")]
     frame(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
     assert {x.doc_id: x.n_removed for x in line_dedup.query(spark, str(tmp_path)).collect()} == {1: 0, 2: 1, 3: 1}
+
+
+@pytest.mark.parametrize("group", [1000, 6, 1])
+def test_lines_of_large_groups(spark, words, group, monkeypatch):
+    """Lines that share a passage and differ around it, about the threshold."""
+    monkeypatch.setattr(line_dedup, "GROUP", group)
+    r = random.Random(7)
+    passages = [[r.choice(words) for _ in range(40)] for _ in range(2)]
+    texts = []
+    for i in range(120):
+        own = [r.choice(words) for _ in range(r.randint(3, 9))]
+        if texts and r.random() < 0.3:  # some of an earlier line's own words
+            own = r.choice(texts)[1].split(" ")[: r.randint(2, 5)] + own[:3]
+        texts.append((i, " ".join(own + r.choice(passages))))
+    texts.append((0, texts[5][1]))
+    expected = later_lines(texts, least=1)
+    assert 10 < len(expected) < 110
+    assert {tuple(x) for x in line_dedup.later_matches(frame(spark, texts), least_tokens=1).collect()} == expected
