@@ -18,12 +18,14 @@ parity filters drop most meetings before any set is moved:
 * parity: each token flips one of 128 bits, so two sets differ in no more bits than
   in tokens.
 
-Tokens that few lines have in their prefix join directly. Where a token is in
-the prefixes of more than ``GROUP`` lines, such as the words of a passage that
-many lines hold, its lines first meet the earliest of them. Those without a match
-then meet by a second token: among the lines of one first token any order of the
-other tokens keeps the prefix filter exact, so the words that the earliest line
-does not have come first, and lines that share the passage only do not meet.
+Where a token is in the prefixes of more than ``LEAD`` lines, they first meet the
+earliest of them, so a family of similar lines never gives all its pairs; then
+the lines without a match meet all earlier ones of their tokens. Where a token is
+in the prefixes of more than ``GROUP`` lines, such as the words of a passage that
+many lines hold, they do so by a second token: among the lines of one first token
+any order of the other tokens keeps the prefix filter exact, so the words that the
+earliest line does not have come first, and lines that share the passage only do
+not meet. Of a line's candidates the likeliest is verified first.
 Candidates are verified on the whole sets.
 
 Defined cases: null and empty texts have no lines and stay as they are; rows
@@ -50,8 +52,10 @@ THRESHOLD = 0.8
 LEAST_TOKENS = 5
 #: The least number of words of a line that has any: no line is left alone.
 ANY_SIZE = 1
-#: Lines of a prefix token that meet each other directly; the others meet by a second token.
-GROUP = 1000
+#: Lines of a prefix token that meet each other directly; those of larger groups meet by a second token.
+GROUP = 500
+#: In groups of more lines than this all meet the earliest line first.
+LEAD = 16
 #: Bytes of the map of a line's tokens by which its group's other tokens are told from its own.
 MAP = 64
 #: Sets of at least so many tokens have 128 parity bits, smaller ones 64.
@@ -178,10 +182,18 @@ def needed(nx: Column, ny: Column, threshold: float) -> Column:
 def close(x: str, y: str, threshold: float) -> Column:
     """The length and parity filters on two lines."""
     nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
-    small, large = F.least(nx, ny), F.greatest(nx, ny)
+    return (F.least(nx, ny) >= F.greatest(nx, ny) * F.lit(threshold) - F.lit(1e-9)) & (apart(x, y) <= nx + ny - 2 * needed(nx, ny, threshold))
+
+
+def apart(x: str, y: str) -> Column:
+    """Parity bits that differ: no more than tokens that do."""
     d0, d1 = (F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}")) for p in ("p0", "p1"))
-    bits = F.when(small < WIDE, F.bit_count(d0.bitwiseXOR(d1))).otherwise(F.bit_count(d0) + F.bit_count(d1))
-    return (small >= large * F.lit(threshold) - F.lit(1e-9)) & (bits <= nx + ny - 2 * needed(nx, ny, threshold))
+    return F.when(F.least(F.col(f"{x}.n"), F.col(f"{y}.n")) < WIDE, F.bit_count(d0.bitwiseXOR(d1))).otherwise(F.bit_count(d0) + F.bit_count(d1))
+
+
+def gap(x: str, y: str) -> Column:
+    """How far apart two lines seem, for the choice of the likeliest match."""
+    return (F.greatest(apart(x, y), F.abs(F.col(f"{x}.n") - F.col(f"{y}.n"))) / (F.col(f"{x}.n") + F.col(f"{y}.n"))).cast("float")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
@@ -224,6 +236,18 @@ def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     return joined.mapInArrow(check, f"y_doc {kind}, y_line int, x_doc {kind}, x_line int")
 
 
+def matched_lines(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, line) of the y lines with a verified match: the likeliest one of each is verified, then the others of those without."""
+    y = ["y_doc", "y_line"]
+    likely = pairs.groupBy(*y).agg(F.min(F.struct("gap", "x_doc", "x_line")).alias("x")).select(*y, "x.x_doc", "x.x_line")
+    likely = written(likely, "likely")
+    found = written(verified(docs, likely, threshold).select(*y), "likely_found")
+    rest = written(pairs.drop("gap").join(small_enough(found), y, "left_anti").join(likely, likely.columns, "left_anti"), "rest")
+    if not rest.isEmpty():
+        found = found.union(verified(docs, rest, threshold).select(*y).distinct())
+    return found.select(F.col("y_doc").alias("doc_id"), F.col("y_line").alias("line"))
+
+
 def postings(lines: DataFrame) -> DataFrame:
     """A row for each token of the lines' prefixes: token, doc_id, n, m (line and place), p0, p1."""
     each = lines.select(F.posexplode("prefix").alias("at", "token"), "doc_id", "line", "n", "p0", "p1")
@@ -231,13 +255,29 @@ def postings(lines: DataFrame) -> DataFrame:
 
 
 def ends() -> list[Column]:
-    return [F.col("y.doc_id").alias("y_doc"), line_of("y").alias("y_line"), F.col("x.doc_id").alias("x_doc"), line_of("x").alias("x_line")]
+    return [F.col("y.doc_id").alias("y_doc"), line_of("y").alias("y_line"), F.col("x.doc_id").alias("x_doc"), line_of("x").alias("x_line"), gap("x", "y").alias("gap")]
 
 
 def x_first() -> Column:
     return (F.col("x.doc_id") < F.col("y.doc_id")) | ((F.col("x.doc_id") == F.col("y.doc_id")) & (line_of("x") < line_of("y")))
 
 
+def flagged(posted: DataFrame, found: DataFrame) -> DataFrame:
+    """The postings with the flag of lines that have no match yet."""
+    matched = small_enough(found.withColumn("matched", F.lit(True)))
+    out = posted.withColumn("line", F.shiftright("m", 32).cast("int")).join(matched, ["doc_id", "line"], "left")
+    flag = F.shiftleft(F.shiftright("m", 1), 1) + F.col("matched").isNull().cast("long")
+    return out.select("token", "doc_id", "n", flag.alias("m"), "p0", "p1")
+
+
+def met(posted: DataFrame, before: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of an open line and an earlier one that share a token and may be similar, but those met before."""
+    x, y = posted.alias("x"), posted.alias("y")
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & F.when(is_open("y"), x_first() & may_match("x", "y", threshold)).otherwise(False)).select(*ends()).distinct()
+    key = ["y_doc", "y_line", "x_doc", "x_line"]
+    return pairs.join(before.select(*key), key, "left_anti")
+
+
 def token_maps(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """doc_id, line and ``map`` (a bit for each token's hash) of these lines."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -301,7 +341,7 @@ def second_tokens(docs: DataFrame, members: DataFrame, table_: np.ndarray, thres
                         count = int(prefix_length(np.array(n), threshold)) - at_
                         later = later[np.argsort(known, kind="stable")][:count]
                         owner.append(np.full(len(later), first + k))
-                        key.append(B.mix(tokens[later] + np.uint64(token & 0xFFFFFFFF) * B.MULTIPLIERS[3]))
+                        key.append(B.mix(tokens[later] + np.array([token & 0xFFFFFFFF], np.uint64) * B.MULTIPLIERS[3]))
                         packed_.append((line << 32) + (at_ + np.arange(len(later))) * 2 + int(open_))
                         facts.append(np.tile(np.array([[n], [p0], [p1]], np.int64), len(later)))
                 if owner:
@@ -328,35 +368,34 @@ def later_matches(docs: DataFrame, threshold: float = THRESHOLD, least_tokens: i
     classes = lines.where(F.size("prefix") > 0).join(same, ["d1", "d2"], "left").where(F.col("f").isNull() | ~is_repeat)
     posted = written(postings(classes), "postings")
 
-    # tokens of many lines, with the earliest document of each
-    hot = posted.groupBy("token").agg(F.count("*").alias("c"), F.min("doc_id").alias("lead")).where(F.col("c") > GROUP).select("token", "lead")
-    hot = written(hot, "hot")
+    # where more than a few lines have a token, each meets the earliest one first
+    tokens = posted.groupBy("token").agg(F.count("*").alias("c"), F.min("doc_id").alias("lead")).where(F.col("c") > LEAD)
+    tokens = written(tokens, "tokens")
+    leaders = posted.join(small_enough(tokens.select("token", "lead")), "token").where("doc_id = lead")
+    leaders = leaders.groupBy("token").agg(F.min(F.struct(F.shiftright("m", 32).cast("int").alias("line"), "doc_id", "m", "n", "p0", "p1")).alias("l")).select("token", "l.*")
+    leaders = written(leaders, "leaders")
+    x, y = small_enough(leaders).alias("x"), posted.alias("y")
+    led = written(x.join(y, (F.col("x.token") == F.col("y.token")) & x_first() & close("x", "y", threshold)).select(*ends()).distinct(), "pairs")
+    found = written(matched_lines(slim, led, threshold), "found")
+
+    # the lines without a match meet all earlier lines of their tokens; both sides share one exchange,
+    # so the condition on y alone is kept inside the joint one
+    posted = flagged(posted, found)
+    hot = written(tokens.where(F.col("c") > GROUP).select("token"), "hot")
     some_hot = not hot.isEmpty()
-    cold = posted.join(small_enough(hot.select("token")), "token", "left_anti") if some_hot else posted
-    x, y = cold.alias("x"), cold.alias("y")
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & x_first() & may_match("x", "y", threshold)).select(*ends())
-    if some_hot:
-        members = written(posted.join(small_enough(hot), "token"), "members")
-        leaders = members.where("doc_id = lead").groupBy("token").agg(F.min(F.struct(F.shiftright("m", 32).cast("int").alias("line"), "doc_id", "m", "n", "p0", "p1")).alias("l")).select("token", "l.*")
-        leaders = small_enough(written(leaders, "leaders"))
-        x, y = leaders.alias("x"), members.alias("y")
-        pairs = pairs.union(x.join(y, (F.col("x.token") == F.col("y.token")) & x_first() & close("x", "y", threshold)).select(*ends()))
-    pairs = written(pairs.distinct(), "pairs")
-    found = written(verified(slim, pairs, threshold).select(F.col("y_doc").alias("doc_id"), F.col("y_line").alias("line")).distinct(), "found")
+    pairs = written(met(posted.join(small_enough(hot), "token", "left_anti") if some_hot else posted, led, threshold), "pairs")
+    found = found.union(matched_lines(slim, pairs, threshold)).distinct()
     if not some_hot:
         return repeats.union(found).distinct()
 
-    # in the large groups, lines without a match meet the earlier ones by a second token
-    matched = small_enough(found.withColumn("matched", F.lit(True)))
-    members = members.withColumn("line", F.shiftright("m", 32).cast("int")).join(matched, ["doc_id", "line"], "left").withColumn("open", F.col("matched").isNull()).drop("matched", "lead", "line")
-    maps = leaders.select("token", "doc_id", "line").join(token_maps(slim, leaders.select("doc_id", "line").distinct()).groupBy("doc_id", "line").agg(F.min("map").alias("map")), ["doc_id", "line"])
-    maps = small_enough(written(maps.select("token", "map"), "maps"))
-    second = written(second_tokens(slim, members.join(maps, "token"), rarity, threshold), "second")
-    x, y = second.alias("x"), second.alias("y")
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & F.when(is_open("y"), x_first() & may_match("x", "y", threshold)).otherwise(False)).select(*ends()).distinct()
-    met = written(met.join(pairs, pairs.columns, "left_anti"), "pairs")
-    more = verified(slim, met, threshold).select(F.col("y_doc").alias("doc_id"), F.col("y_line").alias("line"))
-    return repeats.union(found).union(more).distinct()
+    # in the large groups they meet by a second token
+    found = written(found, "found")
+    members = flagged(posted.join(small_enough(hot), "token"), found).withColumn("open", F.col("m").bitwiseAND(F.lit(1)) == 1)
+    maps = leaders.join(small_enough(hot), "token").select("token", "doc_id", "line")
+    maps = maps.join(token_maps(slim, maps.select("doc_id", "line").distinct()).groupBy("doc_id", "line").agg(F.min("map").alias("map")), ["doc_id", "line"])
+    second = second_tokens(slim, members.join(small_enough(written(maps.select("token", "map"), "maps")), "token"), rarity, threshold)
+    more = written(met(written(second, "second"), led.union(pairs), threshold), "pairs")
+    return repeats.union(found).union(matched_lines(slim, more, threshold)).distinct()
 
 
 def with_removed(docs: DataFrame, threshold: float = THRESHOLD, least_tokens: int = LEAST_TOKENS) -> tuple[DataFrame, Column]:

@@ -201,10 +201,11 @@ def test_lines_query_takes_every_size(spark, tmp_path):
     assert {x.doc_id: x.n_removed for x in line_dedup.query(spark, str(tmp_path)).collect()} == {1: 0, 2: 1, 3: 1}
 
 
-@pytest.mark.parametrize("group", [1000, 6, 1])
+@pytest.mark.parametrize("group", [1000, 1])
 def test_lines_of_large_groups(spark, words, group, monkeypatch):
     """Lines that share a passage and differ around it, about the threshold."""
     monkeypatch.setattr(line_dedup, "GROUP", group)
+    monkeypatch.setattr(line_dedup, "LEAD", min(group, 2))
     r = random.Random(7)
     passages = [[r.choice(words) for _ in range(40)] for _ in range(2)]
     texts = []
@@ -217,3 +218,23 @@ def test_lines_of_large_groups(spark, words, group, monkeypatch):
     expected = later_lines(texts, least=1)
     assert 10 < len(expected) < 110
     assert {tuple(x) for x in line_dedup.later_matches(frame(spark, texts), least_tokens=1).collect()} == expected
+
+
+def test_jaccard_regions_are_divided(spark, words, monkeypatch):
+    """Regions are joined recursively, three levels deep at least."""
+    monkeypatch.setattr(jaccard_join, "REGION", 3)
+    monkeypatch.setattr(jaccard_join, "SHRINKS", 0.99)
+    r = random.Random(2)
+    base = [r.choice(words) for _ in range(90)]
+    texts = []
+    for i in range(160):
+        w = list(base if i < 4 or r.random() < 0.5 else r.choice(texts)[1].split(" "))
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(90)] = r.choice(words)
+        texts.append((i, " ".join(w)))
+    levels = []
+    kept = jaccard_join.written
+    monkeypatch.setattr(jaccard_join, "written", lambda df, name, *more: (levels.append(name), kept(df, name, *more))[1])
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.cluster(frame(spark, texts)).collect()}
+    assert got == groups(texts)
+    assert levels.count("parts") >= 3
