@@ -4,20 +4,26 @@ Jaccard distance d is a metric, so distances to pivots bound distances between
 documents. The join is exact:
 
 1. Documents of equal sets become one class, led by its smallest id.
-2. Two linked sets share one of their first shingles in a global order from
-   rare to frequent, so the classes that share such a shingle are a *region*.
-   *Pivots* are elected by the classes that share one of their least shingle
-   hashes (near copies share most of these): the smallest id of each.
-3. Voronoi cells: every class takes the pivot that most of its least hashes
-   elect, and, if size and parity bounds leave it, its exact distance is found; within the radius r = 1 - threshold it is linked to the pivot and
-   joins the pivot's cell. Other classes are cells of their own, of radius 0.
-4. Cells that meet in a region, and are not yet connected, are joined through
-   their pivots p and q: if d(p, q) > r + radius(p) + radius(q), no members are
-   linked (triangle inequality).
-5. Otherwise the members at the boundary are replicated into the region (p, q):
-   x of p with d(x, p) >= d(p, q) - r - radius(q), and likewise for q. In it the
-   join goes on: all of q's boundary meets p as the pivot, and only pairs within
-   the window |d(x, p) - d(y, p)| <= r are verified.
+2. *Pivots* are elected by the classes that share one of their least shingle
+   hashes (near copies share most of these): the smallest id of each hash.
+3. Voronoi cells: of the pivots that its least hashes elect, and that size and
+   parity bounds leave, every class finds the exact distances and takes the
+   nearest; within the radius r = 1 - threshold it is linked to the pivot and
+   joins its cell. Other classes are cells of their own, of radius 0: nearly all
+   documents are at distance 1 from nearly all pivots, so no choice of pivots
+   would part them further.
+4. Cells that are not yet connected can only be linked if members share one of
+   their first shingles in a global order from rare to frequent. Of those that
+   do, the pivots p and q are compared: if d(p, q) > r + radius(p) + radius(q), no
+   members are linked (triangle inequality).
+5. The other pairs of cells are joined in the region of the larger cell's pivot
+   p: a member y of the smaller one is replicated into it, once, if it lies in the
+   window d(y, p) <= r + radius(p), and meets the members x with
+   |d(x, p) - d(y, p)| <= r.
+6. A region of more than ``REGION`` rows is joined recursively: its first row is
+   the pivot of sub-regions, rings of width r about it; the rows from outside are
+   replicated into the neighbouring rings, until the regions are small or get no
+   smaller. Pairs that are left in a region are verified exactly.
 
 Only components are asked for, so pairs that are connected already are never
 built; a group of thousands of near copies costs a pair for each member.
@@ -35,12 +41,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _bytes as B
 from ._rarity import levels, ordered_key
-from ._spark import release, small_enough, table, written
+from ._spark import small_enough, table, written
 
 SHINGLE = 4
 #: Links as 100 * intersection >= PERCENT * union.
@@ -51,6 +57,10 @@ PARITY = 16
 LEADING = 8
 #: Sets that one task compares with one set.
 PARTNERS = 500
+#: Rows of a region that is joined without dividing it further.
+REGION = 5000
+#: A region is divided further as long as its largest part holds at most this share of its rows.
+SHRINKS = 0.9
 
 
 def shingles_of(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,64 +215,91 @@ def links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tuple
     parity = [f"p{k}" for k in range(PARITY)]
     facts = leads.select("doc_id", "n", *parity)
 
-    release(docs.sparkSession)
-
     # 2. pivots, elected by the classes that share one of their least shingle hashes
     leading = leads.select("doc_id", F.explode("least").alias("shingle"))
-    votes = leading.select("doc_id", F.min("doc_id").over(Window.partitionBy("shingle")).alias("pivot")).where("doc_id != pivot")
+    elected = leading.groupBy("shingle").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("c")).where("c > 1").select("shingle", "pivot")
+    votes = leading.join(elected, "shingle").where("doc_id != pivot").select("doc_id", "pivot").distinct()
 
     # 3. Voronoi cells
-    nearest = votes.groupBy("doc_id", "pivot").agg(F.count("*").alias("votes")).groupBy("doc_id").agg(F.max_by("pivot", F.struct("votes", "pivot")).alias("pivot"))
-    nearest = named(named(nearest, "doc_id", "x", facts), "pivot", "p", facts).where(least_distance("x", "p") <= r + 1e-9)
-    assigned = distances(slim, nearest.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")), size, percent)
-    assigned = assigned.select(F.col("b").alias("a"), F.col("a").alias("b"), "d", "linked")
-    found = assigned.where("linked").select("a", "b")
-    joined = assigned.where("linked").select("a", "b", "d")
+    votes = named(named(votes, "doc_id", "x", facts), "pivot", "p", facts).where(least_distance("x", "p") <= r + 1e-9)
+    assigned = distances(slim, votes.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")), size, percent)
+    found = assigned.where("linked").select(F.col("b").alias("a"), F.col("a").alias("b"))
+    nearest = assigned.where("linked").groupBy("b").agg(F.min(F.struct("d", "a")).alias("p")).select(F.col("b").alias("a"), F.col("p.a").alias("b"), "p.d")
     # a class whose pivot has joined a cell itself stays a cell of its own
-    members = written(joined.join(joined.select(F.col("a").alias("b")), "b", "left_anti").select(F.col("a").alias("doc_id"), F.col("b").alias("cell"), "d"), "members")
-    radius = members.groupBy("cell").agg(F.max("d").alias("radius"))
+    members = written(nearest.join(nearest.select(F.col("a").alias("b")), "b", "left_anti").select(F.col("a").alias("doc_id"), F.col("b").alias("cell"), "d"), "members")
+    cells = members.groupBy("cell").agg(F.max("d").alias("radius"), F.count("*").alias("members"))
 
-    # 4. cells that meet in a region
+    # 4. cells that members with a common first shingle bring together
     linked_to = components(found)
     celled = leads.select("doc_id", "prefix").join(members, "doc_id", "left").join(linked_to, "doc_id", "left")
-    celled = celled.select(F.coalesce("cell", "doc_id").alias("cell"), F.coalesce("component", "doc_id").alias("component"), F.explode("prefix").alias("shingle"))
-    region = Window.partitionBy("shingle")
-    apart = celled.withColumns({"least": F.min("component").over(region), "most": F.max("component").over(region)}).where("least < most")
-    placed = apart.select("shingle", "cell", "component").distinct().join(radius, "cell", "left").select("shingle", "component", "cell", F.coalesce("radius", F.lit(0.0)).alias("radius"))
-    placed = written(named(placed, "cell", "s", facts).select("shingle", "component", F.struct("cell", "radius", "s.*").alias("s")), "placed")
+    celled = written(celled.select(F.coalesce("cell", "doc_id").alias("cell"), F.coalesce("component", "doc_id").alias("component"), "prefix"), "celled")
+    each = celled.select("cell", "component", F.explode("prefix").alias("shingle"))
+    apart = each.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("shingle")
+    placed = each.join(small_enough(written(apart, "apart")), "shingle").distinct().join(cells, "cell", "left")
+    placed = placed.select("shingle", "component", "cell", F.coalesce("radius", F.lit(0.0)).alias("radius"), F.coalesce("members", F.lit(0)).alias("members"))
+    placed = written(named(placed, "cell", "s", facts).select("shingle", "component", F.struct("cell", "radius", "members", "s.*").alias("s")), "placed")
     x, y = placed.select("shingle", F.col("component").alias("cx"), F.col("s").alias("x")), placed.select("shingle", F.col("component").alias("cy"), F.col("s").alias("y"))
     near = least_distance("x", "y") <= r + F.col("x.radius") + F.col("y.radius") + 1e-9
-    meet = x.join(y, (x["shingle"] == y["shingle"]) & (F.col("x.cell") < F.col("y.cell")) & (F.col("cx") != F.col("cy")) & near)
+    larger = F.struct("x.members", "x.cell") > F.struct("y.members", "y.cell")
+    meet = x.join(y, (x["shingle"] == y["shingle"]) & larger & (F.col("cx") != F.col("cy")) & near)
     meet = written(meet.select(F.col("x.cell").alias("a"), F.col("y.cell").alias("b"), F.col("x.radius").alias("ra"), F.col("y.radius").alias("rb")).distinct(), "meet")
-    between = meet.join(distances(slim, meet, size, percent), ["a", "b"])
-    between = written(between, "between")
+    between = written(meet.join(distances(slim, meet, size, percent), ["a", "b"]), "between")
     found = written(found.union(between.where("linked").select("a", "b")), "found")
-    release(docs.sparkSession)
 
-    # 5. boundaries of cells that may still be linked
-    close = between.where(~F.col("linked") & (F.col("d") <= r + F.col("ra") + F.col("rb") + 1e-9) & (F.col("ra") + F.col("rb") > 0))
-    if close.isEmpty():
+    # 5. pairs of cells with members that may still be linked, in the region of the larger one
+    beyond = between.where(~F.col("linked") & (F.col("d") <= r + F.col("ra") + F.col("rb") + 1e-9) & (F.col("ra") + F.col("rb") > 0))
+    beyond = beyond.select("a", "b", "ra", F.col("d").alias("between"))
+    if beyond.isEmpty():
         return signed, found
     linked_to = written(components(found), "components")
-    cells = members.select("cell", "doc_id", "d").union(members.select("cell", F.col("cell").alias("doc_id"), F.lit(0.0)).distinct())
-    alone = close.select(F.col("a").alias("cell")).union(close.select("b")).distinct().join(members.select("cell").distinct(), "cell", "left_anti")
-    cells = cells.union(alone.select("cell", F.col("cell").alias("doc_id"), F.lit(0.0).alias("d")))
-    cells = cells.join(linked_to, "doc_id", "left").select("cell", "doc_id", "d", F.coalesce("component", "doc_id").alias("component"))
-    close = close.select("a", "b", "ra", "rb", F.col("d").alias("between"))
-    of_a = close.join(cells.withColumnRenamed("cell", "a"), "a").where(F.col("d") >= F.col("between") - r - F.col("rb") - 1e-9)
-    of_b = close.join(cells.withColumnRenamed("cell", "b"), "b").where(F.col("d") >= F.col("between") - r - F.col("ra") - 1e-9)
-    of_b = of_b.select("a", "b", F.col("doc_id").alias("y"), F.col("component").alias("cy"))
-    inner = of_b.where("y != b").select("a", F.col("y").alias("b")).distinct()
-    to_pivot = distances(slim, inner, size, percent).select(F.col("b").alias("y"), "a", F.col("d").alias("dy"), "linked")
-    direct = to_pivot.where("linked").select(F.col("y").alias("a"), F.col("a").alias("b"))
-    known = to_pivot.select("y", "a", "dy").union(close.select(F.col("b").alias("y"), "a", F.col("between").alias("dy"))).distinct()
-    of_b = named(of_b.join(known, ["y", "a"]), "y", "fy", facts)
-    of_a = named(of_a.select("a", "b", F.col("doc_id").alias("x"), F.col("component").alias("cx"), F.col("d").alias("dx")), "x", "fx", facts)
+    owners = named(beyond, "a", "p", facts)
+    pivots = beyond.where(F.col("between") <= r + F.col("ra") + 1e-9).select("a", F.col("b").alias("doc_id"), F.col("between").alias("d"))
+    replicas = owners.join(members.withColumnRenamed("cell", "b"), "b")
+    replicas = named(replicas, "doc_id", "y", facts).where((F.col("d") >= F.col("between") - r - F.col("ra") - 1e-9) & (least_distance("y", "p") <= r + F.col("ra") + 1e-9))
+    measured = distances(slim, replicas.select("a", F.col("doc_id").alias("b")).distinct(), size, percent)
+    found = found.union(measured.where("linked").select("a", "b"))
+    outside = pivots.union(measured.select("a", F.col("b").alias("doc_id"), "d")).distinct()
+    own = members.withColumnRenamed("cell", "a").join(beyond.select("a").distinct(), "a")
+    region = own.select("a", "doc_id", "d", F.lit(True).alias("inside")).union(outside.select("a", "doc_id", "d", F.lit(False)))
+    region = region.join(linked_to, "doc_id", "left").select("doc_id", F.xxhash64("a").alias("region"), "d", "inside", F.coalesce("component", "doc_id").alias("component"))
+    return signed, found.union(joined_regions(slim, written(region, "region"), facts, size, percent))
+
+
+def joined_regions(docs: DataFrame, region: DataFrame, facts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between rows inside and outside of each region (region, doc_id, d to its pivot, inside, component)."""
+    r = 1 - percent / 100
+    done = []
+    while True:
+        counted = region.groupBy("region").agg(F.count("*").alias("c"), F.min("doc_id").alias("pivot"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        counted = written(counted.where("lo < hi").select("region", "c", "pivot"), "regions")
+        region = region.join(small_enough(counted.select("region")), "region", "left_semi")
+        large = counted.where(F.col("c") > REGION)
+        if large.isEmpty():
+            done.append(region)
+            break
+        done.append(region.join(small_enough(large), "region", "left_anti"))
+        held = region.join(small_enough(large), "region")
+        d = distances(docs, held.where("doc_id != pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct(), size, percent)
+        held = held.drop("d").join(d.select(F.col("a").alias("pivot"), F.col("b").alias("doc_id"), "d"), ["pivot", "doc_id"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
+        ring = F.floor(F.col("d") / r)
+        rings = F.when(F.col("inside"), F.array(ring)).otherwise(F.array(ring - 1, ring, ring + 1))
+        parts = held.withColumn("ring", F.explode(rings)).withColumn("part", F.xxhash64("region", "ring"))
+        # parts with rows of both sides stay; a region that has shrunk too little is joined as it is
+        both = parts.groupBy("region", "part").agg(F.max("inside").alias("i"), F.min("inside").alias("o"), F.count("*").alias("n")).where("i and not o")
+        both = written(both.select("region", "part", "n"), "parts")
+        better = both.groupBy("region").agg(F.max("n").alias("most")).join(large, "region").where(F.col("most") <= SHRINKS * F.col("c")).select("region")
+        better = written(better, "better")
+        done.append(held.join(small_enough(better.join(both.select("region").distinct(), "region")), "region", "left_anti").join(both.select("region").distinct(), "region", "left_semi").select(*region.columns))
+        region = parts.join(small_enough(both.drop("n")), ["region", "part"], "left_semi").join(small_enough(better), "region", "left_semi")
+        region = written(region.select("doc_id", F.col("part").alias("region"), "d", "inside", "component"), "region")
+    every = done[0]
+    for other in done[1:]:
+        every = every.union(other)
+    side = {k: named(every.where("inside" if k == "x" else "not inside").select(F.col("doc_id").alias(k), "region", F.col("component").alias(f"c{k}"), F.col("d").alias(f"d{k}")), k, f"f{k}", facts) for k in "xy"}
     # size and parity bounds are part of the join, so only pairs that they leave are ever moved
-    window = of_a.join(of_b, ["a", "b"]).where((F.abs(F.col("dx") - F.col("dy")) <= r + 1e-9) & (F.col("cx") != F.col("cy")) & (least_distance("fx", "fy") <= r + 1e-9))
-    window = window.select(F.least("x", "y").alias("doc_id"), F.greatest("x", "y").alias("pivot")).distinct()
-    last = distances(slim, window.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")), size, percent)
-    return signed, found.union(direct).union(last.where("linked").select("a", "b"))
+    window = side["x"].join(side["y"], "region").where((F.abs(F.col("dx") - F.col("dy")) <= r + 1e-9) & (F.col("cx") != F.col("cy")) & (least_distance("fx", "fy") <= r + 1e-9))
+    window = written(window.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "window")
+    return distances(docs, window, size, percent).where("linked").select("a", "b")
 
 
 def cluster(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
