@@ -1,12 +1,14 @@
 """Scalar text functions as columns (section 2.9).
 
-Functions that fold over lines or paragraphs with state are Arrow UDFs at the
-end of this module; all others stay in the JVM.
+The packing of paragraphs (F34), which carries a rest from one to the next, is an
+Arrow UDF at the end of this module; all others stay in the JVM.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column
@@ -329,95 +331,79 @@ def longest(*bodies: Column) -> Column:
     return F.when(best["n"] > 0, best["b"])
 
 
-# --- functions that fold with state, as Arrow UDFs ---
+def question_keywords(question: Column) -> Column:
+    """runs of ASCII or CJK without stop words; CJK runs lose stop words at their start, each in turn, the longest first."""
 
+    def without_prefixes(word: Column) -> Column:
+        for stop in sorted(STOP_ZH, key=len, reverse=True):
+            word = F.regexp_replace(word, f"^(?:{stop})+(?=.)", "")
+        return word
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def question_keywords(questions: pd.Series) -> pd.Series:
-    """runs of ASCII or CJK without stop words; CJK runs lose stop words at their start."""
-    token = re.compile(f"[A-Za-z0-9]+|[{CJK}]+")
-    prefixes = re.compile("(?:" + "|".join(sorted(STOP_ZH, key=len, reverse=True)) + ")(?=.)")
-
-    def of(question: str | None) -> list[str]:
-        out = []
-        for word in token.findall(question or ""):
-            if word.lower() in STOP_EN:
-                continue
-            if word[0] >= "一":
-                while m := prefixes.match(word):
-                    word = word[m.end() :]
-                if word in STOP_ZH:
-                    continue
-            out.append(word)
-        return out
+    words = F.regexp_extract_all(F.coalesce(question, F.lit("")), F.lit(f"[A-Za-z0-9]+|[{CJK}]+"), 0)
+    kept = F.transform(F.filter(words, lambda w: ~F.lower(w).isin(*STOP_EN)), without_prefixes)
+    return F.filter(kept, lambda w: ~w.isin(*STOP_ZH))
 
-    return questions.map(of)
 
+def spliced(body: Column, images: Column) -> Column:
+    """images spread evenly over the gaps between paragraphs; without gaps they follow the body."""
+    blocks, n = F.coalesce(images, F.array().cast("array<string>")), F.size(images)
+    parts = F.split(body, r"\n\s*\n", -1)
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def body_chunks(bodies: pd.Series, most: pd.Series) -> pd.Series:
-    """paragraphs packed up to ``most`` characters; longer ones are parted at lines, then hard."""
+    def place(i: Column) -> Column:
+        """The paragraph (from 1) that image ``i`` (from 0) follows."""
+        return F.least(F.greatest(F.floor((i + 1) * F.size(parts) / (n + 1)), F.lit(1)), F.size(parts) - 1)
 
-    def pieces(text: str, size: int) -> list[str]:
-        for gap in ("\n\n", "\n"):
-            if gap in text and len(text) > size:
-                return [x for part in text.split(gap) for x in pieces(part, size)]
-        return [text[i : i + size] for i in range(0, len(text), size)] or [""]
+    spread = F.flatten(F.transform(parts, lambda p, k: F.concat(F.array(p), F.filter(blocks, lambda b, i: place(i) == k + 1))))
+    after = F.concat(F.array_join(F.concat(F.array(F.regexp_replace(body, r"\s+\z", "")), blocks), "\n\n"), F.lit("\n"))
+    return F.when(F.coalesce(n, F.lit(0)) <= 0, body).when(F.coalesce(body, F.lit("")) == "", F.array_join(blocks, "\n\n")).when(F.size(parts) < 2, after).otherwise(F.array_join(spread, "\n\n"))
 
-    def of(text: str | None, size: int) -> list[str]:
-        out: list[str] = []
-        for part in (p for p in pieces(text or "", size) if p):
-            if out and len(out[-1]) + 2 + len(part) <= size:
-                out[-1] += "\n\n" + part
-            else:
-                out.append(part)
-        return out
 
-    return pd.Series([of(t, int(n)) for t, n in zip(bodies, most, strict=True)])
+def image_parity(translated: Column, source: Column) -> Column:
+    """a translation with fewer images than its source gets the rest."""
+    have, want = F.size(image_blocks(translated)), image_blocks(source)
+    return F.when(have < F.size(want), spliced(translated, F.slice(want, have + 1, F.greatest(F.size(want), F.lit(1))))).otherwise(translated)
 
 
-@F.pandas_udf(T.StringType())
-def spliced(bodies: pd.Series, images: pd.Series) -> pd.Series:
-    """images spread evenly over the gaps between paragraphs."""
+def one_reference_section(text: Column) -> Column:
+    """of several reference sections that with the most links stays, the first on ties."""
+    blank = r"[^\S\n]*"
+    heading = rf"{blank}(?:#|\*\*[^\n]+\*\*{blank}(?:\n|\z))"
+    sections = F.split(text, rf"\n(?={heading})", -1)
+    is_reference = lambda x: x.rlike(rf"\A{heading}") & x.rlike(rf"(?i)\A{blank}(?:#+{blank}|\*\*){blank}(?:references|参考(?:资料|文献)|来源)")
+    links = F.transform(sections, lambda x, i: F.when(is_reference(x), F.struct(F.regexp_count(x, F.lit(r"\]\(")).alias("n"), (-i).alias("at"))))
+    best = F.array_max(F.array_compact(links))
+    one = F.filter(sections, lambda x, i: ~is_reference(x) | (-i == best["at"]))
+    return F.when(F.size(F.array_compact(links)) > 1, F.array_join(one, "\n")).otherwise(text)
 
-    def of(body: str | None, blocks) -> str | None:
-        blocks = [] if blocks is None else list(blocks)
-        if not blocks or not body:
-            return "\n\n".join(blocks) if blocks else body
-        parts = re.split(r"\n\s*\n", body)
-        if len(parts) < 2:
-            return "\n\n".join([body.rstrip(), *blocks]) + "\n"
-        spots: dict[int, list[str]] = {}
-        for i, block in enumerate(blocks, 1):
-            spots.setdefault(min(max(1, i * len(parts) // (len(blocks) + 1)), len(parts) - 1), []).append(block)
-        return "\n\n".join(x for i, p in enumerate(parts, 1) for x in (p, *spots.get(i, ())))
 
-    return pd.Series([of(b, i) for b, i in zip(bodies, images, strict=True)])
+# --- a function that folds with state, as an Arrow UDF ---
 
 
-def image_parity(translated: Column, source: Column) -> Column:
-    """a translation with fewer images than its source gets the rest."""
-    have, want = F.size(image_blocks(translated)), image_blocks(source)
-    return F.when(have < F.size(want), spliced(translated, F.slice(want, have + 1, F.greatest(F.size(want), F.lit(1))))).otherwise(translated)
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def body_chunks(bodies: pd.Series, most: pd.Series) -> pd.Series:
+    """paragraphs packed up to ``most`` characters; longer ones are parted at lines, longer lines cut hard."""
+
+    def packed(parts: Iterable[str], gap: str, size: int) -> list[str]:
+        out, held = [], ""
+        for part in parts:
+            if len(held) + len(gap) + len(part) > size:
+                out.append(held)
+                held = part
+            else:
+                held = f"{held}{gap}{part}" if held else part
+        return [*out, held] if held else out
 
+    def of(text: str, size: int) -> list[str]:
+        if len(text) <= size:
+            return [text]
+        out: list[str] = []
+        for is_long, run in groupby(text.split("\n\n"), lambda p: len(p) > size):
+            if not is_long:
+                out += packed(run, "\n\n", size)
+                continue
+            for paragraph in run:
+                for too_long, lines in groupby(paragraph.split("\n"), lambda x: len(x) > size):
+                    out += [x[i : i + size] for x in lines for i in range(0, len(x), size)] if too_long else packed(lines, "\n", size)
+        return out
 
-@F.pandas_udf(T.StringType())
-def one_reference_section(texts: pd.Series) -> pd.Series:
-    """of several reference sections that with the most links stays, the first on ties."""
-    head = re.compile(r"^\s*(?:#+\s*|\*\*)\s*(?:references|参考(?:资料|文献)|来源)", re.I)
-    any_head = re.compile(r"^\s*(?:#|\*\*.+\*\*\s*$)")
-
-    def of(text: str | None) -> str | None:
-        if not text:
-            return text
-        lines = text.split("\n")
-        heads = [i for i, x in enumerate(lines) if any_head.match(x)]
-        found = [(i, min((j for j in heads if j > i), default=len(lines))) for i in heads if head.match(lines[i])]
-        if len(found) < 2:
-            return text
-        links = [sum(x.count("](") for x in lines[a:b]) for a, b in found]
-        keep = links.index(max(links))
-        gone = {i for k, (a, b) in enumerate(found) if k != keep for i in range(a, b)}
-        return "\n".join(x for i, x in enumerate(lines) if i not in gone)
-
-    return texts.map(of)
+    return pd.Series([of(t or "", int(n)) for t, n in zip(bodies, most, strict=True)])

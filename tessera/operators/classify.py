@@ -119,7 +119,7 @@ def patch_class(ops: Column, exists: Column, approved: Column, legacy: Column, o
     return (
         F.when(has("DELETE_PAGE"), "rejected").when(strange, "suggestion_only").when(has("CREATE_PAGE"), auto(~exists))
         .when(has("UPSERT_SECTION"), auto(approved & sound & promotable)).when(has("MERGE_SOURCES"), auto(sound))
-        .when(F.forall(ops, lambda o: o["op"] == "SET_METADATA"), auto(exists)).otherwise("suggestion_only")
+        .when((F.size(ops) > 0) & F.forall(ops, lambda o: o["op"] == "SET_METADATA"), auto(exists & F.exists(ops, lambda o: F.size(o["keys"]) > 0))).otherwise("suggestion_only")
     )
 
 
@@ -155,6 +155,6 @@ def agent_decision(answer: Column) -> Column:
     inner = without_fence(answer)
     ok = F.from_json(inner, "map<string,string>").isNotNull() & inner.startswith("{")
     tools = F.coalesce(F.get_json_object(inner, "$.tools"), F.lit("[]"))
-    final = ~ok | (F.get_json_object(inner, "$.final") == "true") | (tools == "[]")
+    final = ~ok | F.coalesce(F.get_json_object(inner, "$.final") == "true", F.lit(False)) | (tools == "[]")
     confidence = F.least(F.greatest(F.coalesce(F.try_to_number(F.get_json_object(inner, "$.confidence"), F.lit("999999")).cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(100.0))
     return F.struct(F.coalesce(final, F.lit(True)).alias("final"), F.when(ok, F.coalesce(F.get_json_object(inner, "$.text"), F.lit(""))).otherwise(answer).alias("text"), F.when(ok, confidence).otherwise(0.0).alias("confidence"))
