@@ -3,12 +3,12 @@
 Every task writes one archive: gzip members, one record each, through a
 filesystem of the path's own kind. Repeated payloads become revisit records.
 Captures are ranged by their reversed-host URL key over the whole corpus and
-written as compressed blocks; the sparse directory holds each block's first
-key and place. A lookup bisects the directory, reads one block, bisects it, and
-reads the record's range only. A full read goes the same way, block by block.
-
-A task that is tried again writes a new file; only files whose rows reached
-the written capture table are ever read.
+written as compressed blocks, one index file for each task; the sparse directory
+holds each block's first and last key and place. Lookups bisect the index files'
+key ranges, then the file's part of the directory, read the blocks that may hold
+the key, bisect them, and read the records' ranges only. Only the key ranges of
+the files, one row for each index task, are on the driver; a file's part of the
+directory meets its lookups in a task. The query looks up all keys this way.
 
 Defined cases: null html is an empty payload; a null or malformed URL is its
 own key; payloads under 100 bytes are never revisits; rows without a page_id are
@@ -23,7 +23,7 @@ import hashlib
 import json
 import uuid
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,7 +31,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import new_folder, table, written
+from ._spark import new_folder, small_enough, table, written
 
 LEAST_REVISIT_BYTES = 100
 #: Captures in one compressed index block.
@@ -50,31 +50,53 @@ def url_key(url: Column) -> Column:
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, key, digest and refers_to of every page; the smallest id of equal payloads is the response."""
+    """page_id, url, html, key, digest, refers_to and refers_to_url of every page; the smallest id of equal payloads is the response."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     base = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), payload.alias("html"))
     base = base.withColumns({"digest": F.sha2(F.col("html").cast("binary"), 256), "key": url_key(F.col("url"))})
-    long_enough = F.octet_length("html") >= LEAST_REVISIT_BYTES
-    firsts = base.where(long_enough & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
-    firsts = firsts.where("first < last").select("digest", "first")
-    repeats = F.when(F.col("page_id") > F.col("first"), F.col("first"))
-    return base.join(firsts, "digest", "left").withColumn("refers_to", repeats).drop("first")
+    # payloads stay where they are: only digests and ids are grouped and joined
+    slim = base.where((F.octet_length("html") >= LEAST_REVISIT_BYTES) & F.col("page_id").isNotNull()).select("digest", "page_id", "url")
+    firsts = slim.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("digest", "first")
+    firsts = written(firsts, "firsts")
+    known = slim.join(small_enough(firsts), "digest")
+    urls = known.where("page_id = first").groupBy("digest").agg(F.min("url").alias("refers_to_url"))
+    refers = known.where("page_id > first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct().join(urls, "digest")
+    return base.join(small_enough(written(refers, "refers")), ["page_id", "digest"], "left")
+
+
+def record_name(page_id: int | None, url: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{url}')}>"
 
 
-def record(kind: str, page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(kind: str, page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None, refers_to_url: str | None = None) -> bytes:
     """One WARC record, uncompressed."""
     body = b"" if kind == "revisit" else b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page_id}:{url}")
     head = {
-        "WARC-Type": kind, "WARC-Record-ID": f"<urn:uuid:{name}>", "WARC-Date": DATE, "WARC-Target-URI": url.replace("\r", "%0D").replace("\n", "%0A"),
+        "WARC-Type": kind, "WARC-Record-ID": record_name(page_id, url), "WARC-Date": DATE, "WARC-Target-URI": one_line(url),
         "WARC-Payload-Digest": f"sha256:{digest}", "X-Page-Id": "" if page_id is None else str(page_id), "X-Payload-Length": str(len(payload)),
         "Content-Type": "application/http; msgtype=response", "Content-Length": str(len(body)),
     }
     if kind == "revisit":
-        head |= {"WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": f"page:{refers_to}"}
+        named = refers_to_url or ""
+        head |= {"WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": record_name(refers_to, named), "WARC-Refers-To-Target-URI": one_line(named), "WARC-Refers-To-Date": DATE, "X-Refers-To-Page-Id": str(refers_to)}
+    return packed(head, body)
+
+
+def one_line(url: str) -> str:
+    return url.replace("\r", "%0D").replace("\n", "%0A")
+
+
+def packed(head: dict[str, str], body: bytes) -> bytes:
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + body + b"\r\n\r\n"
 
 
+def warcinfo(path: str) -> bytes:
+    """The record that opens an archive."""
+    body = b"software: tessera\r\nformat: WARC File Format 1.1\r\n"
+    name = path.rpartition("/")[2]
+    return packed({"WARC-Type": "warcinfo", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", "WARC-Date": DATE, "WARC-Filename": name, "Content-Type": "application/warc-fields", "Content-Length": str(len(body))}, body)
+
+
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     """(headers, payload) of one record."""
     head, _, rest = data.partition(b"\r\n\r\n")
@@ -104,9 +126,13 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             for batch in batches:
                 rows = {"key": [], "page_id": [], "file": [], "offset": [], "length": []}
                 for r in batch.to_pylist():
-                    out = out or system.open_output_stream(inner, compression=None)
+                    if out is None:
+                        out = system.open_output_stream(inner, compression=None)
+                        first = gzip.compress(warcinfo(path), 6, mtime=0)
+                        out.write(first)
+                        at = len(first)
                     kind = "response" if r["refers_to"] is None else "revisit"
-                    member = gzip.compress(record(kind, r["page_id"], r["url"] or "", r["html"].encode(), r["digest"], r["refers_to"]), 6, mtime=0)
+                    member = gzip.compress(record(kind, r["page_id"], r["url"] or "", r["html"].encode(), r["digest"], r["refers_to"], r["refers_to_url"]), 6, mtime=0)
                     out.write(member)
                     for k, v in zip(rows, (r["key"], r["page_id"], path, at, len(member)), strict=True):
                         rows[k].append(v)
@@ -116,7 +142,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             if out:
                 out.close()
 
-    slim = with_revisits(pages).select("key", "page_id", "url", "html", "digest", "refers_to")
+    slim = with_revisits(pages).select("key", "page_id", "url", "html", "digest", "refers_to", "refers_to_url")
     return written(slim.mapInArrow(run, CAPTURE), "captures")
 
 
@@ -167,40 +193,57 @@ def block_rows(path: str, offset: int, length: int) -> list[list]:
     return [json.loads(x) for x in zlib.decompress(read_range(path, offset, length)).decode().split("\n")]
 
 
-class CaptureIndex:
-    """Lookups by URL key. Only the sparse directory is held: one row per block of captures."""
+def equal_range(keys: list[str], key: str) -> range:
+    return range(bisect_left(keys, key), bisect_right(keys, key))
 
-    def __init__(self, directory: DataFrame):
-        self.blocks = sorted((r["first"], r["last"], r["file"], r["offset"], r["length"]) for r in directory.toLocalIterator())
-        self.firsts = [b[0] for b in self.blocks]
 
-    def captures(self, key: str) -> list[list]:
-        """All captures of a key; a key may go on over blocks."""
-        at, found = bisect_right(self.firsts, key) - 1, []
-        while at >= 0 and self.blocks[at][1] >= key:
-            rows = block_rows(*self.blocks[at][2:])
-            keys = [r[0] for r in rows]
-            end = bisect_right(keys, key)
-            while end and keys[end - 1] == key:
-                end -= 1
-                found.append(rows[end])
-            at -= 1
-        return sorted(found, key=lambda r: (r[1] is None, r[1], r[3]))
+def holding(firsts: list[str], lasts: list[str], key: str) -> Iterator[int]:
+    """The places of the ranges, in order, that may hold the key; a key may go on over several."""
+    i = bisect_left(lasts, key)
+    while i < len(firsts) and firsts[i] <= key:
+        yield i
+        i += 1
 
-    def records(self, key: str) -> list[tuple[dict[str, str], bytes]]:
-        return [parse(gzip.decompress(read_range(r[2], r[3], r[4]))) for r in self.captures(key)]
 
+def lookup(directory: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The captures of the keys in ``wanted`` (key): files by their ranges, blocks by the directory, rows by bisection."""
+    files = sorted(tuple(r) for r in directory.groupBy("file").agg(F.min("first"), F.max("last")).select("min(first)", "max(last)", "file").collect())  # one row for each index task
+    shared = directory.sparkSession.sparkContext.broadcast(files)
 
-def read_captures(directory: DataFrame) -> DataFrame:
-    """All captures, from the blocks that the directory lists."""
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts, lasts, names = ([f[i] for f in shared.value] for i in range(3))
+        for batch in batches:
+            keys = [(k, names[i]) for k in batch["key"].to_pylist() for i in holding(firsts, lasts, k)]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([f for _, f in keys], pa.string())], ["key", "file"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+        name, blocks, firsts, lasts, at, rows, keys = None, [], [], [], None, [], []
         for batch in batches:
+            out = []
             for r in batch.to_pylist():
-                yield pa.RecordBatch.from_pylist([dict(zip(kind.names, row, strict=True)) for row in block_rows(r["file"], r["offset"], r["length"])], kind)
-
-    return directory.repartition(F.xxhash64("file", "offset")).mapInArrow(run, CAPTURE)
+                if r["file"] != name:
+                    name, blocks, firsts, lasts, at = r["file"], [], [], [], None
+                if r["length"] is not None:  # the file's blocks come before the keys that are looked up in it
+                    blocks.append((r["key"], r["last"], r["offset"], r["length"]))
+                    continue
+                if not firsts:
+                    firsts, lasts = [b[0] for b in blocks], [b[1] for b in blocks]
+                for i in holding(firsts, lasts, r["key"]):
+                    if i != at:
+                        at, rows = i, block_rows(name, *blocks[i][2:])
+                        keys = [x[0] for x in rows]
+                    out += [dict(zip(kind.names, rows[k], strict=True)) for k in equal_range(keys, r["key"])]
+                    if len(out) >= BLOCK_CAPTURES:
+                        yield pa.RecordBatch.from_pylist(out, kind)
+                        out = []
+            yield pa.RecordBatch.from_pylist(out, kind)
+
+    placed = wanted.where("key is not null").select("key").distinct().mapInArrow(place, "key string, file string")
+    asked = placed.select("file", "key", F.lit(None).cast("string").alias("last"), F.lit(None).cast("long").alias("offset"), F.lit(None).cast("long").alias("length"))
+    both = directory.select("file", F.col("first").alias("key"), "last", "offset", "length").union(asked)
+    met = both.repartition("file").sortWithinPartitions("file", F.col("length").isNull(), "key", "offset")
+    return met.mapInArrow(find, CAPTURE)
 
 
 def read_records(captures: DataFrame) -> DataFrame:
@@ -227,7 +270,7 @@ def read_records(captures: DataFrame) -> DataFrame:
                     rows.append({
                         "page_id": int(head["X-Page-Id"]) if head["X-Page-Id"] else None, "url": head["WARC-Target-URI"], "html": None if revisit else payload.decode(),
                         "payload_bytes": int(head["X-Payload-Length"]) if revisit else len(payload), "payload_digest": digest, "record_type": head["WARC-Type"],
-                        "refers_to": int(head["WARC-Refers-To"].removeprefix("page:")) if revisit else None,
+                        "refers_to": int(head["X-Refers-To-Page-Id"]) if revisit else None,
                     })
                 yield pa.RecordBatch.from_pylist(rows, kind)
         if source:
@@ -238,9 +281,10 @@ def read_records(captures: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = new_folder(spark, "warc")
-    directory = write_index(write_archives(table(spark, sf_dir, "pages"), folder), folder)
-    return read_records(read_captures(directory)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages, folder = table(spark, sf_dir, "pages"), new_folder(spark, "warc")
+    directory = write_index(write_archives(pages, folder), folder)
+    captures = lookup(directory, pages.select(url_key(F.col("url")).alias("key")))
+    return read_records(captures).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 #: DuckDB SQL of the query's rows.
