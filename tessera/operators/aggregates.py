@@ -72,8 +72,13 @@ def centrality(relations: DataFrame, samples: int = 3) -> DataFrame:
     """
     ends = relations.select("src_id", "tgt_id", "source_id").unionAll(relations.select(F.col("tgt_id"), F.col("src_id"), "source_id"))
     ends = ends.toDF("entity", "neighbour", "source_id")
-    degree = ends.groupBy("entity").agg(F.count("*").alias("degree"), F.count_distinct("neighbour").alias("neighbours"), F.slice(F.array_sort(F.collect_set("source_id")), 1, samples).alias("sources"))
-    return degree.withColumn("score", F.col("degree") + F.col("neighbours"))
+    degree = ends.groupBy("entity").agg(F.count("*").alias("degree"), F.count_distinct("neighbour").alias("neighbours"))
+    # only the first sources of an entity are gathered, not all of a hub's
+    first = Window.partitionBy("entity").orderBy("source_id")
+    sources = ends.where("source_id is not null").select("entity", "source_id").distinct().withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= samples)
+    sources = sources.groupBy("entity").agg(F.array_sort(F.collect_list("source_id")).alias("sources"))
+    out = degree.join(sources, "entity", "left").withColumn("sources", F.coalesce("sources", F.array().cast("array<string>")))
+    return out.withColumn("score", F.col("degree") + F.col("neighbours"))
 
 
 def ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:

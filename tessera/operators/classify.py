@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 Model = Callable[[list[dict]], str]
 
 LAYER1_BATCH, LAYER2_BATCH, BODY_CHARS = 30, 5, 8000
+#: Groups of rows are numbered apart: so many at least, and more as there are more rows.
+LEAST_GROUPS, GROUP_BATCHES = 1024, 200
 
 
 def without_fence(text: Column) -> Column:
@@ -26,8 +28,8 @@ def without_fence(text: Column) -> Column:
 
 
 def in_batches(df: DataFrame, key: str, size: int) -> DataFrame:
-    """Number batches of ``size`` rows: rows are hashed to groups of some hundred batches, and numbered inside each."""
-    group = F.pmod(F.xxhash64(key), F.lit(1024))
+    """Number batches of ``size`` rows: rows are hashed to groups of about ``GROUP_BATCHES`` batches, and numbered inside each."""
+    group = F.pmod(F.xxhash64(key), F.lit(max(LEAST_GROUPS, df.count() // (GROUP_BATCHES * size))))
     place = F.row_number().over(Window.partitionBy("_g").orderBy(key)) - 1
     return df.withColumn("_g", group).withColumn("_b", F.floor(place / size).cast("long"))
 
@@ -78,11 +80,12 @@ def classified(df: DataFrame, key: str, model: Model, rule: Callable = layer1, s
         held = pd.DataFrame()
         for part in parts:
             held = pd.concat([held, part])
-            ready = held[["_g", "_b"]].apply(tuple, axis=1)
-            last = ready.iloc[-1] if len(ready) else None
-            for _, batch in held[ready != last].groupby(["_g", "_b"], sort=False):
+            if not len(held):
+                continue
+            waits = ((held["_g"] == held["_g"].iloc[-1]) & (held["_b"] == held["_b"].iloc[-1])).to_numpy()
+            for _, batch in held[~waits].groupby(["_g", "_b"], sort=False):
                 yield answered(batch)
-            held = held[ready == last]
+            held = held[waits]
         for _, batch in held.groupby(["_g", "_b"], sort=False) if len(held) else ():
             yield answered(batch)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.aggregates import ranked
+
 
 def topic_cohort(articles: DataFrame, classifications: DataFrame, topic: str, depth_min: int = 2) -> DataFrame:
     """Articles labelled with a topic at a depth, each once."""
@@ -194,7 +196,7 @@ def merged_sources(existing: DataFrame, added: DataFrame) -> DataFrame:
     """Unseen sources follow the existing ones with the next ids."""
     new = added.join(existing, ["type", "key"], "left_anti")
     last = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
-    numbered = new.join(F.broadcast(last)).withColumn("id", (F.col("_last") + F.row_number().over(Window.orderBy("pos"))).cast("int"))
+    numbered = ranked(new, F.col("pos"), F.col("type"), F.col("key")).join(F.broadcast(last)).withColumn("id", (F.col("_last") + F.col("rank")).cast("int"))
     return existing.select("id", "type", "key").unionByName(numbered.select("id", "type", "key"))
 
 

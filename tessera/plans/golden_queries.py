@@ -153,6 +153,10 @@ QUERIES = {
             frame(s, "batch int, slot int, pos int, decision string, confidence double", (1, 1, 1, "reject", 0.9), (1, 1, 2, "keep", 0.9), (1, 2, 1, "reject", 0.4), (1, 3, 1, "keep", 0.1))).select("batch", "slot", "decision"),
         values([(1, 1, "reject"), (1, 2, "keep"), (1, 3, "keep"), (1, 4, "keep")], "batch", "slot", "decision"),
     ),
+    "k6_promotion": each(
+        "v string, p boolean", lambda: merges.promoted(C("v"), C("p")),
+        (None, True, "candidate"), ("reject", True, "candidate"), ("candidate", False, "candidate"), ("reject", False, "reject"), (None, False, None), ("other", True, "other"),
+    ),
     "k18_image_counts": (
         lambda s, d: merges.counted_images(frame(s, "ref string", ("a",), ("b",)), frame(s, "ref string", ("a",), ("a",), ("z",))), values([("a", 2), ("b", 0)], "ref", "image_count"),
     ),
