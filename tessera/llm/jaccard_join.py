@@ -319,3 +319,19 @@ def keep_first(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster(table(spark, sf_dir, "documents"))
+
+
+#: DuckDB SQL of the query's rows, for small tables: it pairs all documents that share a shingle.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+u AS (SELECT doc_id, unnest(w) AS w, unnest(range(len(w))) AS k, len(w) AS m FROM w),
+g AS (SELECT doc_id, k, m, concat_ws(' ', w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o) AS g FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+e AS (SELECT DISTINCT doc_id, md5_number(g) AS g FROM g WHERE k <= greatest(m - 4, 0)),
+n AS (SELECT doc_id, cast(count(g) AS bigint) AS n FROM w LEFT JOIN e USING (doc_id) GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+t AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS root FROM n UNION SELECT t.b, r.root FROM r JOIN t ON t.a = r.doc_id)
+SELECT doc_id, n AS n_shingles, min(root) AS component_id FROM r JOIN n USING (doc_id) GROUP BY ALL
+"""

@@ -55,7 +55,7 @@ ANY_SIZE = 1
 #: Lines of a prefix token that meet each other directly; those of larger groups meet by a second token.
 GROUP = 500
 #: In groups of more lines than this all meet the earliest line first.
-LEAD = 16
+LEAD = 100
 #: Bytes of the map of a line's tokens by which its group's other tokens are told from its own.
 MAP = 64
 #: Sets of at least so many tokens have 128 parity bits, smaller ones 64.
@@ -236,16 +236,16 @@ def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     return joined.mapInArrow(check, f"y_doc {kind}, y_line int, x_doc {kind}, x_line int")
 
 
-def matched_lines(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """(doc_id, line) of the y lines with a verified match: the likeliest one of each is verified, then the others of those without."""
+def likeliest(pairs: DataFrame) -> DataFrame:
+    """The pair of each y line whose lines seem nearest."""
     y = ["y_doc", "y_line"]
-    likely = pairs.groupBy(*y).agg(F.min(F.struct("gap", "x_doc", "x_line")).alias("x")).select(*y, "x.x_doc", "x.x_line")
-    likely = written(likely, "likely")
-    found = written(verified(docs, likely, threshold).select(*y), "likely_found")
-    rest = written(pairs.drop("gap").join(small_enough(found), y, "left_anti").join(likely, likely.columns, "left_anti"), "rest")
-    if not rest.isEmpty():
-        found = found.union(verified(docs, rest, threshold).select(*y).distinct())
-    return found.select(F.col("y_doc").alias("doc_id"), F.col("y_line").alias("line"))
+    return written(pairs.groupBy(*y).agg(F.min(F.struct("gap", "x_doc", "x_line")).alias("x")).select(*y, "x.x_doc", "x.x_line"), "likely")
+
+
+def matched_lines(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, line) of the y lines of verified pairs, written."""
+    found = verified(docs, pairs, threshold).select(F.col("y_doc").alias("doc_id"), F.col("y_line").alias("line"))
+    return written(found.distinct(), "found")
 
 
 def postings(lines: DataFrame) -> DataFrame:
@@ -270,12 +270,10 @@ def flagged(posted: DataFrame, found: DataFrame) -> DataFrame:
     return out.select("token", "doc_id", "n", flag.alias("m"), "p0", "p1")
 
 
-def met(posted: DataFrame, before: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of an open line and an earlier one that share a token and may be similar, but those met before."""
+def met(posted: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of an open line and an earlier one that share a token and may be similar."""
     x, y = posted.alias("x"), posted.alias("y")
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & F.when(is_open("y"), x_first() & may_match("x", "y", threshold)).otherwise(False)).select(*ends()).distinct()
-    key = ["y_doc", "y_line", "x_doc", "x_line"]
-    return pairs.join(before.select(*key), key, "left_anti")
+    return x.join(y, (F.col("x.token") == F.col("y.token")) & F.when(is_open("y"), x_first() & may_match("x", "y", threshold)).otherwise(False)).select(*ends()).distinct()
 
 
 def token_maps(docs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -368,34 +366,44 @@ def later_matches(docs: DataFrame, threshold: float = THRESHOLD, least_tokens: i
     classes = lines.where(F.size("prefix") > 0).join(same, ["d1", "d2"], "left").where(F.col("f").isNull() | ~is_repeat)
     posted = written(postings(classes), "postings")
 
-    # where more than a few lines have a token, each meets the earliest one first
+    # where many lines have a token, each meets the earliest one first
     tokens = posted.groupBy("token").agg(F.count("*").alias("c"), F.min("doc_id").alias("lead")).where(F.col("c") > LEAD)
     tokens = written(tokens, "tokens")
-    leaders = posted.join(small_enough(tokens.select("token", "lead")), "token").where("doc_id = lead")
-    leaders = leaders.groupBy("token").agg(F.min(F.struct(F.shiftright("m", 32).cast("int").alias("line"), "doc_id", "m", "n", "p0", "p1")).alias("l")).select("token", "l.*")
-    leaders = written(leaders, "leaders")
-    x, y = small_enough(leaders).alias("x"), posted.alias("y")
-    led = written(x.join(y, (F.col("x.token") == F.col("y.token")) & x_first() & close("x", "y", threshold)).select(*ends()).distinct(), "pairs")
-    found = written(matched_lines(slim, led, threshold), "found")
+    found = []
+    if not tokens.isEmpty():
+        members = written(posted.join(small_enough(tokens), "token"), "members")
+        leaders = members.where("doc_id = lead").groupBy("token").agg(F.min(F.struct(F.shiftright("m", 32).cast("int").alias("line"), "doc_id", "m", "n", "p0", "p1")).alias("l"))
+        leaders = written(leaders.select("token", "l.*"), "leaders")
+        x, y = small_enough(leaders).alias("x"), members.alias("y")
+        led = x.join(y, (F.col("x.token") == F.col("y.token")) & x_first() & close("x", "y", threshold)).select(*ends()).distinct()
+        found.append(matched_lines(slim, likeliest(led), threshold))
+        posted = flagged(posted, found[0])
+    else:
+        posted = posted.withColumn("m", F.col("m").bitwiseOR(F.lit(1)))
 
     # the lines without a match meet all earlier lines of their tokens; both sides share one exchange,
     # so the condition on y alone is kept inside the joint one
-    posted = flagged(posted, found)
     hot = written(tokens.where(F.col("c") > GROUP).select("token"), "hot")
     some_hot = not hot.isEmpty()
-    pairs = written(met(posted.join(small_enough(hot), "token", "left_anti") if some_hot else posted, led, threshold), "pairs")
-    found = found.union(matched_lines(slim, pairs, threshold)).distinct()
-    if not some_hot:
-        return repeats.union(found).distinct()
-
-    # in the large groups they meet by a second token
-    found = written(found, "found")
-    members = flagged(posted.join(small_enough(hot), "token"), found).withColumn("open", F.col("m").bitwiseAND(F.lit(1)) == 1)
-    maps = leaders.join(small_enough(hot), "token").select("token", "doc_id", "line")
-    maps = maps.join(token_maps(slim, maps.select("doc_id", "line").distinct()).groupBy("doc_id", "line").agg(F.min("map").alias("map")), ["doc_id", "line"])
-    second = second_tokens(slim, members.join(small_enough(written(maps.select("token", "map"), "maps")), "token"), rarity, threshold)
-    more = written(met(written(second, "second"), led.union(pairs), threshold), "pairs")
-    return repeats.union(found).union(matched_lines(slim, more, threshold)).distinct()
+    pairs = written(met(posted.join(small_enough(hot), "token", "left_anti") if some_hot else posted, threshold), "pairs")
+    likely = likeliest(pairs)
+    found.append(matched_lines(slim, likely, threshold))
+    key = likely.columns
+    rest = pairs.join(small_enough(found[-1]).withColumnsRenamed({"doc_id": "y_doc", "line": "y_line"}), ["y_doc", "y_line"], "left_anti").select(*key).join(likely, key, "left_anti")
+
+    # in the large groups they do so by a second token
+    if some_hot:
+        open_ = flagged(members.join(small_enough(hot), "token"), found[0].union(found[1]).distinct()).withColumn("open", F.col("m").bitwiseAND(F.lit(1)) == 1)
+        maps = leaders.join(small_enough(hot), "token").select("token", "doc_id", "line")
+        maps = maps.join(token_maps(slim, maps.select("doc_id", "line").distinct()).groupBy("doc_id", "line").agg(F.min("map").alias("map")), ["doc_id", "line"])
+        second = second_tokens(slim, open_.join(small_enough(written(maps.select("token", "map"), "maps")), "token"), rarity, threshold)
+        rest = rest.union(met(written(second, "second"), threshold).select(*key)).distinct()
+    rest = written(rest, "rest")
+    if not rest.isEmpty():
+        found.append(matched_lines(slim, rest, threshold))
+    for more in found:
+        repeats = repeats.union(more)
+    return repeats.distinct()
 
 
 def with_removed(docs: DataFrame, threshold: float = THRESHOLD, least_tokens: int = LEAST_TOKENS) -> tuple[DataFrame, Column]:
@@ -429,3 +437,27 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.size(removed), F.lit(0)).cast("long").alias("n_removed"),
         F.sha2(kept_text(text, removed), 256).alias("kept_sha256"),
     )
+
+
+#: DuckDB SQL of the query's rows.
+SQL = r"""
+WITH a AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
+b AS (SELECT doc_id, unnest(range(0, len(x))) AS k, unnest(x) AS line FROM a),
+s AS (SELECT doc_id, k, list_distinct(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) AS s FROM b),
+c AS (SELECT doc_id, k, s, len(s) AS n FROM s WHERE len(s) > 0),
+t AS (SELECT doc_id, k, n, unnest(s) AS t FROM c),
+f AS (SELECT t, count(*) AS f FROM t GROUP BY t),
+o AS (SELECT doc_id, k, n, t, row_number() OVER (PARTITION BY doc_id, k ORDER BY f, t) AS place FROM t JOIN f USING (t)),
+p AS (SELECT doc_id, k, n, t FROM o WHERE place <= n - ceil(0.8 * n - 1e-9) + 1),
+m AS (
+  SELECT DISTINCT y.doc_id AS yd, y.k AS yk, x.doc_id AS xd, x.k AS xk FROM p x JOIN p y ON x.t = y.t
+  WHERE (x.doc_id < y.doc_id OR (x.doc_id = y.doc_id AND x.k < y.k)) AND least(x.n, y.n) >= 0.8 * greatest(x.n, y.n) - 1e-9),
+v AS (
+  SELECT DISTINCT yd AS doc_id, yk AS k FROM (
+    SELECT yd, yk, len(list_intersect(x.s, y.s)) AS i, x.n + y.n AS n FROM m JOIN c x ON x.doc_id = xd AND x.k = xk JOIN c y ON y.doc_id = yd AND y.k = yk)
+  WHERE i >= 0.8 * (n - i) - 1e-9),
+g AS (SELECT doc_id, list(k) AS gone FROM v GROUP BY doc_id)
+SELECT doc_id, cast(len(x) AS bigint) AS n_lines, cast(coalesce(len(gone), 0) AS bigint) AS n_removed,
+       sha256(CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(x, lambda e, i: NOT list_contains(gone, i - 1)), chr(10)) END) AS kept_sha256
+FROM a LEFT JOIN g USING (doc_id)
+"""

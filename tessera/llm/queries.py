@@ -27,4 +27,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontamination": decontamination.SQL, "op8_warc": warc.SQL, "op10_mixing": mixing.SQL}
+    return {
+        "op4_line_dedup": line_dedup.SQL, "op5_jaccard_join": jaccard_join.SQL, "op6_suffix_dedup": suffix_dedup.SQL,
+        "op7_decontamination": decontamination.SQL, "op8_warc": warc.SQL, "op10_mixing": mixing.SQL,
+    }

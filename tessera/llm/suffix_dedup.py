@@ -303,3 +303,22 @@ def report(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents")).drop("kept")
+
+
+#: DuckDB SQL of the query's rows, for small tables: it holds a row for every string. Bytes stand as two hex digits.
+SQL = r"""
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+c AS (SELECT doc_id, i, substr(x, 2000 * i + 1, 2198) AS y FROM (SELECT doc_id, x, unnest(range(0, (len(x) // 2 + 900) // 1000)) AS i FROM h WHERE len(x) >= 200)),
+p AS (SELECT doc_id, 1000 * i + j AS k, md5_number(substr(y, 2 * j + 1, 200)) AS s FROM (SELECT doc_id, i, y, unnest(range(0, least(1000, len(y) // 2 - 99))) AS j FROM c WHERE len(y) >= 200)),
+f AS (SELECT s, min((doc_id, k)) AS first FROM p GROUP BY s HAVING count(*) > 1),
+r AS (SELECT doc_id, k, CASE WHEN k - lag(k) OVER (PARTITION BY doc_id ORDER BY k) <= 100 THEN 0 ELSE 1 END AS new FROM p JOIN f USING (s) WHERE (doc_id, k) > first),
+g AS (SELECT doc_id, k, sum(new) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM r),
+t AS (SELECT doc_id, run, min(k) AS a, max(k) + 100 AS b FROM g GROUP BY doc_id, run),
+u AS (SELECT doc_id, run, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS last FROM t),
+k AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(x, cast(2 * last + 1 AS bigint), cast(2 * (a - last) AS bigint)), '' ORDER BY a) AS kept, max(b) AS reach
+  FROM u JOIN h USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, cast(len(x) // 2 AS bigint) AS n_bytes, cast(coalesce(n_removed, 0) AS bigint) AS n_removed, cast(coalesce(n_spans, 0) AS bigint) AS n_spans,
+       sha256(unhex(CASE WHEN kept IS NULL THEN x ELSE kept || substr(x, cast(2 * reach + 1 AS bigint)) END)) AS kept_sha256
+FROM h LEFT JOIN k USING (doc_id)
+"""
