@@ -294,7 +294,7 @@ def test_sql(spark, name):
 
 def test_pipeline(spark):
     import corpus_pipeline
-    from tests.llm.test_dedup import groups, later_lines
+    from tests.llm.test_dedup import later_lines, near_groups
 
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     frames = {"": docs}
@@ -309,12 +309,12 @@ def test_pipeline(spark):
     good = [i for i in rows[""] if labels.get(i) == 1]
     assert sum(i in rows["quality"] for i in good) >= 0.97 * len(good) and len(rows["quality"]) < len(rows[""])
     before = [(i, r.text) for i, r in rows["quality"].items()]
-    gone = later_lines(before)
+    gone = later_lines(before, least=1)
     for i, t in before:
         kept = "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone)
         assert (rows["lines"][i].text == kept) if i in rows["lines"] else not WORD.search(kept)
-    near = groups([(i, r.text) for i, r in rows["lines"].items()])
-    assert set(rows["near_copies"]) == {c for _, c in near.values()}
+    near = near_groups([(i, r.text) for i, r in rows["lines"].items()], 5, 80)
+    assert set(rows["near_copies"]) == set(near.values())
     bench = spark.read.parquet(f"{SMALL}/benchmark.parquet")
     hit = {r.doc_id for r in decontamination.report(frames["near_copies"], bench).where("contaminated").collect()}
     assert set(rows["decontaminate"]) == set(rows["near_copies"]) - hit
