@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, line_dedup, mixing, quality_classifier, quality_rules, suffix_dedup, token_counts, toxicity, warc
+from . import decontamination, jaccard_join, license_scan, line_dedup, mixing, periodic_runs, prefix_trie, quality_classifier, quality_rules, suffix_dedup, token_counts, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,9 @@ def queries() -> dict[str, Query]:
         "op8_warc": warc.query,
         "op9_quality_classifier": quality_classifier.query,
         "op10_mixing": mixing.query,
+        "op11_periodic_runs": periodic_runs.query,
+        "op12_license_scan": license_scan.query,
+        "op13_prefix_trie": prefix_trie.query,
     }
 
 
@@ -30,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_line_dedup": line_dedup.SQL, "op5_jaccard_join": jaccard_join.SQL, "op6_suffix_dedup": suffix_dedup.SQL,
         "op7_decontamination": decontamination.SQL, "op8_warc": warc.SQL, "op10_mixing": mixing.SQL,
+        "op11_periodic_runs": periodic_runs.SQL, "op13_prefix_trie": prefix_trie.SQL,
     }
