@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.storage import written
+
 
 def entity_languages(mentions: DataFrame, articles: DataFrame, least: int = 5) -> DataFrame:
     """A4: mentions by language (repeats count, Q7) and distinct articles of each entity."""
@@ -84,14 +86,16 @@ def centrality(relations: DataFrame, samples: int = 3) -> DataFrame:
 def ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     """1..N over all rows.
 
-    Rows are ranged over partitions first; a rank is the rows of the partitions
-    before plus the place in the own one, so no task orders everything.
+    Rows are ranged over partitions and numbered inside them in one job, whose
+    result is written; a rank is the rows of the partitions before plus the place
+    in the own one. Counts and rows come from that one table, so they agree, and
+    no task orders everything; what is broadcast is one row a partition.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    part = F.shiftright("_id", 33)
+    place = F.monotonically_increasing_id()
+    ranged = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.shiftright(place, 33), "_place": place.bitwiseAND(F.lit((1 << 33) - 1))}), "ranged")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_c")).select("_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
-    return ranged.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn(name, (F.col("_before") + F.col("_id") - F.shiftleft("_part", 33) + 1).cast("long")).drop("_id", "_part", "_before")
+    starts = ranged.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return ranged.join(F.broadcast(starts), "_part").withColumn(name, (F.col("_before") + F.col("_place") + 1).cast("long")).drop("_part", "_place", "_before")
 
 
 def document_frequency(mentions: DataFrame, slug: Column, least: int = 2) -> DataFrame:

@@ -111,12 +111,6 @@ QUERIES = {
         lambda s, d: A.unified(s, d).groupBy(M.ingestion_state(C("layer1_verdict"), C("url"), F.when(C("lang") == "fr", "text_ingest"), C("body"), C("lang") == "es", C("layer2_verdict"), F.length("body") > 1000).alias("state")).agg(F.count("*").alias("n")),
         A.with_tables("SELECT CASE WHEN layer1_verdict = 'reject' THEN 'skipped' WHEN layer1_verdict IS NULL THEN NULL WHEN lang = 'fr' THEN 'skipped_ingested' WHEN lang = 'es' THEN 'skipped_graded' WHEN layer2_verdict = 'reject' THEN 'skipped' WHEN layer2_verdict IS NULL THEN NULL WHEN length(body) > 1000 THEN 'ok' ELSE 'failed' END AS state, count(*) AS n FROM unified GROUP BY 1", "unified"),
     ),
-    "v1_phrase_search": (
-        lambda s, d: V.phrase_search(A.unified(s, d), "Tion of the", quality=(C("layer2_verdict").isNull() | (C("layer2_verdict") != "reject"))).select("hash"),
-        A.with_tables("SELECT hash FROM unified WHERE contains(lower(title || chr(10) || body), 'tion of the') AND (layer2_verdict IS NULL OR layer2_verdict <> 'reject')", "unified"),
-    ),
-    "v1_ranked_search": (lambda s, d: V.phrase_search(A.unified(s, d), "tion the", 20).select("hash", "score"), 
-        A.with_tables("WITH b AS (SELECT hash, (length(t) - length(replace(t, 'tion the', ''))) / 8 AS tf, length(t) AS len FROM (SELECT hash, lower(title || chr(10) || body) AS t FROM unified)), s AS (SELECT count(*) AS n, avg(len) AS mean, count(*) FILTER (tf > 0) AS df FROM b) SELECT hash, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean)), 6) AS score FROM b, s WHERE tf > 0 ORDER BY score DESC, hash LIMIT 20", "unified")),
     "v1_gram_index": (
         lambda s, d: V.index_candidates(V.gram_index(A.unified(s, d).select(F.concat_ws("_", "source", "id").alias("key"), "title"), "key", C("title")), "key", "tion"),
         A.with_tables("SELECT source || '_' || id AS key FROM unified WHERE contains(lower(title), 'tio') AND contains(lower(title), 'ion')", "unified"),
@@ -125,7 +119,6 @@ QUERIES = {
         lambda s, d: V.index_candidates(V.gram_index(A.unified(s, d).select(F.concat_ws("_", "source", "id").alias("key"), "title", "body"), "key", F.concat_ws("\n", "title", "body")), "key", "tion"),
         A.with_tables("SELECT source || '_' || id AS key FROM unified WHERE contains(lower(concat_ws(chr(10), title, body)), 'tio') AND contains(lower(concat_ws(chr(10), title, body)), 'ion')", "unified"),
     ),
-    "v7_keyword_union": (lambda s, d: V.keyword_union(A.unified(s, d), ["edtion", "thand"], 10), None),
     "v10_nearest": (lambda s, d: V.nearest(A.table(s, d, "embeddings"), _Q, "vec_id", "embedding", 20), f"SELECT vec_id, {_COS} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 20"),
     "v4_graph_context": (lambda s, d: _context(s, d), None),
     "v11_graph_stats": (lambda s, d: A.relations(s, d).agg(F.count_distinct("src_id").alias("sources"), F.count_distinct("tgt_id").alias("targets"), F.count("*").alias("edges")), A.with_tables("SELECT count(DISTINCT src_id) AS sources, count(DISTINCT tgt_id) AS targets, count(*) AS edges FROM relations", "relations")),
