@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.storage import written
+
 from tessera.operators.aggregates import ranked
 
 
@@ -94,22 +96,49 @@ def without_articles(accounts: DataFrame, articles: DataFrame) -> DataFrame:
     return accounts.join(articles.select("account"), "account", "left_anti")
 
 
-def contradictions(suggested: DataFrame, existing: DataFrame) -> DataFrame:
-    """Sentences on the same subject that name other years.
+#: Sentences that one word's postings hold at most without a second word.
+HUB = 500
+
 
-    Sentences (id, text) meet on pairs of shared capitalised words, so the
-    theta condition (two shared words, other years) needs no cross join.
+def contradictions(suggested: DataFrame, existing: DataFrame, hub: int = HUB) -> DataFrame:
+    """(new_id, old_id): of each suggested sentence the first existing one that shares two capitalised words and names other years.
+
+    Sentences are rows (id, text). Words are ordered from rare to common, so two sentences that share two words share one of all but
+    the last word of each. A word that at most ``hub`` existing sentences have is a key by itself, and what meets there is verified; a
+    more common one is a key only with each word after it, which is proof by itself: of such a key the first sentences of the two
+    years that come first are enough. So no key joins more than ``hub`` rows, and only common words are paired.
     """
 
-    def facts(df: DataFrame, side: str) -> DataFrame:
+    def facts(df: DataFrame) -> DataFrame:
         years = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b(?:19|20)\d{2}\b"), 0)))
-        words = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b[A-Z][A-Za-z0-9]+\b"), 0)))
-        base = df.select(F.col("id").alias(f"{side}_id"), years.alias(f"{side}_years"), words.alias("w")).where(F.size(f"{side}_years") > 0)
-        pairs = F.flatten(F.transform("w", lambda x, i: F.transform(F.slice("w", i + 2, F.greatest(F.size("w"), F.lit(1))), lambda y: F.struct(x.alias("p"), y.alias("q")))))
-        return base.select(f"{side}_id", f"{side}_years", F.explode(pairs).alias("pair"))
-
-    met = facts(suggested, "new").join(facts(existing, "old"), "pair").where("new_years != old_years")
-    return met.groupBy("new_id").agg(F.min("old_id").alias("old_id"))
+        words = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b[A-Z][A-Za-z0-9]+\b"), 0))
+        return df.select("id", years.alias("years"), words.alias("words")).where((F.size("years") > 0) & (F.size("words") > 1))
+
+    new, old = written(facts(suggested), "suggested"), written(facts(existing), "existing")
+    counts = written(old.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")), "words")
+
+    def ordered(df: DataFrame) -> DataFrame:
+        """Sentences with their words that the existing ones have, rarest first."""
+        each = df.select("id", "years", F.explode("words").alias("word")).join(counts, "word")
+        return written(each.groupBy("id", "years").agg(F.sort_array(F.collect_list(F.struct("n", "word"))).alias("words")).where(F.size("words") > 1), "ordered")
+
+    def keys(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(rows by one rare word with all words, rows by a common word and one after it)."""
+        prefix = F.slice("words", 1, F.size("words") - 1)
+        rare = df.select("id", "years", F.transform("words", lambda w: w["word"]).alias("words"), F.explode(F.filter(prefix, lambda w: w["n"] <= hub)).alias("w"))
+        common = F.filter("words", lambda w: w["n"] > hub)
+        pairs = df.select("id", "years", common.alias("c")).where(F.size("c") > 1).select("id", "years", "c", F.posexplode("c").alias("at", "p"))
+        pairs = pairs.select("id", "years", F.col("p.word").alias("p"), F.explode(F.slice("c", F.col("at") + 2, F.size("c"))).alias("q")).select("id", "years", "p", F.col("q.word").alias("q"))
+        return rare.select("id", "years", "words", F.col("w.word").alias("word")), pairs
+
+    (new_rare, new_pairs), (old_rare, old_pairs) = keys(ordered(new)), keys(ordered(old))
+    left, right = new_rare.toDF("new_id", "new_years", "new_words", "word"), old_rare.toDF("old_id", "old_years", "old_words", "word")
+    met = left.join(right, "word").where("new_years <> old_years AND size(array_intersect(new_words, old_words)) > 1").select("new_id", "old_id")
+    first = old_pairs.groupBy("p", "q", "years").agg(F.min("id").alias("id"))
+    w = Window.partitionBy("p", "q").orderBy("id")
+    two = first.withColumn("_n", F.row_number().over(w)).where("_n <= 2").select("p", "q", F.col("years").alias("old_years"), F.col("id").alias("old_id"))
+    sure = new_pairs.toDF("new_id", "new_years", "p", "q").join(two, ["p", "q"]).where("new_years <> old_years").select("new_id", "old_id")
+    return met.unionAll(sure).groupBy("new_id").agg(F.min("old_id").alias("old_id"))
 
 
 def listing(articles: DataFrame, offset: int = 0, limit: int = 20) -> DataFrame:

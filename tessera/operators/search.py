@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import cut, collapse
+from tessera.storage import written
 
 GRAM = 3
 K1, B = 1.2, 0.75
@@ -128,9 +130,49 @@ def cached(wanted: DataFrame, cache: DataFrame, embed) -> DataFrame:
     return wanted.join(known, "key").select("pos", "key", "vector").orderBy("pos")
 
 
-def evicted(cache: DataFrame, most: int) -> DataFrame:
-    """The most recently used rows stay."""
-    return cache.orderBy(F.desc("last_used"), "key").limit(most)
+#: Parts of one cut, and rows below which a part is ordered as a whole.
+CUTS, LEAST_PART = 1000, 10_000
+
+
+def evicted(cache: DataFrame, budget: int) -> DataFrame:
+    """The rows of a cache (key, last_used, size, ...) that stay: from the most recently used on, as long as their sizes are
+    within ``budget`` together; equal times are ordered by a hash of the key, then the key.
+
+    The cut is found by weights, not by ordering the cache: sizes are summed over parts of about equal rows (by time, then by hash),
+    and only the part that the budget ends in is looked at again, until it is small. What is collected is one row a part.
+    """
+    age = F.coalesce(-F.unix_micros(F.col("last_used").cast("timestamp")), F.lit((1 << 63) - 1))
+    place = F.struct(age.alias("age"), F.xxhash64("key").alias("hash"), F.col("key").cast("string").alias("name"))
+    part = written(cache.select(place.alias("place"), F.coalesce("size", F.lit(0)).cast("long").alias("size")), "cache")
+    left, kept = budget, []
+    for by in (F.col("place.age"), F.col("place.hash")):
+        whole, part, left = _cut(part, by.cast("decimal(38,0)"), left)
+        kept += whole
+    upto = F.sum("size").over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    kept.append(part.withColumn("_upto", upto).where(F.col("_upto") <= left))
+    stays = reduce(DataFrame.unionAll, [k.select("place") for k in kept])
+    return cache.withColumn("_place", place).join(stays.toDF("_place"), "_place", "left_semi").drop("_place")
+
+
+def _cut(part: DataFrame, value: Column, left: int) -> tuple[list[DataFrame], DataFrame, int]:
+    """(parts below the cut, the part that the budget ends in, what is left for it), by sums over ``CUTS`` ranges of a value at a time."""
+    kept = []
+    while True:
+        n, low, high = part.agg(F.count("*"), F.min(value), F.max(value)).first()
+        if n <= LEAST_PART or low == high:
+            return kept, part, left
+        width = (high - low) // CUTS + 1
+        sums = part.groupBy(F.floor((value - F.lit(low)) / F.lit(width)).cast("int").alias("range")).agg(F.sum("size").alias("size")).orderBy("range").collect()
+        edge = None
+        for r in sums:
+            if r["size"] > left:
+                edge = low + r["range"] * width
+                break
+            left -= r["size"]
+        if edge is None:
+            return [*kept, part], part.where(F.lit(False)), left
+        kept.append(part.where(value < F.lit(edge)))
+        part = part.where((value >= F.lit(edge)) & (value < F.lit(edge + width)))
 
 
 def decoded_matrix(packed: bytes, dim: int) -> int:

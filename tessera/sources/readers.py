@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import struct
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,23 +38,57 @@ def store_rows(texts: DataFrame, row: T.StructType, column: str = "value") -> Da
     return texts.select(F.explode(F.coalesce(wrapped, F.from_json(column, rows))).alias("r")).select("r.*")
 
 
-def graph_counts(graphs: DataFrame, column: str = "value") -> DataFrame:
-    """Nodes and edges of GraphML texts."""
-    count = lambda tag: F.regexp_count(column, F.lit(rf"<{tag}[\s>/]")).cast("long")
-    return graphs.select(F.sum(count("node")).alias("nodes"), F.sum(count("edge")).alias("edges"))
+def _text_fields(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
-def graph_nodes(graphs: DataFrame, column: str = "value") -> DataFrame:
-    """Node ids of GraphML texts, each once."""
-    return graphs.select(F.explode(F.regexp_extract_all(column, F.lit(r'<node\s+id="([^"]*)"'), 1)).alias("id")).distinct()
+def xml_rows(spark: SparkSession, path: str, tag: str, schema: T.StructType) -> DataFrame:
+    """Elements of a tag of XML files as rows; attributes are columns with ``@``, and elements that do not parse are in ``broken``."""
+    reader = spark.read.format("xml").schema(T.StructType([*schema.fields, T.StructField("broken", T.StringType())])).option("rowTag", tag).option("attributePrefix", "@").option("columnNameOfCorruptRecord", "broken").option("mode", "PERMISSIVE")
+    return reader.load(path)
 
 
-def opml(texts: DataFrame, column: str = "value") -> DataFrame:
-    """Feeds of OPML texts: outlines of type rss with an address."""
-    outlines = F.regexp_extract_all(column, F.lit(r'(<outline\b[^>]*type="rss"[^>]*>)'), 1)
-    at = lambda name: F.regexp_extract("o", rf'\b{name}="([^"]*)"', 1)
-    feeds = texts.select(F.explode(outlines).alias("o")).select(F.coalesce(F.nullif(at("title"), F.lit("")), at("text")).alias("name"), at("xmlUrl").alias("xml_url"), at("htmlUrl").alias("html_url"))
-    return feeds.where("xml_url != ''")
+def graphml_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """Nodes of GraphML files: id and label (data of the key ``label``)."""
+    rows = xml_rows(spark, path, "node", _text_fields("@id").add("data", T.ArrayType(_text_fields("@key", "_VALUE")))).where("broken IS NULL AND `@id` IS NOT NULL")
+    label = F.filter("data", lambda d: d["@key"] == "label")
+    return rows.select(F.col("@id").alias("id"), F.get(label, F.lit(0))["_VALUE"].alias("label"))
+
+
+def graphml_edges(spark: SparkSession, path: str) -> DataFrame:
+    """Edges of GraphML files: source and target."""
+    return xml_rows(spark, path, "edge", _text_fields("@source", "@target")).where("broken IS NULL AND `@source` IS NOT NULL").select(F.col("@source").alias("source"), F.col("@target").alias("target"))
+
+
+def graph_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Nodes and edges of GraphML files."""
+    counts = [graphml_nodes(spark, path).agg(F.count("*").alias("nodes")), graphml_edges(spark, path).agg(F.count("*").alias("edges"))]
+    return counts[0].join(counts[1])
+
+
+def graph_entities(spark: SparkSession, path: str, most: int = 150) -> DataFrame:
+    """The first names of a graph's nodes in order, each once: the label, or else the id."""
+    name = F.coalesce(F.nullif(F.trim("label"), F.lit("")), "id")
+    return graphml_nodes(spark, path).select(name.alias("name")).distinct().orderBy("name").limit(most)
+
+
+#: Levels of folders that outlines are looked for in.
+OUTLINE_LEVELS = 4
+
+
+def opml_feeds(spark: SparkSession, path: str) -> DataFrame:
+    """Feeds of OPML files: outlines of type rss with an address, also inside others; the name is the title, or else the text."""
+    fields = ["@type", "@title", "@text", "@xmlUrl", "@htmlUrl"]
+    kind = _text_fields(*fields)
+    for _ in range(OUTLINE_LEVELS - 1):
+        kind = _text_fields(*fields).add("outline", T.ArrayType(kind))
+    level = xml_rows(spark, path, "outline", kind).where("broken IS NULL")
+    rows = level.select(*fields)
+    for _ in range(OUTLINE_LEVELS - 1):
+        level = level.select(F.explode("outline").alias("o")).select("o.*")
+        rows = rows.unionAll(level.select(*fields))
+    named = rows.where("`@type` = 'rss' AND coalesce(trim(`@xmlUrl`), '') <> ''")
+    return named.select(F.coalesce(F.nullif(F.col("@title"), F.lit("")), F.col("@text")).alias("name"), F.col("@xmlUrl").alias("xml_url"), F.col("@htmlUrl").alias("html_url"))
 
 
 def newest_until(items: DataFrame, group: str, at: str, cutoff: Column, most: int) -> DataFrame:
@@ -89,13 +125,19 @@ def route(url: Column) -> Column:
 
 
 def matrix_rows(packed: DataFrame, dim: int, column: str = "matrix", ids: str = "ids") -> DataFrame:
-    """(id, vector) of base64 float32 matrices; the rows must be as many as the ids."""
-    kind = T.ArrayType(T.StructType([T.StructField("id", T.StringType()), T.StructField("vector", T.ArrayType(T.FloatType()))]))
-
-    @F.udf(kind)
-    def rows(data: bytes, names: list[str]):
-        if len(data) != 4 * dim * len(names):
-            raise ValueError(f"matrix holds {len(data) / (4 * dim)} rows for {len(names)} ids")
-        return [(n, list(struct.unpack_from(f"<{dim}f", data, 4 * dim * i))) for i, n in enumerate(names)]
-
-    return packed.select(F.explode(rows(F.unbase64(column), F.col(ids))).alias("r")).select("r.id", "r.vector")
+    """(id, vector) of base64 float32 matrices; the rows must be as many as the ids.
+
+    A batch's matrices are decoded by JVM functions and read as one block of numbers.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            named = batch["ids"].value_lengths().to_numpy(zero_copy_only=False)
+            for k, data in enumerate(batch["data"]):
+                values = np.frombuffer(data.as_buffer(), np.float32)
+                if len(values) != dim * named[k]:
+                    raise ValueError(f"matrix holds {len(values) / dim} rows for {named[k]} ids")
+                vectors = pa.ListArray.from_arrays(np.arange(0, len(values) + 1, dim, dtype=np.int32), pa.array(values))
+                yield pa.RecordBatch.from_arrays([batch["ids"][k].values, vectors], ["id", "vector"])
+
+    return packed.select(F.unbase64(column).alias("data"), F.col(ids).alias("ids")).mapInArrow(run, "id string, vector array<float>")
