@@ -128,10 +128,6 @@ def test_readers(spark):
     row = T.StructType([T.StructField("entity_name", T.StringType())])
     both = spark.createDataFrame([('{"embedding_dim": 2, "data": [{"entity_name": "A"}]}',), ('[{"entity_name": "B"}]',)], "value string")
     assert rows(readers.store_rows(both, row)) == [("A",), ("B",)]
-    graph = spark.createDataFrame([('<graph><node id="a"/><node id="b"/><edge source="a" target="b"/></graph>',)], "value string")
-    assert rows(readers.graph_counts(graph)) == [(2, 1)] and rows(readers.graph_nodes(graph)) == [("a",), ("b",)]
-    feeds = spark.createDataFrame([('<outline type="rss" text="T" xmlUrl="http://x"/><outline type="rss" text="no"/><outline text="folder"/>',)], "value string")
-    assert rows(readers.opml(feeds), "name", "xml_url") == [("T", "http://x")]
     packed = base64.b64encode(struct.pack("<4f", 1, 2, 3, 4)).decode()
     m = spark.createDataFrame([(packed, ["a", "b"])], "matrix string, ids array<string>")
     assert [tuple(r) for r in readers.matrix_rows(m, 2).collect()] == [("a", [1.0, 2.0]), ("b", [3.0, 4.0])]
