@@ -73,6 +73,20 @@ def one_by_hash(articles: DataFrame, h: str) -> DataFrame:
     return articles.withColumn("_step", step).where("_step is not null").orderBy("_step", "id").limit(1).drop("_step")
 
 
+def by_any_hash(wanted: DataFrame, articles: DataFrame) -> DataFrame:
+    """J14 for many: of each wanted hash (distinct, h) the article by content hash of accounts, or else by prefix of feeds, or else by
+    the URL's reference of accounts without a content hash; as three equi-joins. Hashes without an article are left out."""
+    accounts, feeds = articles.where("source = 'wechat'"), articles.where("source = 'rss'")
+    steps = (
+        accounts.where("content_hash IS NOT NULL").select(F.col("content_hash").alias("h"), F.lit(1).alias("step"), "source", "id"),
+        feeds.where("content_hash IS NOT NULL").select(F.substring("content_hash", 1, 10).alias("h"), F.lit(2).alias("step"), "source", "id"),
+        accounts.where("content_hash IS NULL").select(F.col("ref").alias("h"), F.lit(3).alias("step"), "source", "id"),
+    )
+    found = [s.groupBy("h").agg(F.min(F.struct("step", "id", "source")).alias("best")) for s in steps]
+    each = found[0].unionAll(found[1]).unionAll(found[2]).groupBy("h").agg(F.min("best").alias("best"))
+    return wanted.join(each, "h").select("h", "best.step", "best.source", "best.id")
+
+
 def unique_by_ref(articles: DataFrame) -> DataFrame:
     """References that name one article only."""
     return articles.groupBy("ref").agg(F.count("*").alias("n"), F.min(F.struct("source", "id")).alias("a")).where("n = 1").select("ref", "a.source", "a.id")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import coverage_queries, golden_queries, index_queries, listing_queries, page_queries, report_queries, store_queries, stream_queries, text_queries, vector_queries, wiki_queries
+from tessera.plans import coverage_queries, index_queries, listing_queries, page_queries, report_queries, rule_queries, store_queries, stream_queries, text_queries, vector_queries, wiki_queries
 
-MODULES = (listing_queries, text_queries, report_queries, wiki_queries, golden_queries, index_queries, stream_queries, vector_queries, coverage_queries, page_queries, store_queries)
+MODULES = (listing_queries, text_queries, report_queries, wiki_queries, rule_queries, index_queries, stream_queries, vector_queries, coverage_queries, page_queries, store_queries)
 Query = Callable[[SparkSession, str], DataFrame]
 
 

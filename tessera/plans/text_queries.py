@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import dates as D
 from tessera.functions import text as X
+from tessera.plans.rule_queries import chunks_sql
 from tessera.sources import analogs as A
 
 
@@ -20,6 +21,25 @@ def pages(s, d):
 _NOW = "timestamp '2024-01-31 00:00:00'"
 C = F.col
 
+
+def _snippet(text: str) -> str:
+    """DuckDB SQL of a card snippet of texts without boilerplate: markup goes, blanks collapse, 200 characters stay."""
+    for pattern, to in ((r"```(?:.|\n)*?```", ""), ("`[^`]*`", ""), (r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]+)\]\([^)]*\)", r"\1"), ("<[^>]+>", ""), (r"(?m)^[#>\-*+]+\s*", ""), (r"\*\*([^*]+)\*\*", r"\1"), (r"\*([^*]+)\*", r"\1")):
+        text = f"regexp_replace({text}, '{pattern}', '{to}', 'g')"
+    return f"trim(regexp_replace({text}, '\\s+', ' ', 'g'))"
+
+
+def _marked(body, key):
+    """Bodies under headings that repeat, with a header of boilerplate, links and code."""
+    again = F.when(key % 3 == 0, "# Head\n \n").when(key % 3 == 1, "text\n# Head\n").otherwise("# Other\n")
+    return F.concat(F.lit("URL: https://a.example/x\nTime: 2024-01-02 03:04:05\n# Head\n\n"), again, F.lit("去阅读\n> **bold** [link](http://x) `code` ![i](j) <b>t</b>\n"), body)
+
+
+_CUT = "CASE WHEN length(t) <= 200 THEN t ELSE rtrim(substr(t, 1, 200)) || '…' END AS snippet"
+_SNIPPET = f"SELECT source, id, {_CUT} FROM (SELECT source, id, {_snippet('body')} AS t FROM unified)"
+_HEADER = "'# Head' || chr(10) || CASE id % 3 WHEN 0 THEN '' WHEN 1 THEN 'text' || chr(10) || '# Head' || chr(10) ELSE '# Other' || chr(10) END || '> **bold** [link](http://x) `code` ![i](j) <b>t</b>' || chr(10) || body"
+_MARKED = f"SELECT source, id, {_CUT} FROM (SELECT source, id, {_snippet(_HEADER)} AS t FROM unified)"
+
 QUERIES = {
     "f1_f3_slugs": (
         lambda s, d: A.unified(s, d).select("source", "id", F.md5(X.slug(C("title"))).alias("slug"), X.ascii_slug(C("title")).alias("ascii"), X.ascii_slug(C("publisher"), None).alias("publisher")),
@@ -29,7 +49,8 @@ QUERIES = {
         lambda s, d: pages(s, d).select("page_id", X.result_snippet(C("html")).alias("snippet")),
         r"SELECT page_id, CASE WHEN length(t) <= 200 THEN t ELSE rtrim(substr(t, 1, 200)) || '…' END AS snippet FROM (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '!\[[^\]]*\]\([^)]*\)', '', 'g'), '```[\s\S]*?```', '', 'g'), '`[^`]*`', '', 'g'), '\s+', ' ', 'g')) AS t FROM pages)",
     ),
-    "f6_card_snippet": (lambda s, d: A.unified(s, d).select("source", "id", X.card_snippet(C("body")).alias("snippet")), None),
+    "f6_card_snippet": (lambda s, d: A.unified(s, d).select("source", "id", X.card_snippet(C("body")).alias("snippet")), A.with_tables(_SNIPPET, "unified")),
+    "f6_w8_marked_snippet": (lambda s, d: A.unified(s, d).select("source", "id", X.card_snippet(_marked(C("body"), C("id"))).alias("snippet")), A.with_tables(_MARKED, "unified")),
     "f7_excerpt": (
         lambda s, d: docs(s, d).select("doc_id", X.excerpt(C("text")).alias("excerpt")),
         r"SELECT doc_id, CASE WHEN length(t) <= 120 THEN t ELSE rtrim(substr(t, 1, 120)) || '…' END AS excerpt FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)",
@@ -58,7 +79,7 @@ QUERIES = {
         lambda s, d: pages(s, d).select("page_id", F.length(html_text(C("html"))).alias("n_chars"), F.size(F.regexp_extract_all("html", F.lit("""<a[^>]+href=["']([^"']+)["']"""), 1)).alias("links")),
         r"""SELECT page_id, length(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript)\b.*?</(script|style|noscript)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) AS n_chars, len(regexp_extract_all(html, '<a[^>]+href=["'']([^"'']+)["'']', 1)) AS links FROM pages""",
     ),
-    "f34_chunks": (lambda s, d: docs(s, d).select("doc_id", F.posexplode(X.body_chunks(C("text"), F.lit(2000))).alias("chunk", "body")).select("doc_id", "chunk", F.length("body").alias("n_chars")), None),
+    "f34_chunks": (lambda s, d: docs(s, d).select("doc_id", F.posexplode(X.body_chunks(C("text"), F.lit(2000))).alias("chunk", "body")).select("doc_id", "chunk", F.length("body").alias("n_chars")), f"WITH {chunks_sql('text', 2000)} SELECT doc_id, unnest(range(len(chunks))) AS chunk, length(unnest(chunks)) AS n_chars FROM c"),
     "f35_paragraphs": (
         lambda s, d: docs(s, d).select("doc_id", F.size(X.paragraphs(C("text"))).alias("n")),
         r"SELECT doc_id, len(list_filter(string_split_regex(text, '\n\s*\n'), lambda x: trim(x, E' \t\n\r\f\v') <> '')) AS n FROM documents",

@@ -1,6 +1,6 @@
-"""Queries over literal rows, for rules that the tables do not exercise: hits, misses, CJK text, nulls.
+"""Literal rows for rules: hits, misses, CJK text, nulls.
 
-The rows stand in the query, the results that the rules demand in its SQL.
+The results that the rules demand are in the SQL.
 """
 
 from __future__ import annotations
