@@ -60,18 +60,24 @@ def part_of(gram: Column, parts: int) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(parts)).cast("int")
 
 
-def exploded(texts: DataFrame) -> DataFrame:
-    """(gram, doc_no) of every distinct trigram of (doc_no, text)."""
+def partial_lists(texts: DataFrame, bits: int) -> DataFrame:
+    """(gram, block, ids) of (doc_no, text): the documents of a few texts that hold each trigram, to be merged by gram and block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 200):
-                part = batch.slice(low, 200)
+            for low in range(0, batch.num_rows, 500):
+                part = batch.slice(low, 500)
                 codes = [gram_codes(t or "") for t in part["text"].to_pylist()]
-                owner = np.repeat(part["doc_no"].to_numpy(zero_copy_only=False), [len(c) for c in codes])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(codes)), pa.array(owner)], ["gram", "doc_no"])
+                gram = np.concatenate(codes)
+                number = np.repeat(part["doc_no"].to_numpy(zero_copy_only=False), [len(c) for c in codes])
+                block = number >> (62 - bits)
+                order = np.lexsort((number, block, gram))
+                gram, block, number = gram[order], block[order], number[order]
+                first = np.flatnonzero(np.concatenate(([True], (gram[1:] != gram[:-1]) | (block[1:] != block[:-1])))[: len(gram)])
+                lists = pa.ListArray.from_arrays(np.append(first, len(gram)).astype(np.int32), pa.array(number))
+                yield pa.RecordBatch.from_arrays([pa.array(gram[first]), pa.array(block[first].astype(np.int32)), lists], ["gram", "block", "ids"])
 
-    return texts.select("doc_no", "text").mapInArrow(run, "gram long, doc_no long")
+    return texts.select("doc_no", "text").mapInArrow(run, "gram long, block int, ids array<long>")
 
 
 def gaps(ids: Column) -> Column:
@@ -130,8 +136,8 @@ class TextIndex:
         changed.write.mode("overwrite").option("compression", "zstd").parquet(at("documents"))
         new = self.spark.read.parquet(at("documents"))
         bits = max(0, new.count() // self.block_documents).bit_length()
-        block = F.shiftright("doc_no", 62 - bits).cast("int") if bits else F.lit(0)
-        lists = exploded(new.select("doc_no", F.lower(text).alias("text"))).groupBy("gram", block.alias("block")).agg(F.sort_array(F.collect_set("doc_no")).alias("ids"))
+        partial = partial_lists(new.select("doc_no", F.lower(text).alias("text")), bits)
+        lists = partial.groupBy("gram", "block").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
         lists = lists.select("gram", "block", F.size("ids").alias("n"), gaps(F.col("ids")).alias("ids"), part_of(F.col("gram"), self.parts).alias("part"))
         lists.repartition("part").sortWithinPartitions("part", "gram", "block").write.mode("overwrite").partitionBy("part").option("compression", "zstd").parquet(at("postings"))
         self.spark.range(1).write.mode("overwrite").parquet(at("commits"))

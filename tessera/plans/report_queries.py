@@ -120,7 +120,6 @@ QUERIES = {
         A.with_tables("SELECT source || '_' || id AS key FROM unified WHERE contains(lower(concat_ws(chr(10), title, body)), 'tio') AND contains(lower(concat_ws(chr(10), title, body)), 'ion')", "unified"),
     ),
     "v10_nearest": (lambda s, d: V.nearest(A.table(s, d, "embeddings"), _Q, "vec_id", "embedding", 20), f"SELECT vec_id, {_COS} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 20"),
-    "v4_graph_context": (lambda s, d: _context(s, d), None),
     "v11_graph_stats": (lambda s, d: A.relations(s, d).agg(F.count_distinct("src_id").alias("sources"), F.count_distinct("tgt_id").alias("targets"), F.count("*").alias("edges")), A.with_tables("SELECT count(DISTINCT src_id) AS sources, count(DISTINCT tgt_id) AS targets, count(*) AS edges FROM relations", "relations")),
     "v12_embedding_cache": (
         lambda s, d: V.cached(A.table(s, d, "conversations").select((C("conv_id") * 1000 + C("turn")).alias("pos"), F.substring(F.sha2("text", 256), 1, 16).alias("key"), "text"), A.table(s, d, "documents").select(F.substring(F.sha2("text", 256), 1, 16).alias("key"), F.array(F.lit(0.0)).alias("vector")).dropDuplicates(["key"]), lambda t: F.array(F.length(t).cast("double"))).select("pos", "key", C("vector")[0].alias("v")),
@@ -134,7 +133,11 @@ QUERIES = {
         lambda s, d: readers.checkpoint_status(A.ingestions(s, d).select(C("article_id").alias("article_hash"), F.when(C("status") == "ok", "sub_doc_ingest").when(C("status") == "failed", "scrape").otherwise("classify").alias("stage"))),
         A.with_tables("SELECT article_id AS article_hash, CASE max(CASE status WHEN 'ok' THEN 6 WHEN 'failed' THEN 1 ELSE 2 END) WHEN 6 THEN 'sub_doc_ingest' WHEN 1 THEN 'scrape' ELSE 'classify' END AS last_stage, bool_or(status = 'ok') AS complete FROM ingestions GROUP BY 1", "ingestions"),
     ),
-    "s16_routes": (lambda s, d: A.table(s, d, "pages").groupBy(readers.route(C("url")).alias("route")).agg(F.count("*").alias("n")), "SELECT 'generic' AS route, count(*) AS n FROM pages"),
+    "s16_routes": (
+        lambda s, d: A.table(s, d, "pages").select("page_id", readers.route(_hosted(C("url"))).alias("route")),
+        "WITH h AS (SELECT page_id, regexp_replace(url, '^https?://[^/?#]+', CASE WHEN length(url) % 5 = 0 THEN 'https://mp.weixin.qq.com' WHEN length(url) % 5 = 1 THEN 'https://export.arxiv.org/pdf' WHEN length(url) % 5 = 2 THEN 'http://arxiv.org' WHEN length(url) % 5 = 3 THEN 'https://notarxiv.org/pdf' ELSE 'http://a.example.com' END) AS url FROM pages) "
+        "SELECT page_id, CASE WHEN starts_with(url, 'https://mp.weixin.qq.com') THEN 'wechat' WHEN starts_with(url, 'https://export.arxiv.org/pdf/') THEN 'arxiv_pdf' WHEN regexp_matches(url, '^https?://(export\\.)?arxiv\\.org') THEN 'arxiv_abs' ELSE 'generic' END AS route FROM h",
+    ),
     "s10_newest_until": (
         lambda s, d: readers.newest_until(A.ingestions(s, d).select("article_id", C("id").alias("pos"), "value"), "article_id", "value", F.lit(10.0), 5),
         A.with_tables("SELECT article_id, pos, value FROM (SELECT article_id, id AS pos, value, max((value < 10)::int) OVER w AS old, row_number() OVER w AS n FROM ingestions WINDOW w AS (PARTITION BY article_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE old = 0 AND n <= 5", "ingestions"),
@@ -155,6 +158,13 @@ QUERIES = {
 }
 
 
+def _hosted(url):
+    """Pages' addresses under other hosts."""
+    n = F.length(url) % 5
+    host = F.when(n == 0, "https://mp.weixin.qq.com").when(n == 1, "https://export.arxiv.org/pdf").when(n == 2, "http://arxiv.org").when(n == 3, "https://notarxiv.org/pdf").otherwise("http://a.example.com")
+    return F.concat(host, F.regexp_replace(url, "^https?://[^/?#]+", ""))
+
+
 def _by_length(rows: list[dict]) -> str:
     """A model for checks: long titles are candidates."""
     return json.dumps([{"verdict": "candidate" if len(r["title"]) >= 30 else "reject", "reason": "length"} for r in rows])
@@ -163,9 +173,3 @@ def _by_length(rows: list[dict]) -> str:
 def _by_depth(rows: list[dict]) -> str:
     """A model for checks: long bodies are deep."""
     return "```json\n" + json.dumps([{"relevant": True, "depth": 2 if len(r["body"]) >= 1000 else 1} for r in rows]) + "\n```"
-
-
-def _context(s, d):
-    v = A.table(s, d, "embeddings").select(C("vec_id").cast("string").alias("id"), C("embedding").alias("vector"))
-    edges = v.select(F.concat(F.lit("r"), "id").alias("id"), C("id").alias("src_id"), (C("id").cast("long") + 1).cast("string").alias("tgt_id"), "vector")
-    return V.graph_context("mix", v, v, edges, _Q, 20)

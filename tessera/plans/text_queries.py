@@ -63,10 +63,6 @@ QUERIES = {
         lambda s, d: A.unified(s, d).select("source", "id", X.has_cjk(C("body")).alias("cjk"), X.language_by_any(C("title"), C("body")).alias("by_any"), X.language_by_share(C("body")).alias("by_share"), X.language_by_head(C("body")).alias("by_head"), X.language_of_question(C("body")).alias("question"), X.target_language(X.language_by_share(C("body"))).alias("target"), X.canonical_language(F.when(C("lang") == "de", "zh").otherwise(C("lang"))).alias("canonical"), X.effective_language(X.canonical_language(C("lang")), C("source")).alias("effective"), X.localized(F.lit("raw"), F.when(C("lang") == "fr", "t").otherwise(""), X.effective_language(C("lang"), C("source")))["zh"].alias("zh")),
         A.with_tables("SELECT source, id, regexp_matches(body, '[一-鿿㐀-䶿]') AS cjk, CASE WHEN regexp_matches(title || body, '[一-鿿㐀-䶿]') THEN 'zh-CN' WHEN length(title) + length(body) < 50 THEN 'unknown' ELSE 'en' END AS by_any, 'en' AS by_share, CASE WHEN body <> '' THEN 'en' END AS by_head, 'en' AS question, 'zh-CN' AS target, CASE WHEN lang = 'de' THEN 'zh-CN' ELSE lang END AS canonical, CASE WHEN lang = 'en' THEN 'en' WHEN source = 'rss' THEN 'en' ELSE 'zh-CN' END AS effective, CASE WHEN (lang = 'en' OR source = 'rss') AND lang = 'fr' THEN 't' ELSE 'raw' END AS zh FROM unified", "unified"),
     ),
-    "f18_f21_image_rewrites": (
-        lambda s, d: pages(s, d).select("page_id", F.md5(X.without_metadata_header(X.image_references(X.without_external_images(X.image_paths(C("html"), "/kb"))))).alias("digest")),
-        None,
-    ),
     "f22_f23_images": (
         lambda s, d: pages(s, d).select("page_id", F.size(X.image_blocks(C("html"))).alias("blocks"), X.image_count(C("html")).alias("markdown"), F.array_join(X.image_urls(C("html")), " ").alias("urls")),
         r"""SELECT page_id, len(regexp_extract_all(html, '<img\b[^>]*>|!\[[^\]]*\]\([^)]+\)')) AS blocks, len(regexp_extract_all(html, '!\[[^\]]*\]\([^)]*\)')) AS markdown, array_to_string(list_concat(regexp_extract_all(html, '!\[[^\]]*\]\(([^)\s]+)\)', 1), list_distinct_ordered) , ' ') AS urls FROM (SELECT page_id, html, (SELECT coalesce(list(u ORDER BY p), []) FROM (SELECT u, min(p) AS p FROM (SELECT unnest(x) AS u, unnest(range(len(x))) AS p FROM (SELECT regexp_extract_all(html, '<img[^>]+src=["'']([^"'']+)["'']', 1) AS x)) GROUP BY u)) AS list_distinct_ordered FROM pages)""",
@@ -110,10 +106,6 @@ QUERIES = {
         lambda s, d: pages(s, d).groupBy(X.source_domain(C("url")).alias("domain")).agg(F.count("*").alias("n")),
         r"SELECT regexp_replace(nullif(lower(regexp_extract(url, '^https?://([^/?#]+)', 1)), ''), '^www\.', '') AS domain, count(*) AS n FROM pages GROUP BY 1",
     ),
-    "f50_f52_tags": (
-        lambda s, d: A.unified(s, d).select("source", "id", F.array_join(X.merged_tags(C("publisher"), C("lang"), X.keyword_tags(C("title"), C("body"))), "|").alias("tags"), X.agent_score(C("publisher"), C("title")).alias("score")),
-        None,
-    ),
     "f53_canonical_names": (
         lambda s, d: docs(s, d).select("doc_id", F.md5(X.canonical_names(C("text"), F.array(F.struct(F.lit("the").alias("raw"), F.lit("THE").alias("canonical")), F.struct(F.lit("THEre").alias("raw"), F.lit("there").alias("canonical"))))).alias("digest")),
         "SELECT doc_id, md5(replace(replace(text, 'the', 'THE'), 'THEre', 'there')) AS digest FROM documents",

@@ -61,10 +61,6 @@ QUERIES = {
         lambda s, d: wiki.assembled(A.ingestions(s, d).select(C("article_id").alias("slug"), C("source").alias("type"), C("event_type").alias("ref"))).select("slug", "sources", "types", "confidence"),
         A.with_tables("SELECT article_id AS slug, count(DISTINCT (source, event_type)) AS sources, count(DISTINCT source) AS types, CASE WHEN count(DISTINCT (source, event_type)) >= 2 AND count(DISTINCT source) >= 2 THEN 'high' WHEN count(DISTINCT (source, event_type)) >= 2 THEN 'medium' ELSE 'low' END AS confidence FROM ingestions GROUP BY 1", "ingestions"),
     ),
-    "f57_f58_edits": (
-        lambda s, d: pages(s, d).select("slug", F.length(wiki.with_section(wiki.with_metadata("text", F.lit("title"), F.lit("x")), F.lit("News"), F.lit("y"))).alias("n_chars")),
-        None,
-    ),
     "v8_sources": (
         lambda s, d: answers.resolved_sources(A.table(s, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "conv_id").join(A.unified(s, d).select(C("id").alias("conv_id"), "hash"), "conv_id").select("id", F.concat(F.lit("see /article/"), "hash", F.lit(" and articles/"), "hash").alias("markdown")), A.unified(s, d)).select("id", "pos", "hash", "article_id"),
         A.with_tables("WITH one AS (SELECT hash, arg_min(id, (CASE source WHEN 'wechat' THEN 0 ELSE 1 END, id)) AS article_id FROM unified GROUP BY 1) SELECT conv_id || '-' || turn AS id, 0 AS pos, hash, article_id FROM conversations JOIN unified u ON conv_id = u.id JOIN one USING (hash)", "unified"),
