@@ -186,16 +186,14 @@ def union_first_seen(hits: DataFrame, limit: int) -> DataFrame:
 
 
 def quintiles(df: DataFrame, size: str, key: str, parts: int = 5) -> DataFrame:
-    """Buckets of max(1, n div parts) rows by size; the remainder goes to the last.
+    """Buckets of max(1, n div parts) rows by size, then key; the remainder goes to the last.
 
-    Ranks come from counts of smaller sizes, so no task orders all rows.
+    Ranks are numbered inside ranges of rows, so that no task orders all rows or all rows of one size.
     """
-    by_size = df.groupBy(size).agg(F.count("*").alias("_c"))
-    before = by_size.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy(size).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = df.join(before, size).withColumn("_rank", F.col("_before") + F.row_number().over(Window.partitionBy(size).orderBy(key)) - 1)
+    places = ranked(df, F.col(size), F.col(key), name="_rank")
     total = df.agg(F.count("*").alias("_total"))
     width = F.greatest(F.lit(1), F.floor(F.col("_total") / parts))
-    return ranked.join(F.broadcast(total)).withColumn("bucket", F.least(F.lit(parts - 1), F.floor(F.col("_rank") / width)).cast("int")).drop("_c", "_before", "_rank", "_total")
+    return places.join(F.broadcast(total)).withColumn("bucket", F.least(F.lit(parts - 1), F.floor((F.col("_rank") - 1) / width)).cast("int")).drop("_rank", "_total")
 
 
 def stratified_sample(df: DataFrame, bucket: str, key: str, per_bucket: int, seed: int = 42) -> DataFrame:

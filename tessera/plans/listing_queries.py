@@ -78,7 +78,7 @@ QUERIES = {
         A.with_tables("SELECT entity_name, count(DISTINCT article_id) AS freq FROM mentions WHERE article_id IN (SELECT id FROM unified WHERE source = 'rss') GROUP BY 1 ORDER BY freq DESC, entity_name LIMIT 8", "mentions", "unified"),
     ),
     "j3_publisher_names": (
-        lambda s, d: A.table(s, d, "customer").join(F.broadcast(A.table(s, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance")),
+        lambda s, d: A.table(s, d, "customer").join(A.table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance")),
         "SELECT n_name, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1",
     ),
     "j4_candidate_pool": (
