@@ -33,7 +33,7 @@ i AS (
     regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(art, '</p>', ''), '<h1>(.*?)</h1>', chr(1) || '# \\1', 'gs'), '<p><b>([^<]*?)<br>', chr(1) || '**\\1**', 'gs'), '<p>', chr(1), 'g'), '[ \t\r\n]+', ' ', 'g') AS marked FROM h),
 m AS (
   SELECT *, pictures || chr(10) || chr(10) || array_to_string(list_filter(list_transform(string_split(marked, chr(1)), lambda x: trim(x)), lambda x: x <> ''), chr(10) || chr(10)) AS main,
-    regexp_extract(html, '<div class="ad">(.*?)</div>', 1, 's') AS ad, regexp_extract(html, '<footer>(.*?)</footer>', 1, 's') AS foot,
+    trim(regexp_replace(regexp_extract(html, '<div class="ad">(.*?)</div>', 1, 's'), '[ \t\r\n]+', ' ', 'g')) AS ad, trim(regexp_replace(regexp_extract(html, '<footer>(.*?)</footer>', 1, 's'), '[ \t\r\n]+', ' ', 'g')) AS foot,
     array_to_string(list_transform(regexp_extract_all(html, '<li><a href="[^"]*">[^<]*</a></li>'), lambda x: regexp_replace(x, '<li><a href="([^"]*)">([^<]*)</a></li>', '- [\\2](\\1)')), chr(10)) AS nav FROM i),
 t AS (SELECT page_id, width, {_PLAIN.format('main')} AS main, {_PLAIN.format("ad || chr(10) || chr(10) || main")} AS body, {_PLAIN.format("nav || chr(10) || chr(10) || ad || chr(10) || chr(10) || main || chr(10) || chr(10) || foot")} AS everything FROM m)
 SELECT page_id, CASE WHEN length(main) >= 200 THEN 'main' WHEN length(body) >= 200 THEN 'body' WHEN length(everything) >= 200 THEN 'everything' END AS method,
