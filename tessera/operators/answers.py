@@ -63,14 +63,6 @@ def entities_for_answers(sources: DataFrame, mentions: DataFrame, most: int = 8)
     return relational.first_rows(counts, ["id"], F.desc("freq"), F.col("entity_name"), n=most)
 
 
-def search_or_fallback(articles: DataFrame, phrase: str, keywords: list[str], limit: int) -> DataFrame:
-    """V2, V7: phrase hits, or else the union of keyword hits."""
-    hits = search.phrase_search(articles, phrase, limit)
-    if not hits.isEmpty() or not keywords:
-        return hits.select("hash")
-    return search.keyword_union(articles, keywords, limit)
-
-
 def answered(question: str, context: str, history: list[str], hooks: Hooks, attempts: int = 3, pause: float = 0.0) -> tuple[str, int]:
     """V5: a written answer and the attempts it took; an empty one counts as failed."""
     prompt = "\n\n".join(x for x in (context, *history, question) if x)

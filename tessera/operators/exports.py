@@ -1,4 +1,4 @@
-"""Export items and backlogs."""
+"""Export items and backlogs."""
 
 from __future__ import annotations
 
@@ -94,6 +94,22 @@ def first_images(images: DataFrame, most: int = 10) -> DataFrame:
     return images.orderBy("hash", "filename").limit(most)
 
 
+#: Fixed value: how a failed description begins.
+FAILED_DESCRIPTION = "Error describing image:"
+
+
+def image_documents(articles: DataFrame, images: DataFrame) -> DataFrame:
+    """(doc, text) of the second document of each article (source, hash, title): its images that are described, in their order.
+
+    ``images`` has hash, pos (from 0), name and description; blank and failed descriptions are left out, the others keep their numbers. An
+    article without any has no second document.
+    """
+    good = images.where((F.trim(F.coalesce("description", F.lit(""))) != "") & ~F.trim("description").startswith(FAILED_DESCRIPTION))
+    line = F.concat(F.lit("- [image "), F.col("pos").cast("string"), F.lit("]: "), "description", F.lit("  ("), F.lit(X.OLD_IMAGE_SERVER), "hash", F.lit("/"), "name", F.lit(")"))
+    lines = good.select("hash", "pos", line.alias("line")).groupBy("hash").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("lines"))
+    return articles.join(lines, "hash").select(F.concat("source", F.lit("_"), "hash", F.lit("_images")).alias("doc"), F.concat(F.lit("# Images for "), "title", F.lit("\n\n"), "lines").alias("text"))
+
+
 def search_keywords(query: Column) -> Column:
     """the words of a query that say something; the query itself if none does."""
     words = F.filter(F.split(F.regexp_replace(F.lower(query), "[?,.]", ""), r"\s+"), lambda w: ~w.isin(*STOP_WORDS) & (F.length(w) >= 2))

@@ -22,6 +22,14 @@ def insert_or_ignore(existing: DataFrame, incoming: DataFrame, key: str, *order:
     return existing.unionByName(new_rows(existing, incoming, key, *order), allowMissingColumns=True)
 
 
+def merged_accounts(existing: DataFrame, ids: DataFrame, registry: DataFrame) -> DataFrame:
+    """K4: accounts with those of an id map (name, fakeid) whose name is new; what the registry (name, wechat_id, tags, source) says of them is added, if anything."""
+    known = first_rows(registry, ["name"], F.col("wechat_id"))
+    tags = F.when(F.size("tags") > 0, F.to_json("tags"))
+    incoming = ids.join(known, "name", "left").select("name", "wechat_id", "fakeid", tags.alias("tags"), "source")
+    return insert_or_ignore(existing, incoming, "name", F.col("fakeid"))
+
+
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], fill: bool = False) -> DataFrame:
     """K5, K6: incoming values win; with ``fill`` only where they are not null. ``incoming`` has each key once."""
     values = [c for c in existing.columns if c not in keys]

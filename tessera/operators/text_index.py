@@ -208,6 +208,11 @@ class TextIndex:
         first = parts.groupBy("hash").agg(F.min(F.struct("keyword", "rank")).alias("at"))
         return first.orderBy("at", "hash").limit(limit).select("hash")
 
+    def search_or_keywords(self, phrase: str, keywords: list[str], text: Column, limit: int) -> DataFrame:
+        """V2, V7: hashes of the phrase's hits by rank, or else the union of the keywords' hits."""
+        hits = self.search(phrase, text, limit).select("hash")
+        return self.keyword_union(keywords, text, limit) if keywords and hits.isEmpty() else hits
+
     def posting_counts(self) -> DataFrame:
         """gram and how many documents hold it, decoded from the lists of all generations."""
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import aggregates as G
 from tessera.operators import exports as E
+from tessera.operators import merges as M
 from tessera.sources import analogs as A
 
 C = F.col
@@ -103,6 +104,35 @@ def entity_rows(s: SparkSession, d: str) -> DataFrame:
     return A.table(s, d, "lineitem").join(A.table(s, d, "part"), C("l_partkey") == C("p_partkey")).select(name.alias("entity_name"), (C("l_orderkey") * 10 + C("l_linenumber")).alias("pos"), F.when(C("l_discount") < 0.09, F.concat_ws(" ", "p_type", C("l_orderkey").cast("string"))).otherwise("").alias("content"), source.alias("source_id"), C("l_extendedprice"))
 
 
+def image_documents(s: SparkSession, d: str) -> DataFrame:
+    """Conversations as articles, their turns as described images; some descriptions are blank or failed."""
+    t = A.table(s, d, "conversations")
+    articles = t.where("turn = 0").select(F.lit("wechat").alias("source"), C("conv_id").cast("string").alias("hash"), F.substring("text", 1, 10).alias("title"))
+    n = (C("conv_id") + C("turn")) % 4
+    images = t.select(C("conv_id").cast("string").alias("hash"), C("turn").alias("pos"), F.concat(F.lit("img_"), C("turn").cast("string"), F.lit(".jpg")).alias("name"), F.when(n == 0, " ").when(n == 1, "Error describing image: timeout").when((n == 2) & (C("conv_id") % 3 == 0), None).otherwise(F.substring("text", 1, 12)).alias("description"))
+    return E.image_documents(articles, images)
+
+
+_IMAGE_DOCUMENTS = """
+WITH i AS (SELECT conv_id, turn, '- [image ' || turn || ']: ' || substr(text, 1, 12) || '  (http://localhost:8765/' || conv_id || '/img_' || turn || '.jpg)' AS line FROM conversations WHERE (conv_id + turn) % 4 >= 2 AND NOT ((conv_id + turn) % 4 = 2 AND conv_id % 3 = 0) AND trim(substr(text, 1, 12)) <> ''),
+g AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY turn) AS lines FROM i GROUP BY conv_id)
+SELECT 'wechat_' || conv_id || '_images' AS doc, '# Images for ' || substr(text, 1, 10) || chr(10) || chr(10) || lines AS text FROM conversations JOIN g USING (conv_id) WHERE turn = 0"""
+
+
+def accounts(s: SparkSession, d: str) -> DataFrame:
+    """K4: suppliers of some nations as accounts, all of them and customers as the id map, and a registry that knows some."""
+    names = A.table(s, d, "supplier").select(C("s_name").alias("name"), C("s_suppkey").cast("string").alias("fakeid"), "s_nationkey")
+    existing = names.where("s_nationkey < 10").select("name", F.lit(None).cast("string").alias("wechat_id"), "fakeid", F.lit(None).cast("string").alias("tags"), F.lit("old").alias("source"))
+    registry = names.where("s_nationkey > 5").select("name", F.concat(F.lit("w"), "fakeid").alias("wechat_id"), F.when(C("s_nationkey") % 2 == 0, F.array(F.lit("AI"), C("fakeid"))).otherwise(F.array().cast("array<string>")).alias("tags"), F.lit("CSV").alias("source"))
+    ids = names.select("name", "fakeid").unionAll(names.where("s_nationkey > 20").select("name", F.concat("fakeid", F.lit("x")))).unionAll(A.table(s, d, "customer").select(C("c_name"), C("c_custkey").cast("string")))
+    return M.merged_accounts(existing, ids, registry.unionAll(registry.withColumn("wechat_id", F.concat("wechat_id", F.lit("z")))))
+
+
+_ACCOUNTS = """
+SELECT s_name AS name, CASE WHEN s_nationkey >= 10 THEN 'w' || s_suppkey END AS wechat_id, s_suppkey::varchar AS fakeid, CASE WHEN s_nationkey >= 10 AND s_nationkey % 2 = 0 THEN '["AI","' || s_suppkey || '"]' END AS tags, CASE WHEN s_nationkey < 10 THEN 'old' ELSE 'CSV' END AS source FROM supplier
+UNION ALL SELECT c_name, NULL, c_custkey::varchar, NULL, NULL FROM customer"""
+
+
 def growth(s: SparkSession, d: str) -> DataFrame:
     """A22 with its days: the orders of each day as sizes, against ceilings above the last fit."""
     days = A.table(s, d, "orders").groupBy(F.datediff("o_orderdate", F.lit("1992-01-01")).alias("day")).agg((F.sum("o_orderkey") + F.first(F.datediff("o_orderdate", F.lit("1992-01-01"))) * 1e6).alias("size"))
@@ -184,6 +214,8 @@ QUERIES = {
     ),
     "k14_imported_errors": (imported, _IMPORTED),
     "y25_y26_enriched": (enriched, A.with_tables(_ENRICHED.strip(), "unified")),
+    "x6_image_documents": (image_documents, _IMAGE_DOCUMENTS),
+    "k4_account_merge": (accounts, _ACCOUNTS),
     "s11_registry": (
         lambda s, d: E.registry(A.table(s, d, "customer").select(C("c_name").alias("name"), C("c_mktsegment").alias("source")), "BUILDING"),
         "SELECT c_name AS name, c_mktsegment AS source FROM customer WHERE c_mktsegment = 'BUILDING'",

@@ -64,6 +64,13 @@ def _union(words: list[str], limit: int) -> str:
 _CODE = "(unicode(substr(t, i, 1))::bigint << 42) | (unicode(substr(t, i + 1, 1))::bigint << 21) | unicode(substr(t, i + 2, 1))"
 _WORDS = ["edtion", "thand", "nothing holds this"]
 
+def endpoint(s: SparkSession, d: str) -> DataFrame:
+    """V2: one request whose phrase is found and one that falls back to its keywords."""
+    ix = index(s, d)
+    found = ix.search_or_keywords("tion the", _WORDS, text(), 10).select(F.lit("phrase").alias("by"), "hash")
+    return found.unionAll(ix.search_or_keywords("tion the xyz", _WORDS, text(), 10).select(F.lit("keywords"), "hash"))
+
+
 QUERIES = {
     "v1_phrase_search": (
         lambda s, d: index(s, d).search("Tion of the", text(), keep=F.col("layer2_verdict").isNull() | (F.col("layer2_verdict") != "reject")).select("hash"),
@@ -73,6 +80,10 @@ QUERIES = {
         lambda s, d: index(s, d).search("tion the", text(), 20).select("hash", "score"),
         A.with_tables(f"WITH {_ranked('tion the')} SELECT hash, score FROM r ORDER BY score DESC, hash LIMIT 20", "unified"),
     ),
+    "v2_search_endpoint": (
+        endpoint,
+        A.with_tables(f"SELECT 'phrase' AS by, hash FROM (WITH {_ranked('tion the')} SELECT hash FROM r ORDER BY score DESC, hash LIMIT 10) UNION ALL SELECT 'keywords', hash FROM ({_union(_WORDS, 10)})", "unified"),
+    ),
     "k12_index_hits": (
         lambda s, d: keys(index(s, d), "tion"),
         A.with_tables("SELECT source || '_' || id AS key FROM unified WHERE contains(lower(concat_ws(chr(10), title, body)), 'tion')", "unified"),
