@@ -145,4 +145,40 @@ def judge(docs: DataFrame, text: str = "text", language: str = "lang", most_char
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents"))
+    out = judge(table(spark, sf_dir, "documents"))
+    return out.withColumns({c: F.round(c, 9) for c in ("char_distance", "word_distance")})
+
+
+def _distance(p: str, q: str) -> str:
+    """DuckDB SQL of the Jensen-Shannon distance of two lists."""
+    a, b = f"({p}[i] / list_sum({p}))", f"({q}[i] / list_sum({q}))"
+    part = lambda x: f"CASE WHEN {x} > 0 THEN {x} * log2({x} / (({a} + {b}) / 2)) ELSE 0 END"
+    return f"CASE WHEN list_sum({p}) > 0 AND list_sum({q}) > 0 THEN sqrt(greatest(list_sum(list_transform(range(1, len({p}) + 1), lambda i: {part(a)} + {part(b)})) / 2, 0)) END"
+
+
+def _sql() -> str:
+    """DuckDB SQL of the query's rows. A common word stands alone where a maximal run of letters is the word."""
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    classes = ", ".join("length(t) - length(regexp_replace(t, '[" + c.replace("'", "''") + "]', '', 'g'))" for c in CLASSES)
+    common = " ".join(f"WHEN '{name}' THEN {quoted(words)}" for name, words in COMMON_WORDS.items())
+    n = len(next(iter(COMMON_WORDS.values())))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CASE WHEN lang IN ({", ".join(f"'{x}'" for x in COMMON_WORDS)}) THEN lang ELSE '{ANY}' END AS language FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '{WORD}') AS w, CASE language {common} END AS common, regexp_extract_all(lower(t), '\\p{{L}}+') AS runs, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines, [{classes}] AS kinds FROM d),
+h AS (
+  SELECT doc_id, language, w, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, length(t) AS n_chars,
+    kinds || [length(t) - list_sum(kinds)] AS chars, CASE WHEN common IS NULL THEN list_transform(range({n}), lambda i: 0) ELSE list_transform(common, lambda c: len(list_filter(runs, lambda x: x = c))) END AS found FROM w),
+v AS (SELECT *, found || [greatest(n_words - list_sum(found), 0)] AS words FROM h),
+g AS (SELECT doc_id, i, w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] AS win FROM (SELECT doc_id, w, unnest(range(0, len(w) - 2)) AS i FROM v WHERE len(w) >= 3)),
+k AS (SELECT doc_id, count(DISTINCT j) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM g WHERE (doc_id, win) IN (SELECT (doc_id, win) FROM g GROUP BY doc_id, win HAVING count(*) > 1)) GROUP BY doc_id),
+x AS (SELECT language, 'c' AS kind, unnest(chars)::bigint AS n, generate_subscripts(chars, 1) AS i FROM v UNION ALL SELECT language, 'w', unnest(words)::bigint, generate_subscripts(words, 1) FROM v),
+y AS (SELECT language, kind, i, sum(n) AS n FROM x WHERE language <> '{ANY}' GROUP BY ALL UNION ALL SELECT '{ANY}', kind, i, sum(n) FROM x GROUP BY kind, i),
+r AS (SELECT language, list(n ORDER BY i) FILTER (kind = 'c') AS ref_chars, list(n ORDER BY i) FILTER (kind = 'w') AS ref_words FROM y GROUP BY language),
+z AS (
+  SELECT v.*, coalesce(n_repeat_words, 0) AS n_repeat_words, CASE WHEN n_chars >= {LEAST_CHARS} THEN {_distance("chars", "ref_chars")} END AS cd, CASE WHEN n_words >= {LEAST_WORDS} AND v.language <> '{ANY}' THEN {_distance("words", "ref_words")} END AS wd
+  FROM v LEFT JOIN r ON v.language = r.language LEFT JOIN k USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(cd, 0) <= {MOST_CHAR_DISTANCE} AND coalesce(wd, 0) <= {MOST_WORD_DISTANCE} AS kept, round(cd, 9) AS char_distance, round(wd, 9) AS word_distance FROM z"""
+
+
+SQL = _sql()

@@ -31,7 +31,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op4_line_dedup": line_dedup.SQL, "op5_jaccard_join": jaccard_join.SQL, "op6_suffix_dedup": suffix_dedup.SQL,
+        "op2_quality_rules": quality_rules.SQL, "op4_line_dedup": line_dedup.SQL, "op5_jaccard_join": jaccard_join.SQL, "op6_suffix_dedup": suffix_dedup.SQL,
         "op7_decontamination": decontamination.SQL, "op8_warc": warc.SQL, "op10_mixing": mixing.SQL,
         "op11_periodic_runs": periodic_runs.SQL, "op13_prefix_trie": prefix_trie.SQL,
     }
