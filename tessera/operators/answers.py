@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.operators import relational, search
+from tessera.operators import relational
 
 SOURCE_HASH = r"/?articles?/([a-f0-9]{10})"
 
