@@ -283,7 +283,7 @@ def test_mixing(spark, words, seed):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     df = queries.queries()[name](spark, SMALL)
     cursor = con.execute(queries.oracle_sql()[name])

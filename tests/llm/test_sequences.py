@@ -13,7 +13,6 @@ import numpy as np
 import pytest
 
 from tests.llm.conftest import frame
-from tests.test_catalog import canonical
 from tessera.llm import _bytes, license_scan, periodic_runs, prefix_trie
 
 FOLDER = "/root/testdata/sf0.001"
@@ -24,17 +23,6 @@ def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-@pytest.mark.parametrize("module", [periodic_runs, prefix_trie])
-def test_sql(spark, module):
-    df = module.query(spark, FOLDER)
-    con = duckdb.connect()
-    for t in ("documents", "conversations"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
-    cursor = con.execute(module.SQL)
-    names = [c[0] for c in cursor.description]
-    assert canonical(df.columns, df.collect()) == canonical(names, cursor.fetchall())
-
-
 # --- periodic runs
 
 
