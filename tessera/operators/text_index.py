@@ -105,15 +105,17 @@ class TextIndex:
             return None
         return rows.where(F.col("generation").isin(done))
 
-    def documents(self) -> DataFrame | None:
-        """The documents that hold, with their generation."""
-        rows, gone = self._read("documents"), self._read("gone")
-        if rows is None:
-            return None
-        last = gone.groupBy(self.key).agg(F.max("generation").alias("_gone"))
+    def _live(self, rows: DataFrame) -> DataFrame:
+        """Those of some documents' entries that hold."""
+        last = self._read("gone").groupBy(self.key).agg(F.max("generation").alias("_gone"))
         rows = rows.join(last, self.key, "left")
         return rows.where(F.col("_gone").isNull() | (F.col("generation") >= F.col("_gone"))).drop("_gone")
 
+    def documents(self) -> DataFrame | None:
+        """The documents that hold, with their generation."""
+        rows = self._read("documents")
+        return None if rows is None else self._live(rows)
+
     def refresh(self, rows: DataFrame, text: Column) -> int:
         """Bring the index to ``rows`` (unique keys, all columns kept) with the searchable ``text``; returns the generation.
 
@@ -177,10 +179,11 @@ class TextIndex:
     def hits(self, phrase: str, text: Column) -> DataFrame:
         """The documents that hold the folded phrase in ``text``, with how often (tf), verified on the text."""
         p = phrase.strip().lower()
-        held = self.documents()
+        rows = self._read("documents")
         if len(p) < GRAM:
-            return held.where("false").withColumn("tf", F.lit(0.0))
-        found = held.join(self.candidates(p), ["generation", "doc_no"], "left_semi")
+            return rows.where("false").withColumn("tf", F.lit(0.0))
+        # written first, so that their size is known and few candidates do not make the documents move
+        found = self._live(rows.join(written(self.candidates(p), "candidates"), ["generation", "doc_no"], "left_semi"))
         folded = F.lower(text)
         return found.withColumn("tf", (F.length(folded) - F.length(F.replace(folded, F.lit(p), F.lit("")))) / len(p)).where("tf > 0")
 
