@@ -16,7 +16,8 @@ documents. The join is exact:
    their first shingles in a global order from rare to frequent. Of those that
    do, the pivots p and q are compared: if d(p, q) > r + radius(p) + radius(q), no
    members are linked (triangle inequality).
-5. The other pairs of cells are joined in the region of the larger cell's pivot
+5. Linked pivots connect their whole cells. The pairs of cells that are still
+   unconnected are joined in the region of the larger cell's pivot
    p: a member y of the smaller one is replicated into it, once, if it lies in the
    window d(y, p) <= r + radius(p), and meets the members x with
    |d(x, p) - d(y, p)| <= r.
@@ -248,10 +249,13 @@ def links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tuple
 
     # 5. pairs of cells with members that may still be linked, in the region of the larger one
     beyond = between.where(~F.col("linked") & (F.col("d") <= r + F.col("ra") + F.col("rb") + 1e-9) & (F.col("ra") + F.col("rb") > 0))
-    beyond = beyond.select("a", "b", "ra", F.col("d").alias("between"))
+    # whole cells are connected by now: those that other cells have brought together need no region
+    linked_to = written(components(found), "components")
+    of = {e: linked_to.select(F.col("doc_id").alias(e), F.col("component").alias(f"c{e}")) for e in "ab"}
+    beyond = beyond.join(of["a"], "a", "left").join(of["b"], "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+    beyond = written(beyond.select("a", "b", "ra", F.col("d").alias("between")), "beyond")
     if beyond.isEmpty():
         return signed, found
-    linked_to = written(components(found), "components")
     owners = named(beyond, "a", "p", facts)
     pivots = beyond.where(F.col("between") <= r + F.col("ra") + 1e-9).select("a", F.col("b").alias("doc_id"), F.col("between").alias("d"))
     replicas = owners.join(members.withColumnRenamed("cell", "b"), "b")
