@@ -267,7 +267,7 @@ def flagged(posted: DataFrame, found: DataFrame) -> DataFrame:
     matched = small_enough(found.withColumn("matched", F.lit(True)))
     out = posted.withColumn("line", F.shiftright("m", 32).cast("int")).join(matched, ["doc_id", "line"], "left")
     flag = F.shiftleft(F.shiftright("m", 1), 1) + F.col("matched").isNull().cast("long")
-    return out.select("token", "doc_id", "n", flag.alias("m"), "p0", "p1")
+    return out.select("token", "doc_id", "n", flag.alias("m"), "p0", "p1", "c")
 
 
 def met(posted: DataFrame, threshold: float) -> DataFrame:
@@ -364,14 +364,14 @@ def later_matches(docs: DataFrame, threshold: float = THRESHOLD, least_tokens: i
     is_repeat = (F.col("f.doc_id") != F.col("doc_id")) | (F.col("f.line") != F.col("line"))
     repeats = lines.select("doc_id", "line", "d1", "d2").join(same, ["d1", "d2"]).where(is_repeat).select("doc_id", "line")
     classes = lines.where(F.size("prefix") > 0).join(same, ["d1", "d2"], "left").where(F.col("f").isNull() | ~is_repeat)
-    posted = written(postings(classes), "postings")
 
-    # where many lines have a token, each meets the earliest one first
-    tokens = posted.groupBy("token").agg(F.count("*").alias("c"), F.min("doc_id").alias("lead")).where(F.col("c") > LEAD)
+    # where many lines have a token, each meets the earliest one first; every posting is written once, with its group's size and lead
+    tokens = postings(classes).groupBy("token").agg(F.count("*").alias("c"), F.min("doc_id").alias("lead")).where(F.col("c") > LEAD)
     tokens = written(tokens, "tokens")
+    posted = written(postings(classes).join(small_enough(tokens), "token", "left"), "postings")
     found = []
     if not tokens.isEmpty():
-        members = written(posted.join(small_enough(tokens), "token"), "members")
+        members = posted.where("lead is not null")
         leaders = members.where("doc_id = lead").groupBy("token").agg(F.min(F.struct(F.shiftright("m", 32).cast("int").alias("line"), "doc_id", "m", "n", "p0", "p1")).alias("l"))
         leaders = written(leaders.select("token", "l.*"), "leaders")
         x, y = small_enough(leaders).alias("x"), members.alias("y")
@@ -383,9 +383,9 @@ def later_matches(docs: DataFrame, threshold: float = THRESHOLD, least_tokens: i
 
     # the lines without a match meet all earlier lines of their tokens; both sides share one exchange,
     # so the condition on y alone is kept inside the joint one
-    hot = written(tokens.where(F.col("c") > GROUP).select("token"), "hot")
+    hot = tokens.where(F.col("c") > GROUP).select("token")
     some_hot = not hot.isEmpty()
-    pairs = written(met(posted.join(small_enough(hot), "token", "left_anti") if some_hot else posted, threshold), "pairs")
+    pairs = written(met(posted.where(F.col("c").isNull() | (F.col("c") <= GROUP)), threshold), "pairs")
     likely = likeliest(pairs)
     found.append(matched_lines(slim, likely, threshold))
     key = likely.columns
@@ -393,7 +393,7 @@ def later_matches(docs: DataFrame, threshold: float = THRESHOLD, least_tokens: i
 
     # in the large groups they do so by a second token
     if some_hot:
-        open_ = flagged(members.join(small_enough(hot), "token"), found[0].union(found[1]).distinct()).withColumn("open", F.col("m").bitwiseAND(F.lit(1)) == 1)
+        open_ = flagged(members.where(F.col("c") > GROUP), found[0].union(found[1]).distinct()).withColumn("open", F.col("m").bitwiseAND(F.lit(1)) == 1)
         maps = leaders.join(small_enough(hot), "token").select("token", "doc_id", "line")
         maps = maps.join(token_maps(slim, maps.select("doc_id", "line").distinct()).groupBy("doc_id", "line").agg(F.min("map").alias("map")), ["doc_id", "line"])
         second = second_tokens(slim, open_.join(small_enough(written(maps.select("token", "map"), "maps")), "token"), rarity, threshold)
