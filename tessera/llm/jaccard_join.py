@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from . import _bytes as B
 from ._rarity import levels, ordered_key
-from ._spark import small_enough, table, written
+from ._spark import release, small_enough, table, written
 
 SHINGLE = 4
 #: Links as 100 * intersection >= PERCENT * union.
@@ -167,7 +167,9 @@ def distances(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
 
     sent = docs.join(small_enough(wanted), "doc_id").select(F.explode("to").alias("to"), F.col("doc_id").alias("b"), F.col("text").cast("binary").alias("body")).select("to.*", "b", "body")
     met = sent.repartition(F.col("a"), F.col("part")).sortWithinPartitions("a", "part", "partner")
-    return written(met.mapInArrow(measure, f"a {kind}, b {kind}, d double, linked boolean"), "distances")
+    out = written(met.mapInArrow(measure, f"a {kind}, b {kind}, d double, linked boolean"), "distances")
+    release(docs.sparkSession)  # the texts that were sent
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -239,6 +241,7 @@ def links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tuple
     placed = each.join(small_enough(written(apart, "apart")), "shingle").distinct().join(cells, "cell", "left")
     placed = placed.select("shingle", "component", "cell", F.coalesce("radius", F.lit(0.0)).alias("radius"), F.coalesce("members", F.lit(0)).alias("members"))
     placed = written(named(placed, "cell", "s", facts).select("shingle", "component", F.struct("cell", "radius", "members", "s.*").alias("s")), "placed")
+    release(docs.sparkSession)  # the shingles that were exploded
     x, y = placed.select("shingle", F.col("component").alias("cx"), F.col("s").alias("x")), placed.select("shingle", F.col("component").alias("cy"), F.col("s").alias("y"))
     near = least_distance("x", "y") <= r + F.col("x.radius") + F.col("y.radius") + 1e-9
     larger = F.struct("x.members", "x.cell") > F.struct("y.members", "y.cell")
