@@ -317,9 +317,21 @@ def numbered_sections(heads: Column, items: Column) -> Column:
     return F.array_join(F.array_compact(lines), "\n\n")
 
 
-def cited_blocks(blocks: Column) -> Column:
-    """blocks (text, sources) with their footnotes."""
-    return F.array_join(F.transform(blocks, lambda b: F.concat(b["text"], F.array_join(F.transform(b["sources"], lambda n: F.concat(F.lit("[^"), n.cast("string"), F.lit("]"))), ""))), "\n\n")
+def cited_blocks(blocks: Column, maps: Column) -> Column:
+    """the trimmed blocks that are not empty, with their footnotes.
+
+    ``maps`` has an array of block numbers for each source, null for a source without one. If any source has one, a block cites the sources
+    that name it; else block i cites source i. Blocks keep their numbers where empty ones are left out.
+    """
+    mapped = F.exists(maps, lambda m: m.isNotNull())
+
+    def cited(block: Column, i: Column) -> Column:
+        named = F.array_compact(F.transform(maps, lambda m, j: F.when(F.array_contains(m, i), j + 1)))
+        numbers = F.when(mapped, named).when(i < F.size(maps), F.array(i + 1)).otherwise(F.array().cast("array<int>"))
+        notes = F.array_join(F.transform(numbers, lambda n: F.concat(F.lit("[^"), n.cast("string"), F.lit("]"))), "")
+        return F.when(strip(block) != "", F.concat(strip(block), F.when(notes != "", F.concat(F.lit(" "), notes)).otherwise("")))
+
+    return F.array_join(F.array_compact(F.transform(blocks, cited)), "\n\n")
 
 
 def reference_list(titles: Column) -> Column:

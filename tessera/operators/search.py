@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import cut, collapse
+from tessera.functions.text import collapse, cut, paragraphs
 from tessera.storage import written
 
 GRAM = 3
@@ -181,3 +181,24 @@ def decoded_matrix(packed: bytes, dim: int) -> int:
     if rest or not math.isfinite(rows):
         raise ValueError("matrix does not divide into rows")
     return rows
+
+
+#: How a text names an article's folder of images, and the images' endings.
+ARTICLE_HASH = r"(?<![\p{L}\p{N}_])[0-9a-f]{10}(?![\p{L}\p{N}_])"
+IMAGE_ENDING = r"(?i)\.(jpg|jpeg|png|webp)$"
+
+
+def retrieved(contexts: DataFrame, images: DataFrame, most: int = 10) -> DataFrame:
+    """(id, kind, pos, value) of what each context (id, text) gives to a research run.
+
+    Its paragraphs are ``chunk`` rows; of the images (hash, filename) of all articles that it names, the first ``most`` by hash and file
+    name are ``image`` rows. A null or blank context is one ``skipped`` row. Positions start at 0; a hash named twice counts once.
+    """
+    read = contexts.select("id", paragraphs(F.col("text")).alias("p"))
+    chunks = read.where(F.size("p") > 0).select("id", F.lit("chunk").alias("kind"), F.posexplode("p").alias("pos", "value"))
+    skipped = read.where(F.size("p") == 0).select("id", F.lit("skipped").alias("kind"), F.lit(0).alias("pos"), F.lit("").alias("value"))
+    hashes = F.array_distinct(F.flatten(F.transform("p", lambda x: F.regexp_extract_all(x, F.lit(ARTICLE_HASH), F.lit(0)))))
+    named = read.select("id", F.explode(hashes).alias("hash")).join(images.where(F.col("filename").rlike(IMAGE_ENDING)).select("hash", "filename"), "hash")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("hash", "filename"))
+    first = named.withColumn("pos", place - 1).where(F.col("pos") < most)
+    return chunks.unionByName(skipped).unionByName(first.select("id", F.lit("image").alias("kind"), "pos", F.concat_ws("/", "hash", "filename").alias("value")))

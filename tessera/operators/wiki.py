@@ -224,6 +224,25 @@ def applicable(patches: DataFrame, pages: DataFrame) -> DataFrame:
     return patches.join(now, "slug", "left").withColumn("outcome", F.when(state, "apply").otherwise("conflict")).drop("digest")
 
 
+def update_outcomes(patches: DataFrame, pages: DataFrame) -> DataFrame:
+    """``patches`` (slug, base_digest, class by ``classify.patch_class``) with their status against the pages that are there now.
+
+    A patch that may be applied by itself is applied, or conflicts if its page has changed (or came or went) since; the others are
+    kept as suggestions or rejected, whatever the page is.
+    """
+    auto = F.when(F.col("outcome") == "apply", "applied").otherwise("conflict")
+    status = F.when(F.col("class") == "auto_apply", auto).when(F.col("class") == "rejected", "rejected").otherwise("suggestion")
+    return applicable(patches, pages).withColumn("status", status).drop("outcome")
+
+
+def update_stats(outcomes: DataFrame, *keys: str) -> DataFrame:
+    """What an update run reports, by ``keys``: suggestions that are persisted were not applied."""
+    of = lambda name: F.count_if(F.col("status") == name)
+    return outcomes.groupBy(*keys).agg(
+        F.count("*").alias("suggestions_generated"), of("applied").alias("applied"), F.count_if(F.col("status") != "applied").alias("dropped"),
+        of("suggestion").alias("suggestions_persisted"), of("conflict").alias("conflicted"), of("rejected").alias("rejected"))
+
+
 def gates(candidates: DataFrame, known: DataFrame) -> DataFrame:
     """Candidate pages with what blocks them: unreadable frontmatter or citations."""
     p = opened(candidates)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import coverage_queries, export_queries, index_queries, knowledge_queries, listing_queries, page_queries, report_queries, rule_queries, store_queries, stream_queries, text_queries, vector_queries, wiki_queries
+from tessera.plans import coverage_queries, export_queries, index_queries, knowledge_queries, listing_queries, page_queries, report_queries, rule_queries, store_queries, stream_queries, text_queries, update_queries, vector_queries, wiki_queries
 
-MODULES = (listing_queries, text_queries, report_queries, wiki_queries, rule_queries, index_queries, stream_queries, vector_queries, coverage_queries, page_queries, store_queries, knowledge_queries, export_queries)
+MODULES = (listing_queries, text_queries, report_queries, wiki_queries, rule_queries, index_queries, stream_queries, vector_queries, coverage_queries, page_queries, store_queries, knowledge_queries, export_queries, update_queries)
 Query = Callable[[SparkSession, str], DataFrame]
 
 
