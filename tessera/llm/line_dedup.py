@@ -179,10 +179,17 @@ def needed(nx: Column, ny: Column, threshold: float) -> Column:
     return F.ceil((nx + ny) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9))
 
 
+def alike(x: str, y: str, threshold: float) -> Column:
+    """The length filter, and the parity filter without rounding: ``close`` is never true where this is not."""
+    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
+    in_size = F.least(nx, ny) >= F.greatest(nx, ny) * F.lit(threshold) - F.lit(1e-9)
+    return in_size & (apart(x, y) <= (nx + ny) * F.lit((1 - threshold) / (1 + threshold)) + F.lit(1e-6))
+
+
 def close(x: str, y: str, threshold: float) -> Column:
     """The length and parity filters on two lines."""
     nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
-    return (F.least(nx, ny) >= F.greatest(nx, ny) * F.lit(threshold) - F.lit(1e-9)) & (apart(x, y) <= nx + ny - 2 * needed(nx, ny, threshold))
+    return alike(x, y, threshold) & (apart(x, y) <= nx + ny - 2 * needed(nx, ny, threshold))
 
 
 def apart(x: str, y: str) -> Column:
@@ -273,7 +280,9 @@ def flagged(posted: DataFrame, found: DataFrame) -> DataFrame:
 def met(posted: DataFrame, threshold: float) -> DataFrame:
     """Pairs of an open line and an earlier one that share a token and may be similar."""
     x, y = posted.alias("x"), posted.alias("y")
-    return x.join(y, (F.col("x.token") == F.col("y.token")) & F.when(is_open("y"), x_first() & may_match("x", "y", threshold)).otherwise(False)).select(*ends()).distinct()
+    # the filters that cost least and drop most come first
+    meet = F.when(is_open("y"), alike("x", "y", threshold) & x_first() & may_match("x", "y", threshold)).otherwise(False)
+    return x.join(y, (F.col("x.token") == F.col("y.token")) & meet).select(*ends()).distinct()
 
 
 def token_maps(docs: DataFrame, lines: DataFrame) -> DataFrame:
