@@ -5,8 +5,11 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import text as X
 from tessera.operators import exports as E
 from tessera.operators import relational as R
+from tessera.operators import search as V
+from tessera.operators import wiki
 
 ITEM = "source string, id int, title string, url string, summary string, source_name string, topics string, reason string"
 
@@ -68,3 +71,30 @@ def test_keywords_and_hashes(spark):
     articles = spark.createDataFrame([("wechat", 1, "aaaaaaaaaa", "r1"), ("rss", 2, "bbbbbbbbbbcc", "r2"), ("wechat", 3, None, "bbbbbbbbbb"), ("wechat", 4, None, "r4"), ("rss", 5, "aaaaaaaaaazz", "r5"), ("wechat", 6, "aaaaaaaaaa", "r6")], "source string, id int, content_hash string, ref string")
     wanted = spark.createDataFrame([("aaaaaaaaaa",), ("bbbbbbbbbb",), ("r4",), ("r1",), ("none",)], "h string")
     assert {(r.h, r.step, r.id) for r in R.by_any_hash(wanted, articles).collect()} == {("aaaaaaaaaa", 1, 1), ("bbbbbbbbbb", 2, 2), ("r4", 3, 4)}
+
+
+def test_retrieved(spark):
+    """Hashes inside longer words are none; one that is named twice counts once; blank contexts are skipped."""
+    a, b = "0123456789", "abcdef0123"
+    contexts = spark.createDataFrame([(1, f"x {a}\n \n{b}. {a}\n\n"), (2, None), (3, " \n\n "), (4, f"文{a} {b}f _{a}")], "id int, text string")
+    images = spark.createDataFrame([(a, f"{k:02}.PNG") for k in range(9)] + [(b, "z.webp"), (b, "y.gif"), (b, "x.jpeg")], "hash string, filename string")
+    got = {(r.id, r.kind, r.pos): r.value for r in V.retrieved(contexts, images).collect()}
+    expected = {(1, "chunk", 0): f"x {a}", (1, "chunk", 1): f"{b}. {a}", (2, "skipped", 0): "", (3, "skipped", 0): "", (4, "chunk", 0): f"文{a} {b}f _{a}"}
+    expected |= {(1, "image", k): f"{a}/{k:02}.PNG" for k in range(9)} | {(1, "image", 9): f"{b}/x.jpeg"}
+    assert got == expected
+
+
+def test_cited_blocks(spark):
+    rows = spark.createDataFrame([(["a ", None, "", "b"], None), (["a", "", "b"], []), (["a", "", "b"], [None, None, None]), (["a", " b"], [[1, 0], None, [1]])], "blocks array<string>, maps array<array<int>>")
+    got = [r[0] for r in rows.select(X.cited_blocks(F.col("blocks"), F.coalesce("maps", F.expr("cast(array() as array<array<int>>)")))).collect()]
+    assert got == ["a\n\nb", "a\n\nb", "a [^1]\n\nb [^3]", "a [^1]\n\nb [^1][^3]"]
+
+
+def test_update_outcomes(spark):
+    """Only patches that apply by themselves meet the page: unchanged, changed, gone, new and come."""
+    patches = spark.createDataFrame([("same", "auto_apply", "t"), ("changed", "auto_apply", "old"), ("gone", "auto_apply", "t"), ("new", "auto_apply", None), ("come", "auto_apply", None), ("kept", "suggestion_only", "old"), ("no", "rejected", "t")], "slug string, class string, base string")
+    patches = patches.select("slug", "class", F.sha2("base", 256).alias("base_digest"))
+    pages = spark.createDataFrame([(s,) for s in ("same", "changed", "come", "kept", "no")], "slug string").withColumn("text", F.lit("t"))
+    out = wiki.update_outcomes(patches, pages)
+    assert {r.slug: r.status for r in out.collect()} == {"same": "applied", "changed": "conflict", "gone": "conflict", "new": "applied", "come": "conflict", "kept": "suggestion", "no": "rejected"}
+    assert tuple(wiki.update_stats(out).first()) == (7, 2, 5, 1, 3, 1)
