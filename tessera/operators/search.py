@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import collapse, cut, paragraphs
+from tessera.operators.relational import first_rows
 from tessera.storage import written
 
 GRAM = 3
@@ -198,7 +199,9 @@ def retrieved(contexts: DataFrame, images: DataFrame, most: int = 10) -> DataFra
     chunks = read.where(F.size("p") > 0).select("id", F.lit("chunk").alias("kind"), F.posexplode("p").alias("pos", "value"))
     skipped = read.where(F.size("p") == 0).select("id", F.lit("skipped").alias("kind"), F.lit(0).alias("pos"), F.lit("").alias("value"))
     hashes = F.array_distinct(F.flatten(F.transform("p", lambda x: F.regexp_extract_all(x, F.lit(ARTICLE_HASH), F.lit(0)))))
-    named = read.select("id", F.explode(hashes).alias("hash")).join(images.where(F.col("filename").rlike(IMAGE_ENDING)).select("hash", "filename"), "hash")
+    # images after the first ones of their hash are never among the first ones of a context
+    shown = first_rows(images.where(F.col("filename").rlike(IMAGE_ENDING)).select("hash", "filename"), ["hash"], F.col("filename"), n=most)
+    named = read.select("id", F.explode(hashes).alias("hash")).join(shown, "hash")
     place = F.row_number().over(Window.partitionBy("id").orderBy("hash", "filename"))
     first = named.withColumn("pos", place - 1).where(F.col("pos") < most)
     return chunks.unionByName(skipped).unionByName(first.select("id", F.lit("image").alias("kind"), "pos", F.concat_ws("/", "hash", "filename").alias("value")))
