@@ -35,6 +35,10 @@ from tessera.storage import written
 CHUNK = 4000
 PIVOTS = 1024
 DIGITS = 6
+#: Queries that meet a chunk at once, in one matrix of similarities.
+BLOCK = 256
+#: Where over so many times k + 1 members reach a query's bound, the (k + 1)-th best is found first.
+MANY = 4
 #: Groups of equal vectors with over one in so many of all rows are broadcast: at most so many.
 HOT = 10_000
 MATCH = "query long, similarity double, ids array<long>"
@@ -73,16 +77,31 @@ def in_cells(reps: DataFrame, pivots: np.ndarray) -> DataFrame:
     return reps.mapInArrow(run, f"{fields}, cell int, away double")
 
 
-def best(queries: pa.Table, members: pa.Table, k: int) -> pa.Table:
-    """The k + 1 best members of each query, by rounded similarity and key, not below the query's ``least``."""
+def best(queries: pa.Table, members: pa.Table, k: int, block: int = BLOCK) -> pa.Table:
+    """The k + 1 best members of each query, by rounded similarity and key, not below the query's ``least``.
+
+    ``block`` queries meet the members at once, so a task's memory does not grow with the queries of its group.
+    """
     order = np.argsort(members["rep"].to_numpy(), kind="stable")
-    q, m = unit(matrix(queries["vector"])), unit(matrix(members["vector"]))[order]
-    near = np.round(q @ m.T, DIGITS)
-    top = np.argsort(-near, axis=1, kind="stable")[:, : k + 1]
-    values = np.take_along_axis(near, top, axis=1)
-    keep = values >= queries["least"].to_numpy()[:, None]
-    row, _ = np.nonzero(keep)
-    return pa.table({"query": pa.array(queries["rep"].to_numpy()[row], pa.int64()), "similarity": pa.array(values[keep]), "ids": members["ids"].combine_chunks().take(pa.array(order[top[keep]]))})
+    q, m, floor = unit(matrix(queries["vector"])), unit(matrix(members["vector"]))[order].T, queries["least"].to_numpy()
+    rows, columns, values = [], [], []
+    for a in range(0, len(q), block):
+        near, least = q[a : a + block] @ m, floor[a : a + block]
+        # what may count after rounding: all that the (k + 1)-th best rounds to, and more
+        enough = least - 10.0**-DIGITS
+        if near.shape[1] > k + 1 and (near >= enough[:, None]).sum() > MANY * near.shape[0] * (k + 1):
+            enough = np.maximum(enough, np.partition(near, -k - 1, axis=1)[:, -k - 1] - 2 * 10.0**-DIGITS)
+        row, column = np.nonzero(near >= enough[:, None])
+        value = np.round(near[row, column], DIGITS)
+        best_first = np.lexsort((column, -value, row))
+        row, column, value = row[best_first], column[best_first], value[best_first]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = (place <= k) & (value >= least[row])
+        rows.append(row[keep] + a)
+        columns.append(column[keep])
+        values.append(value[keep])
+    row, column, value = (np.concatenate(x) for x in (rows, columns, values))
+    return pa.table({"query": pa.array(queries["rep"].to_numpy()[row], pa.int64()), "similarity": pa.array(value), "ids": members["ids"].combine_chunks().take(pa.array(order[column]))})
 
 
 def nearest_join(left: DataFrame, right: DataFrame, k: int, chunk: int = CHUNK) -> DataFrame:
