@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,8 +55,11 @@ def queued(items: DataFrame, size: int = SIZE, wait_seconds: int = 86_400) -> Da
             if ids:
                 drain()
         else:
-            rows = pd.concat(list(parts)).sort_values(["at", "id"], kind="stable")
-            for at, item in zip(rows["at"].tolist(), rows["id"].tolist(), strict=True):
+            # one call for each account with news, so arrays rather than frames
+            arrived = [(p["at"].to_numpy(), p["id"].to_numpy()) for p in parts]
+            times, items_ = (np.concatenate(x) for x in zip(*arrived, strict=True))
+            order = np.lexsort((items_, times))
+            for at, item in zip(times[order].tolist(), items_[order].tolist(), strict=True):
                 if ids and at - last > wait:
                     drain()
                 ids.append(item)
@@ -65,7 +69,8 @@ def queued(items: DataFrame, size: int = SIZE, wait_seconds: int = 86_400) -> Da
         state.update((batch, ids, last))
         if ids:
             state.setTimeoutTimestamp(max(last + wait, state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame(out, columns=["account", "batch", "n", "first_id", "last_id", "full"])
+        if out:
+            yield pd.DataFrame(dict(zip(["account", "batch", "n", "first_id", "last_id", "full"], zip(*out, strict=True), strict=True)))
 
     timed = items.where("ts IS NOT NULL").withColumn("at", F.unix_millis("ts"))
     return timed.select("account", "id", "at", "ts").groupBy("account").applyInPandasWithState(step, BATCH, STATE, "append", GroupStateTimeout.EventTimeTimeout)
