@@ -330,15 +330,15 @@ def second_tokens(docs: DataFrame, members: DataFrame, table_: np.ndarray, thres
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = shared.value
         for batch in batches:
-            lists = batch["to"].to_pylist()
             for first, last, data, offsets in B.slices(batch["text"]):
+                lists = batch["to"].slice(first, last - first).to_pylist()  # of this slice only: a line may be a member for many tokens
                 tokens, place, row, number = line_sets(data, offsets)
                 tokens, start = ranked_sets(tokens, place, ordered_key(tokens, rarity), len(row))
                 names, bits = short(tokens), map_bits(tokens)
                 cut = np.searchsorted(row, np.arange(last - first + 1))
                 owner, key, packed_, facts = [], [], [], []
                 for k in range(last - first):
-                    for to in lists[first + k]:
+                    for to in lists[k]:
                         line, token, at_, n, p0, p1, open_, own = (to[f] for f in fields)
                         i = cut[k] + int(np.searchsorted(number[cut[k] : cut[k + 1]], line))
                         if i == cut[k + 1] or number[i] != line or start[i + 1] - start[i] != n or names[start[i] + at_] != token:
@@ -442,7 +442,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, removed = with_removed(docs, least_tokens=ANY_SIZE)
     text = text_column(out)
     return out.select(
-        "doc_id", (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
+        "doc_id", (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
         F.coalesce(F.size(removed), F.lit(0)).cast("long").alias("n_removed"),
         F.sha2(kept_text(text, removed), 256).alias("kept_sha256"),
     )
