@@ -12,12 +12,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import _bytes as B
 
 #: log2 of the number of buckets: 2**19 one-byte levels are shared.
 BITS = 19
+#: Buckets whose counts travel in one row.
+BLOCK = 1 << 12
 #: Tokens that a task holds before it adds them to its counts.
 HELD_TOKENS = 1_000_000
 
@@ -26,9 +27,10 @@ def levels(docs: DataFrame, tokens: Callable[[np.ndarray, np.ndarray], np.ndarra
     """One-byte frequency levels (four to a doubling) of all hash buckets.
 
     ``tokens`` gives the token hashes of a slice of texts. Each task sends a row
-    per bucket at most, and the driver gets one row per bucket.
+    of packed counts per block of buckets at most, and the driver gets one row
+    per block.
     """
-    shift = np.uint64(64 - bits)
+    shift, size = np.uint64(64 - bits), min(BLOCK, 1 << bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, held, waiting = np.zeros(1 << bits, np.int64), [], 0
@@ -40,15 +42,27 @@ def levels(docs: DataFrame, tokens: Callable[[np.ndarray, np.ndarray], np.ndarra
                     total += np.bincount(np.concatenate(held), minlength=1 << bits)
                     held, waiting = [], 0
         total += np.bincount(np.concatenate([np.empty(0, np.uint32), *held]), minlength=1 << bits)
-        some = np.flatnonzero(total)
-        for part in np.array_split(some, len(some) // 50_000 + 1):
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["bucket", "n"])
-
-    counted = docs.select(docs["text"].cast("string").alias("text")).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    got = counted.toArrow()
-    out = np.zeros(1 << bits, np.int64)
-    out[got["bucket"].to_numpy()] = got["n"].to_numpy()
-    return np.floor(4 * np.log2(out + 1)).astype(np.uint8)
+        total = total.reshape(-1, size)
+        most = total.max(axis=1)
+        some = np.flatnonzero(most)
+        # in the narrowest type that holds the block's counts; the length tells which
+        counts = [total[k].astype(np.min_scalar_type(most[k])).tobytes() for k in some]
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts, pa.binary())], ["block", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, counts in zip(batch["block"].to_pylist(), batch["counts"].to_pylist(), strict=True):
+                total.setdefault(k, np.zeros(size, np.int64))
+                total[k] += np.frombuffer(counts, f"u{len(counts) // size}").astype(np.int64)
+        found = [np.floor(4 * np.log2(x + 1)).astype(np.uint8).tobytes() for x in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(found, pa.binary())], ["block", "levels"])
+
+    counted = docs.select(docs["text"].cast("string").alias("text")).mapInArrow(run, "block int, counts binary")
+    out = np.zeros((1 << bits) // size * size, np.uint8).reshape(-1, size)
+    for row in counted.repartition("block").mapInArrow(add, "block int, levels binary").collect():
+        out[row.block] = np.frombuffer(row.levels, np.uint8)
+    return out.reshape(-1)
 
 
 def ordered_key(tokens: np.ndarray, table: np.ndarray) -> np.ndarray:

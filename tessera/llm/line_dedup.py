@@ -41,6 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +59,8 @@ GROUP = 500
 LEAD = 100
 #: Bytes of the map of a line's tokens by which its group's other tokens are told from its own.
 MAP = 64
+#: Pairs that are compared at once.
+PAIRS = 1 << 17
 #: Sets of at least so many tokens have 128 parity bits, smaller ones 64.
 WIDE = 90
 
@@ -211,19 +214,18 @@ def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch["lines"].to_pylist()
+            owner = pc.list_parent_indices(batch["lines"]).to_numpy().astype(np.int64)
+            asked = (owner << 32) + pc.list_flatten(batch["lines"]).to_numpy()
             for first, last, data, offsets in B.slices(batch["text"]):
                 tokens, place, row, number = line_sets(data, offsets)
-                tokens, at = ranked_sets(tokens, place, tokens, len(row))
-                owner, numbers, found = [], [], []
-                cut = np.searchsorted(row, np.arange(last - first + 1))
-                for k in range(last - first):
-                    have = number[cut[k] : cut[k + 1]]
-                    for i in np.flatnonzero(np.isin(have, lists[first + k])) + cut[k]:
-                        owner.append(first + k)
-                        numbers.append(int(number[i]))
-                        found.append(tokens[at[i] : at[i + 1]].tobytes())
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(owner, pa.int64())), pa.array(numbers, pa.int32()), pa.array(found, pa.binary())], ["doc_id", "line", "tokens"])
+                low, high = np.searchsorted(owner, (first, last))
+                chosen = np.isin(((row + first) << 32) + number, asked[low:high])
+                held_ = chosen[place]
+                place = (np.cumsum(chosen) - 1)[place[held_]]
+                row, number = row[chosen], number[chosen]
+                tokens, at = ranked_sets(tokens[held_], place, tokens[held_], len(row))
+                found = [tokens[i:j].tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(row + first)), pa.array(number.astype(np.int32)), pa.array(found, pa.binary())], ["doc_id", "line", "tokens"])
 
     held = docs.join(small_enough(wanted), "doc_id").mapInArrow(sets, f"doc_id {kind}, line int, tokens binary")
     held = written(held, "sets")
@@ -256,9 +258,9 @@ def matched_lines(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFr
 
 
 def postings(lines: DataFrame) -> DataFrame:
-    """A row for each token of the lines' prefixes: token, doc_id, n, m (line and place), p0, p1."""
-    each = lines.select(F.posexplode("prefix").alias("at", "token"), "doc_id", "line", "n", "p0", "p1")
-    return each.select("token", "doc_id", "n", packed(F.col("at"), F.col("line"), F.lit(False)).alias("m"), "p0", "p1")
+    """A row for each token of the lines' prefixes: token, doc_id, n, m (line, place and whether ``open``), p0, p1."""
+    each = lines.select(F.posexplode("prefix").alias("at", "token"), "doc_id", "line", "n", "p0", "p1", "open")
+    return each.select("token", "doc_id", "n", packed(F.col("at"), F.col("line"), F.col("open")).alias("m"), "p0", "p1")
 
 
 def ends() -> list[Column]:
@@ -269,22 +271,109 @@ def x_first() -> Column:
     return (F.col("x.doc_id") < F.col("y.doc_id")) | ((F.col("x.doc_id") == F.col("y.doc_id")) & (line_of("x") < line_of("y")))
 
 
-def flagged(posted: DataFrame, found: DataFrame) -> DataFrame:
-    """The postings with the flag of lines that have no match yet."""
+def flagged(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` with ``open``: whether their lines have no match yet."""
     matched = small_enough(found.withColumn("matched", F.lit(True)))
-    out = posted.withColumn("line", F.shiftright("m", 32).cast("int")).join(matched, ["doc_id", "line"], "left")
-    flag = F.shiftleft(F.shiftright("m", 1), 1) + F.col("matched").isNull().cast("long")
-    return out.select("token", "doc_id", "n", flag.alias("m"), "p0", "p1", "c")
+    return rows.drop("open").join(matched, ["doc_id", "line"], "left").withColumn("open", F.col("matched").isNull()).drop("matched")
 
 
 def met(posted: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of an open line and an earlier one that share a token and may be similar."""
+    """Pairs of an open line and an earlier one that share a token and may be similar; groups of any size."""
     x, y = posted.alias("x"), posted.alias("y")
     # the filters that cost least and drop most come first
     meet = F.when(is_open("y"), alike("x", "y", threshold) & x_first() & may_match("x", "y", threshold)).otherwise(False)
     return x.join(y, (F.col("x.token") == F.col("y.token")) & meet).select(*ends()).distinct()
 
 
+def met_by_size(posted: DataFrame, threshold: float) -> DataFrame:
+    """The pairs of ``met``, for groups of at most ``GROUP`` postings.
+
+    A group is put in order of size, so a posting is compared only with those
+    whose size allows a match, and only if its place is in its indexed prefix.
+    Numbers go to Python as one array a row: Spark measures every column of every row.
+    """
+    kind = posted.schema["doc_id"].dataType.simpleString()
+    key = F.shiftleft(F.col("token").cast("long"), 32) + F.col("n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc, facts in whole_groups(batches):
+            m = facts[1]
+            for y, x, gap_ in near_pairs(ordinal(doc), *facts, threshold):
+                yield pa.RecordBatch.from_arrays(
+                    [doc.take(pa.array(y)), pa.array((m[y] >> 32).astype(np.int32)), doc.take(pa.array(x)), pa.array((m[x] >> 32).astype(np.int32)), pa.array(gap_)],
+                    ["y_doc", "y_line", "x_doc", "x_line", "gap"],
+                )
+
+    grouped = posted.repartition("token").select("doc_id", key.alias("key"), "m", "p0", "p1").sortWithinPartitions("key").select("doc_id", F.array("key", "m", "p0", "p1").alias("facts"))
+    return grouped.mapInArrow(run, f"y_doc {kind}, y_line int, x_doc {kind}, x_line int, gap float").distinct()
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """doc_ids, and a row each of keys, m, p0 and p1, that hold every posting of their tokens; batches come in the order of keys."""
+    held: list[tuple[pa.Array, np.ndarray]] = []
+
+    def joined() -> tuple[pa.Array, np.ndarray]:
+        return pa.concat_arrays([d for d, _ in held]), np.concatenate([f for _, f in held], axis=1)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        facts = np.ascontiguousarray(pc.list_flatten(batch["facts"]).to_numpy().reshape(-1, 4).T)
+        token = facts[0] >> 32
+        if held and held[-1][1][0, -1] >> 32 != token[0]:
+            yield joined()
+            held = []
+        cut = int(np.searchsorted(token, token[-1]))
+        if cut:
+            held.append((batch["doc_id"].slice(0, cut), facts[:, :cut]))
+            yield joined()
+            held = []
+        held.append((batch["doc_id"].slice(cut), facts[:, cut:]))
+    if held:
+        yield joined()
+
+
+def ordinal(column: pa.Array) -> np.ndarray:
+    """Integers in the order of the column's values."""
+    return column.to_numpy() if pa.types.is_integer(column.type) else pc.rank(column, "ascending", tiebreaker="dense").to_numpy().astype(np.int64)
+
+
+def near_pairs(doc: np.ndarray, key: np.ndarray, m: np.ndarray, p0: np.ndarray, p1: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(y, x, gap) of the pairs that ``met`` would make of postings in the order of ``key`` (token and size); ``PAIRS`` are compared at once."""
+    share = threshold / (1 + threshold)
+
+    def needed_(total: np.ndarray) -> np.ndarray:
+        return np.ceil(total * share - 1e-9).astype(np.int64)
+
+    n = key & 0xFFFFFFFF
+    p0, p1 = p0.view(np.uint64), p1.view(np.uint64)  # of signed numbers ``bitwise_count`` would take the absolute value
+    line, at, open_, folded = m >> 32, (m & 0xFFFFFFFF) >> 1, (m & 1).astype(bool), p0 ^ p1
+    # the smaller of two sets shares a token of its indexed prefix; the larger has no more than ``most`` tokens
+    most = np.floor((n + 1e-9) / threshold).astype(np.int64)
+    here = np.arange(len(n))
+    count = np.where(at <= n - needed_(2 * n), np.searchsorted(key, key - n + most, side="right") - here - 1, 0)
+    room = np.minimum(np.floor((n + most) * (1 - 2 * share) + 1e-6), 255).astype(np.uint8)
+    end = np.cumsum(count)
+    first = 0
+    while first < len(n):
+        before = end[first] - count[first]
+        last = max(first + 1, int(np.searchsorted(end, before + PAIRS, side="right")))
+        some = slice(first, last)
+        # bits that differ after folding are no more than those that differ before
+        b = np.arange(end[last - 1] - before) + np.repeat(here[some] + 1 + before - (end[some] - count[some]), count[some])
+        likely = np.flatnonzero(np.bitwise_count(np.repeat(folded[some], count[some]) ^ folded[b]) <= np.repeat(room[some], count[some]))
+        a, b = np.repeat(here[some], count[some])[likely], b[likely]
+        first = last
+        total = n[a] + n[b]
+        need = needed_(total)
+        bits = np.where(n[a] < WIDE, np.bitwise_count(folded[a] ^ folded[b]), np.bitwise_count(p0[a] ^ p0[b]).astype(np.int64) + np.bitwise_count(p1[a] ^ p1[b]))
+        back = (doc[a] > doc[b]) | ((doc[a] == doc[b]) & (line[a] > line[b]))
+        x, y = np.where(back, b, a), np.where(back, a, b)
+        keep = open_[y] & (bits <= total - 2 * need) & (np.minimum(n[a] - at[a], n[b] - at[b]) >= need) & ((doc[a] != doc[b]) | (line[a] != line[b]))
+        if keep.any():
+            yield y[keep], x[keep], (np.maximum(bits, n[b] - n[a])[keep] / total[keep]).astype(np.float32)
+
+
 def token_maps(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """doc_id, line and ``map`` (a bit for each token's hash) of these lines."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -369,32 +458,33 @@ def later_matches(docs: DataFrame, threshold: float = THRESHOLD, least_tokens: i
 
     # lines of equal sets: all but the earliest go
     same = lines.groupBy("d1", "d2").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "line")).alias("f")).where("c > 1").select("d1", "d2", "f")
-    same = small_enough(written(same, "same"))
+    few = small_enough(same := written(same, "same"))
     is_repeat = (F.col("f.doc_id") != F.col("doc_id")) | (F.col("f.line") != F.col("line"))
-    repeats = lines.select("doc_id", "line", "d1", "d2").join(same, ["d1", "d2"]).where(is_repeat).select("doc_id", "line")
-    classes = lines.where(F.size("prefix") > 0).join(same, ["d1", "d2"], "left").where(F.col("f").isNull() | ~is_repeat)
-
-    # where many lines have a token, each meets the earliest one first; every posting is written once, with its group's size and lead
-    tokens = postings(classes).groupBy("token").agg(F.count("*").alias("c"), F.min("doc_id").alias("lead")).where(F.col("c") > LEAD)
+    repeats = lines.select("doc_id", "line", "d1", "d2").join(few, ["d1", "d2"]).where(is_repeat).select("doc_id", "line")
+    classes = lines.where(F.size("prefix") > 0).join(few, ["d1", "d2"], "left").where(F.col("f").isNull() | ~is_repeat)
+    classes = classes.select("doc_id", "line", "n", "p0", "p1", "prefix")
+    if few is same:  # a join by shuffle is made once
+        classes = written(classes, "classes")
+    unmatched = classes.withColumn("open", F.lit(True))
+
+    # where many lines have a token, each meets the earliest one first; the postings of these tokens alone are written
+    tokens = postings(unmatched).groupBy("token").agg(F.count("*").alias("c"), F.min("doc_id").alias("lead")).where(F.col("c") > LEAD)
     tokens = written(tokens, "tokens")
-    posted = written(postings(classes).join(small_enough(tokens), "token", "left"), "postings")
     found = []
     if not tokens.isEmpty():
-        members = posted.where("lead is not null")
+        members = written(postings(unmatched).join(small_enough(tokens), "token"), "members")
         leaders = members.where("doc_id = lead").groupBy("token").agg(F.min(F.struct(F.shiftright("m", 32).cast("int").alias("line"), "doc_id", "m", "n", "p0", "p1")).alias("l"))
         leaders = written(leaders.select("token", "l.*"), "leaders")
         x, y = small_enough(leaders).alias("x"), members.alias("y")
         led = x.join(y, (F.col("x.token") == F.col("y.token")) & x_first() & close("x", "y", threshold)).select(*ends()).distinct()
         found.append(matched_lines(slim, likeliest(led), threshold))
-        posted = flagged(posted, found[0])
-    else:
-        posted = posted.withColumn("m", F.col("m").bitwiseOR(F.lit(1)))
+        unmatched = flagged(classes, found[0])
 
-    # the lines without a match meet all earlier lines of their tokens; both sides share one exchange,
-    # so the condition on y alone is kept inside the joint one
+    # the lines without a match meet all earlier lines of their tokens
     hot = tokens.where(F.col("c") > GROUP).select("token")
     some_hot = not hot.isEmpty()
-    pairs = written(met(posted.where(F.col("c").isNull() | (F.col("c") <= GROUP)), threshold), "pairs")
+    posted = postings(unmatched)
+    pairs = written(met_by_size(posted.join(small_enough(hot), "token", "left_anti") if some_hot else posted, threshold), "pairs")
     likely = likeliest(pairs)
     found.append(matched_lines(slim, likely, threshold))
     key = likely.columns
@@ -402,7 +492,7 @@ def later_matches(docs: DataFrame, threshold: float = THRESHOLD, least_tokens: i
 
     # in the large groups they do so by a second token
     if some_hot:
-        open_ = flagged(members.where(F.col("c") > GROUP), found[0].union(found[1]).distinct()).withColumn("open", F.col("m").bitwiseAND(F.lit(1)) == 1)
+        open_ = flagged(members.where(F.col("c") > GROUP).withColumn("line", F.shiftright("m", 32).cast("int")), found[0].union(found[1]).distinct())
         maps = leaders.join(small_enough(hot), "token").select("token", "doc_id", "line")
         maps = maps.join(token_maps(slim, maps.select("doc_id", "line").distinct()).groupBy("doc_id", "line").agg(F.min("map").alias("map")), ["doc_id", "line"])
         second = second_tokens(slim, open_.join(small_enough(written(maps.select("token", "map"), "maps")), "token"), rarity, threshold)

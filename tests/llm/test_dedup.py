@@ -6,10 +6,12 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import frame
-from tessera.llm import _grouping, jaccard_join, line_dedup, suffix_dedup
+from tessera.llm import _grouping, _rarity, jaccard_join, line_dedup, suffix_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -238,3 +240,41 @@ def test_jaccard_regions_are_divided(spark, words, monkeypatch):
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.cluster(frame(spark, texts)).collect()}
     assert got == groups(texts)
     assert levels.count("parts") >= 2
+
+
+def test_postings_of_a_group_meet_by_size(spark, words, monkeypatch):
+    """Direct groups give the pairs of the plain join, of small and of wide sets, without comparing postings of far sizes."""
+    r = random.Random(13)
+    texts, w = [], []
+    for i in range(300):
+        w = [r.choice(words) for _ in range(r.choice((6, 9, 40, 100, 130)))] if i % 6 == 0 else list(w)
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(len(w))] = r.choice(words)
+        texts.append((r.randrange(120), "\n".join([" ".join(w)] * r.randint(1, 2) + [r.choice(words)])))
+    docs = frame(spark, texts).select("doc_id", "text").repartition(3)
+    rarity = line_dedup.levels(docs, line_dedup.tokens_of)
+    rows = line_dedup.signatures(docs, rarity, 0.8, 1).where(F.size("prefix") > 0).withColumn("open", F.col("line") % 3 < 2)
+    for kind in ("long", "string"):
+        posted = line_dedup.written(line_dedup.postings(rows.withColumn("doc_id", F.col("doc_id").cast(kind))), "posted")
+        expected = {tuple(x) for x in line_dedup.met(posted, 0.8).collect()}
+        assert len(expected) > 300
+        assert {tuple(x) for x in line_dedup.met_by_size(posted, 0.8).collect()} == expected
+    # sizes that are all too far from each other are never compared
+    n = np.array([int(10 * 1.4**k) for k in range(30)])
+    compared = []
+    kept = np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda x: (compared.append(len(x)), kept(x))[1])
+    zero = np.zeros(30, np.int64)
+    assert list(line_dedup.near_pairs(n, n, zero + 1, zero, zero, 0.8)) == [] and sum(compared) == 0
+
+
+def test_frequency_levels(spark):
+    """Counts of any width add up over tasks; a block that no token falls in is zero."""
+    texts = [(i, " ".join(["w"] * 300 + [f"x{i % 7}"])) for i in range(400)] + [(400, None), (401, "")]
+    docs = frame(spark, texts).repartition(5)
+    got = _rarity.levels(docs, line_dedup.tokens_of)
+    data = " ".join(t for _, t in texts if t).encode()
+    tokens = line_dedup.tokens_of(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    count = np.bincount((tokens >> np.uint64(64 - _rarity.BITS)).astype(np.int64), minlength=1 << _rarity.BITS)
+    assert (got == np.floor(4 * np.log2(count + 1)).astype(np.uint8)).all() and count.max() == 120_000
+    assert _rarity.levels(docs.limit(0), line_dedup.tokens_of).max() == 0
