@@ -467,12 +467,12 @@ def later_matches(docs: DataFrame, threshold: float = THRESHOLD, least_tokens: i
         classes = written(classes, "classes")
     unmatched = classes.withColumn("open", F.lit(True))
 
-    # where many lines have a token, each meets the earliest one first; the postings of these tokens alone are written
+    # where many lines have a token, each meets the earliest one first; every posting is written once with its group's size and lead
     tokens = postings(unmatched).groupBy("token").agg(F.count("*").alias("c"), F.min("doc_id").alias("lead")).where(F.col("c") > LEAD)
     tokens = written(tokens, "tokens")
     found = []
     if not tokens.isEmpty():
-        members = written(postings(unmatched).join(small_enough(tokens), "token"), "members")
+        members = written(postings(unmatched).join(small_enough(tokens), "token", "left"), "postings").where("lead is not null")
         leaders = members.where("doc_id = lead").groupBy("token").agg(F.min(F.struct(F.shiftright("m", 32).cast("int").alias("line"), "doc_id", "m", "n", "p0", "p1")).alias("l"))
         leaders = written(leaders.select("token", "l.*"), "leaders")
         x, y = small_enough(leaders).alias("x"), members.alias("y")
