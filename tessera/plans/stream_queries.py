@@ -6,20 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.sources import analogs as A
-from tessera.storage import new_folder
+from tessera.storage import new_folder, written
 from tessera.streaming.queues import Backlog
 
 WAIT_SECONDS = 3 * 86_400
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.table(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("account"), F.col("event_id").cast("long").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
+    """Events as items; times are rounded to milliseconds, in which the queues order them."""
+    ts = F.timestamp_millis(F.round(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long"))
+    return A.table(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("account"), F.col("event_id").cast("long").alias("id"), ts.alias("ts"))
 
 
 def drained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a backlog that arrives in three parts, with a stop after each and a last run that lets the timers run out."""
+    """The events as a backlog that arrives in three parts, with a stop after each and a last run that lets the timers run out.
+
+    The cuts are computed once: approximate percentiles depend on the order in which tasks' results are merged, and parts that are cut
+    at different places lose events or repeat them.
+    """
     events = items(spark, sf_dir)
-    cuts = events.agg(F.expr("approx_percentile(ts, array(0.3, 0.7))").alias("at")).select(F.col("at")[0].alias("a"), F.col("at")[1].alias("b"))
+    cuts = written(events.agg(F.expr("approx_percentile(ts, array(0.3, 0.7))").alias("at")).select(F.col("at")[0].alias("a"), F.col("at")[1].alias("b")), "cuts")
     part = F.when(F.col("ts") <= F.col("a"), 0).when(F.col("ts") <= F.col("b"), 1).otherwise(2)
     parted = events.join(F.broadcast(cuts)).withColumn("part", part)
     backlog = Backlog(spark, new_folder(spark, "backlog"), wait_seconds=WAIT_SECONDS)
