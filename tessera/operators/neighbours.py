@@ -37,6 +37,8 @@ PIVOTS = 1024
 DIGITS = 6
 #: Queries that meet a chunk at once, in one matrix of similarities.
 BLOCK = 256
+#: Rows that are sent to chunks at once, at most, or one query's.
+SENT = 20_000
 #: Where over so many times k + 1 members reach a query's bound, the (k + 1)-th best is found first.
 MANY = 4
 #: Groups of equal vectors with over one in so many of all rows are broadcast: at most so many.
@@ -62,12 +64,17 @@ def distinct_vectors(rows: DataFrame, k: int, size: int) -> DataFrame:
     return few.groupBy("vector").agg(F.sort_array(F.collect_list("key")).alias("ids")).select("vector", F.col("ids")[0].alias("rep"), "ids")
 
 
+def in_blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows``."""
+    return (batch.slice(a, rows) for batch in batches for a in range(0, batch.num_rows, rows))
+
+
 def in_cells(reps: DataFrame, pivots: np.ndarray) -> DataFrame:
     """``reps`` with the number of the nearest pivot and the distance to it."""
     shared = reps.sparkSession.sparkContext.broadcast(pivots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_blocks(batches, BLOCK):
             near = unit(matrix(batch["vector"])) @ shared.value.T
             cell = near.argmax(axis=1)
             away = np.sqrt(np.maximum(0, 2 - 2 * near[np.arange(len(cell)), cell]))
@@ -104,6 +111,25 @@ def best(queries: pa.Table, members: pa.Table, k: int, block: int = BLOCK) -> pa
     return pa.table({"query": pa.array(queries["rep"].to_numpy()[row], pa.int64()), "similarity": pa.array(value), "ids": members["ids"].combine_chunks().take(pa.array(order[column]))})
 
 
+def sent(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, chunks: np.ndarray, first: np.ndarray, radius: np.ndarray, most: int = SENT) -> Iterator[pa.RecordBatch]:
+    """Queries (rep, vector, least, part) for all other chunks of cells within their bound.
+
+    A query may go to all chunks, so few queries are taken at once: batches have at most ``most`` rows, or one query's, however many chunks there are.
+    """
+    for batch in in_blocks(batches, max(1, min(BLOCK, most // max(1, int(chunks.sum()))))):
+        away = np.sqrt(np.maximum(0, 2 - 2 * (unit(matrix(batch["vector"])) @ pivots.T)))
+        within = np.sqrt(np.maximum(0, 2 - 2 * (batch["least"].to_numpy() - 10.0**-DIGITS))) + 1e-9
+        row, cell = np.nonzero((away - radius <= within[:, None]) & (chunks > 0))
+        row, cell = np.repeat(row, chunks[cell]), np.repeat(cell, chunks[cell])
+        pair = row * len(chunks) + cell
+        new = np.flatnonzero(np.diff(pair, prepend=-1))
+        step = np.arange(len(row)) - np.repeat(new, np.diff(new, append=len(row)))
+        to = first[cell] + step
+        other = to != batch["part"].to_numpy()[row]
+        taken = batch.select(["rep", "vector", "least"]).take(pa.array(row[other]))
+        yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(to[other].astype(np.int32))], ["rep", "vector", "least", "part"])
+
+
 def nearest_join(left: DataFrame, right: DataFrame, k: int, chunk: int = CHUNK) -> DataFrame:
     """key, rank (1 ... k), neighbour and similarity: for each row of ``left`` the k nearest rows of ``right`` with another key.
 
@@ -159,19 +185,7 @@ def nearest_join(left: DataFrame, right: DataFrame, k: int, chunk: int = CHUNK)
     shared = spark.sparkContext.broadcast((pivots, chunks, first, radius))
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots, chunks, first, radius = shared.value
-        for batch in batches:
-            away = np.sqrt(np.maximum(0, 2 - 2 * (unit(matrix(batch["vector"])) @ pivots.T)))
-            within = np.sqrt(np.maximum(0, 2 - 2 * (batch["least"].to_numpy() - 10.0**-DIGITS))) + 1e-9
-            row, cell = np.nonzero((away - radius <= within[:, None]) & (chunks > 0))
-            row, cell = np.repeat(row, chunks[cell]), np.repeat(cell, chunks[cell])
-            pair = row * len(chunks) + cell
-            new = np.flatnonzero(np.diff(pair, prepend=-1))
-            step = np.arange(len(row)) - np.repeat(new, np.diff(new, append=len(row)))
-            to = first[cell] + step
-            other = to != batch["part"].to_numpy()[row]
-            taken = batch.select(["rep", "vector", "least"]).take(pa.array(row[other]))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(to[other].astype(np.int32))], ["rep", "vector", "least", "part"])
+        return sent(batches, *shared.value)
 
     further = own.select("rep", "vector", "part").join(bound, "rep").mapInArrow(reach, "rep long, vector array<float>, least double, part int")
     matches = near.unionAll(met(further, "other_chunks"))
